@@ -45,7 +45,7 @@ rates AS (
     + " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {_rate(m)} AS v FROM counts WHERE NOT base_failed" for m in RATES)
     + f"""),
 sketch AS (
-  SELECT lang, source, metric, (v >> d) << d AS bucket, count(*) AS n
+  SELECT lang, source, metric, (((v >> d) + 1) << d) - 1 AS bucket, count(*) AS n
   FROM (SELECT *, greatest(length(bin(v)) - {SUB_BITS}, 0) AS d FROM rates) GROUP BY ALL),
 own AS (
   SELECT lang, source, metric, max(a) AS n_rows, min(bucket) FILTER (4 * u >= a) AS q1, min(bucket) FILTER (4 * u >= 3 * a) AS q3

@@ -97,9 +97,9 @@ def rates() -> dict[str, Column]:
 
 
 def bucket(x: Column) -> Column:
-    """Sketch bucket of a non-negative integer, as the bucket's lowest value."""
+    """Sketch bucket of a non-negative integer, as the bucket's highest value."""
     drop = F.greatest(F.length(F.bin(x)) - SUB_BITS, F.lit(0)).cast("int")
-    return F.call_function("shiftleft", F.call_function("shiftright", x, drop), drop)
+    return F.call_function("shiftleft", F.call_function("shiftright", x, drop) + 1, drop) - 1
 
 
 def sketches(counts: DataFrame, by: list[str]) -> DataFrame:

@@ -5,16 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phialo.llm import quality
+from phialo.llm import packing, pii, quality, secrets, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; every machine has it installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+    return packing.pack(pieces)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_pii(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(documents(spark, sf_dir))
     return out.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules,)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_best_fit_packing,
+        op6_token_counts,
+        op7_secret_scans,
+        op8_pii,
+        op9_quality_rules,
+    )
+}
