@@ -72,6 +72,21 @@ verdicts AS (
 """
 )
 
+CHAT = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+  FROM conversations),
+chats AS (
+  SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY n) AS said,
+         string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY n) AS chat
+  FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, chat FROM chats a
+WHERE NOT EXISTS (SELECT 1 FROM chats b WHERE b.n_turns > a.n_turns AND b.said[1:a.n_turns] = a.said)
+  AND NOT EXISTS (SELECT 1 FROM chats b WHERE b.said = a.said AND b.conv_id < a.conv_id)
+"""
+
 ORACLES = {
+    "op1_chat_formatting": CHAT,
     "op9_quality_rules": f"WITH {QUALITY_CTES} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdicts",
 }
