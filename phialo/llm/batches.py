@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +15,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_BYTES = 2_000_000
 
 
+def trim(store: dict, most: int) -> None:
+    """Halve a store of results that outgrew its bound; what came first is met most often."""
+    if len(store) > most:
+        for key in list(islice(store, most // 2, None)):
+            del store[key]
+
+
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` with about SLICE_BYTES of text each."""
     column = batch.column(batch.schema.get_field_index(text))

@@ -13,8 +13,8 @@ import re
 import sentencepiece
 
 SPACE = "▁"
-#: Most entries that a task keeps of earlier parts; the store is emptied beyond them.
-STORED = 400_000
+#: Most entries that a worker keeps of earlier parts; the store is halved beyond them.
+STORED = 800_000
 
 
 class Pieces:

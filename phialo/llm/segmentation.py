@@ -18,6 +18,7 @@ done one by one; an empty table gives an empty table; clashing columns of the in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush, nsmallest
 
 import pandas as pd
@@ -147,6 +148,12 @@ ALTERNATIVE = T.StructType(
 )
 
 
+@lru_cache(1)
+def _lattice(model: str, n: int) -> Lattice:
+    """One for all tasks of a Python worker."""
+    return Lattice(Pieces(model), n)
+
+
 def encode(docs: DataFrame, model: str, n: int = 4, text: str = "text") -> DataFrame:
     """``docs`` (without the text) with ``ids`` of the best segmentation, ``nbest`` and ``round_trip``.
 
@@ -157,14 +164,12 @@ def encode(docs: DataFrame, model: str, n: int = 4, text: str = "text") -> DataF
     added = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("nbest", T.ArrayType(ALTERNATIVE)).add("round_trip", "boolean")
 
     def make():
-        pieces = Pieces(model)
-        lattice = Lattice(pieces, n)
+        lattice = _lattice(model, n)
+        pieces = lattice.pieces
 
         def work(texts: list[str]) -> dict:
-            if len(lattice) > STORED // 4:
-                lattice.clear()
-            if len(lattice.of_parts) > STORED // 4:
-                lattice.of_parts.clear()
+            batches.trim(lattice, STORED // 4)
+            batches.trim(lattice.of_parts, STORED // 4)
             out: dict[str, list] = {"ids": [], "nbest": [], "round_trip": []}
             for t in texts:
                 ids, options = lattice.text(t)

@@ -4,7 +4,7 @@ The symbols of a part start as its characters.  A heap holds the adjacent pairs
 is a piece, by rank and then place; the lowest is popped and merged, a linked list gives the
 new neighbours, and pairs that no longer stand are skipped.  The count is the number of
 symbols at the start less the merges; a character that stays alone and is no piece counts
-its UTF-8 bytes.  Counts of equal words are kept within a task, up to a fixed number.
+its UTF-8 bytes.  Counts of equal words are kept within a worker, up to a fixed number.
 
 Defined results: null and empty texts have no bytes and no tokens; repeated rows are counted
 one by one; an empty table gives an empty table; clashing columns of the input give way.
@@ -12,6 +12,7 @@ one by one; an empty table gives an empty table; clashing columns of the input g
 
 from __future__ import annotations
 
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
@@ -67,6 +68,12 @@ class Counter(dict):
         return sum(map(self.__getitem__, self.pieces.words(text)))
 
 
+@lru_cache(1)
+def _counter(model: str) -> Counter:
+    """One for all tasks of a Python worker."""
+    return Counter(Pieces(model))
+
+
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, text: str = "text") -> DataFrame:
     """``docs`` (without the text) with n_bytes, n_tokens and over_limit of every whole text.
 
@@ -75,13 +82,11 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, text: str = "te
     added = T.StructType().add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def make():
-        counter = Counter(Pieces(model))
+        counter = _counter(model)
 
         def work(texts: list[str]) -> dict:
-            if len(counter) > STORED:
-                counter.clear()
-            if len(counter.of_parts) > STORED:
-                counter.of_parts.clear()
+            batches.trim(counter, STORED)
+            batches.trim(counter.of_parts, STORED)
             n = [counter.text(x) for x in texts]
             return {"n_bytes": [len(x.encode()) for x in texts], "n_tokens": n, "over_limit": [k > limit for k in n]}
 
