@@ -7,7 +7,7 @@ the best score from the start to each place (Viterbi); the search then runs back
 the end, and because these scores are the exact rest of a path, A-star pops whole
 segmentations in order of score.  No piece spans the places where parts are cut, so a text's
 n best are put together from the n best of its parts: only the parts with the smallest loss
-to their second best can differ from the best.
+to their second best can differ from the best, and only these are searched.
 
 Equal scores go by the search's order: by the places where the last pieces start.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush, nsmallest
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,30 +31,33 @@ from phialo.llm import batches
 from phialo.llm.piece_model import SPACE, STORED, Pieces
 
 Path = tuple[float, tuple[int, ...]]  # score, ids
+INF = float("inf")
 
 
 class Lattice(dict):
-    """For each word: ids of the best segmentation, its score, and losses and ids of the next ones."""
+    """For each word: ids of the best segmentation, its score, its loss to the second best."""
 
     def __init__(self, pieces: Pieces, n: int):
         super().__init__()
         self.pieces, self.n = pieces, n
         self.unknown = min(pieces.scores.values()) - 10.0
-        self.of_parts: dict[str, list[Path]] = {}
-        #: Characters that can follow a start: lengths of pieces by their first two characters.
+        self.of_parts: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self.turned: dict[str, list[Path]] = {}
+        #: Lengths of the pieces that begin with two characters.
         lengths: dict[str, set[int]] = {}
         for p in pieces.scores:
             lengths.setdefault(p[:2], set()).add(len(p))
-        self.lengths = {k: sorted(v) for k, v in lengths.items()}
+        self.lengths = {k: sorted(x for x in v if x > 1) for k, v in lengths.items()}
 
-    def edges(self, part: str, at: int) -> list[tuple[int, float, str]]:
-        """(end, score, piece) of the edges that start at a place."""
-        scores, out = self.pieces.scores, []
-        first = part[at]
-        out.append((at + 1, scores.get(first, self.unknown), first))
+    def edges(self, part: str, at: int) -> list[tuple[int, float]]:
+        """(end, score) of the edges that start at a place."""
+        scores, size = self.pieces.scores, len(part)
+        out = [(at + 1, scores.get(part[at], self.unknown))]
         for k in self.lengths.get(part[at : at + 2], ()):
-            if k > 1 and (s := scores.get(piece := part[at : at + k])) is not None and at + k <= len(part):
-                out.append((at + k, s, piece))
+            if (end := at + k) > size:
+                break
+            if (s := scores.get(part[at:end])) is not None:
+                out.append((end, s))
         return out
 
     def ids_of(self, piece: str) -> tuple[int, ...]:
@@ -61,64 +65,116 @@ class Lattice(dict):
             return (i,)
         return tuple(self.pieces.byte_ids[b] for b in piece.encode())
 
-    def part(self, part: str) -> list[Path]:
-        """The n best segmentations of a part."""
+    def forward(self, part: str) -> tuple[list[float], list[int], list[list[tuple[int, float]]]]:
+        """Viterbi: best score to each place, where its last piece starts, edges by start."""
         size = len(part)
-        forward = [0.0] + [float("-inf")] * size
-        into: list[list[tuple[int, float, str]]] = [[] for _ in range(size + 1)]
+        best, back, out = [0.0] + [-INF] * size, [0] * (size + 1), []
         for at in range(size):
-            f = forward[at]
-            for end, s, piece in self.edges(part, at):
-                into[end].append((at, s, piece))
-                if f + s > forward[end]:
-                    forward[end] = f + s
-        out: list[Path] = []
-        # (loss bound, starts of the pieces so far from the end, place, score so far, pieces)
-        heap: list = [(-forward[size], (), size, 0.0, ())]
+            f = best[at]
+            out.append(edges := self.edges(part, at))
+            for end, s in edges:
+                if f + s > best[end]:
+                    best[end], back[end] = f + s, at
+        return best, back, out
+
+    def best(self, part: str) -> tuple[tuple[int, ...], float, float]:
+        """Ids and score of a part's best segmentation, and its loss to the second best.
+
+        Every other segmentation has an edge off the best path, and the best one through an
+        edge scores what leads to it, its own score and the best rest behind it.
+        """
+        size = len(part)
+        if size == 1:
+            return self.ids_of(part), self.pieces.scores.get(part, self.unknown), INF
+        forward, back, edges = self.forward(part)
+        rest, second = [-INF] * size + [0.0], -INF
+        path, end, pieces = {}, size, []
+        while end:
+            pieces.append(part[back[end] : end])
+            path[back[end]] = end
+            end = back[end]
+        for at in range(size - 1, -1, -1):
+            f, on, most = forward[at], path.get(at), -INF
+            for end, s in edges[at]:
+                if (r := s + rest[end]) > most:
+                    most = r
+                if end != on and f + r > second:
+                    second = f + r
+            rest[at] = most
+        return tuple(i for p in reversed(pieces) for i in self.ids_of(p)), forward[size], forward[size] - second
+
+    def part(self, part: str) -> list[Path]:
+        """The n best segmentations of a part, by A-star from the end."""
+        size = len(part)
+        forward, back, edges = self.forward(part)
+        into: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
+        for at, some in enumerate(edges):
+            for end, s in some:
+                into[end].append((at, s))
+        first = self.best(part)
+        out: list[Path] = [(first[1], first[0])]
+        # (score still reachable, negated; starts of the pieces so far, from the end; score so far)
+        heap: list = [(-forward[size], (), size, 0.0)]
         while heap and len(out) < self.n:
-            _, starts, at, score, chain = heappop(heap)
+            _, starts, at, score = heappop(heap)
             if at == 0:
-                out.append((score, tuple(i for p in reversed(chain) for i in self.ids_of(p))))
+                cuts = [*reversed(starts), size]
+                ids = tuple(i for a, b in zip(cuts[:-1], cuts[1:], strict=True) for i in self.ids_of(part[a:b]))
+                if ids != first[0]:
+                    out.append((score, ids))
                 continue
-            for start, s, piece in into[at]:
-                heappush(heap, (-(forward[start] + s + score), (*starts, start), start, score + s, (*chain, piece)))
+            for start, s in into[at]:
+                heappush(heap, (-(forward[start] + s + score), (*starts, start), start, score + s))
         return out
 
     def __missing__(self, word: str):
-        lists = []
+        found = []
         for part in self.pieces.parts(word):
-            if (found := self.of_parts.get(part)) is None:
-                found = self.of_parts[part] = self.part(part)
-            lists.append(found)
-        best = (sum(x[0][0] for x in lists), tuple(i for x in lists for i in x[0][1]))
-        options: list[Path] = [(0.0, ())]
-        for x in lists:
-            options = nsmallest(self.n, [(loss + x[0][0] - s, ids + own) for loss, ids in options for s, own in x])
-        found = self[word] = (best[1], best[0], options[1][0] if len(options) > 1 else float("inf"), options)
-        return found
+            if (one := self.of_parts.get(part)) is None:
+                one = self.of_parts[part] = self.best(part)
+            found.append(one)
+        if len(found) > 1:
+            one = (tuple(i for x in found for i in x[0]), sum(x[1] for x in found), min(x[2] for x in found))
+        self[word] = one
+        return one
+
+    def options(self, word: str) -> list[Path]:
+        """(loss, ids) of a word's n best segmentations."""
+        if (out := self.turned.get(word)) is None:
+            out = [(0.0, ())]
+            for part in self.pieces.parts(word):
+                x = self.part(part)
+                out = nsmallest(self.n, [(loss + x[0][0] - s, ids + own) for loss, ids in out for s, own in x])
+            self.turned[word] = out
+        return out
 
     def text(self, text: str) -> tuple[list[int], list[tuple[float, list[tuple[int, int, list[int]]]]]]:
         """Ids of the best segmentation; score and edits (place, dropped, new ids) of the n best."""
-        found = [self[w] for w in self.pieces.words(text)]
-        ids = [i for f in found for i in f[0]]
-        total = sum(f[1] for f in found)
-        if not found:
+        words = self.pieces.words(text)
+        if not words:
             return [], [(0.0, [])]
+        found = list(map(self.__getitem__, words))
+        ids = list(chain.from_iterable([f[0] for f in found]))
+        total = sum([f[1] for f in found])
         # with n best wanted, at most n - 1 words differ from their best in any of them
-        losses = [f[2] for f in found]
-        turned = sorted(k for _, k in nsmallest(self.n - 1, zip(losses, range(len(losses)), strict=True)))
+        losses, turned = [f[2] for f in found], set()
+        for loss in sorted(losses)[: self.n - 1]:
+            if loss < INF:
+                k = losses.index(loss)
+                while k in turned:
+                    k = losses.index(loss, k + 1)
+                turned.add(k)
         options: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for k in turned:
-            more = [(loss + own, (*picks, (k, j)) if j else picks) for loss, picks in options for j, (own, _) in enumerate(found[k][3])]
+        choices = {k: self.options(words[k]) for k in turned}
+        for k in sorted(turned):
+            more = [(loss + own, (*picks, (k, j)) if j else picks) for loss, picks in options for j, (own, _) in enumerate(choices[k])]
             options = nsmallest(self.n, more)
         at, places = 0, {}
-        if turned:
-            wanted = set(turned)
-            for k, f in enumerate(found):
-                if k in wanted:
-                    places[k] = at
-                at += len(f[0])
-        return ids, [(total - loss, [(places[k], len(found[k][0]), list(found[k][3][j][1])) for k, j in picks]) for loss, picks in options]
+        for k in range(max(turned, default=-1) + 1):
+            if k in turned:
+                places[k] = at
+            at += len(found[k][0])
+        return ids, [(total - loss, [(places[k], len(found[k][0]), list(choices[k][j][1])) for k, j in picks]) for loss, picks in options]
 
 
 def decode(pieces: Pieces, ids: list[int]) -> str:
@@ -168,8 +224,8 @@ def encode(docs: DataFrame, model: str, n: int = 4, text: str = "text") -> DataF
         pieces = lattice.pieces
 
         def work(texts: list[str]) -> dict:
-            batches.trim(lattice, STORED // 4)
-            batches.trim(lattice.of_parts, STORED // 4)
+            for store in (lattice, lattice.of_parts, lattice.turned):
+                batches.trim(store, STORED // 2)
             out: dict[str, list] = {"ids": [], "nbest": [], "round_trip": []}
             for t in texts:
                 ids, options = lattice.text(t)
