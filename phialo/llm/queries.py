@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phialo.llm import chat, near_duplicates, packing, pii, quality, secrets, segmentation, token_counts
+from phialo.llm import chat, fingerprints, near_duplicates, packing, pii, quality, secrets, segmentation, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,5 +76,6 @@ QUERIES = {
         op7_secret_scans,
         op8_pii,
         op9_quality_rules,
+        op10_document_fingerprints,
     )
 }
