@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phialo.llm import chat, fingerprints, near_duplicates, packing, pii, quality, secrets, segmentation, token_counts
+from phialo.llm import chat, fingerprints, lm, near_duplicates, packing, pii, quality, secrets, segmentation, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
 
@@ -72,6 +76,7 @@ QUERIES = {
         op2_minhash_near_dedup,
         op3_best_fit_packing,
         op4_sentencepiece,
+        op5_lm_scoring,
         op6_token_counts,
         op7_secret_scans,
         op8_pii,
