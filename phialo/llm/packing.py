@@ -14,18 +14,23 @@ one; an empty table gives an empty table; clashing columns of the input give way
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from phialo import scratch
 from phialo.llm import batches
 
-#: Most words whose ids a task keeps; the store is emptied beyond them.
-STORED = 400_000
+#: Most words whose ids a worker keeps; the store is halved beyond them.
+STORED = 800_000
 PLAN = "length int, first long, past long, per_bin long, bin long, at long"
 
 
@@ -76,31 +81,52 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return steps
 
 
-def _tokenise(tokenizer: str, end_id: int, capacity: int):
-    def make():
-        import os
+@lru_cache(1)
+def _words(tokenizer: str) -> Callable[[list[list[str]]], dict[str, bytes]]:
+    """A function from lists of words to the ids of all of them; one for all tasks of a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    model = Tokenizer.from_file(tokenizer)
+    stored: dict[str, bytes] = {}
+    cores: dict[str, bytes] = {}
+
+    def parts(word: str) -> tuple[str, str]:
+        """Letters in lower case and the signs behind them, where they are coded apart.
+
+        Letters up to U+00FF are changed by no rule but lower case, and a run of these signs
+        behind a letter is a token string of its own.
+        """
+        core = word.rstrip(".,!")
+        return (core.lower(), word[len(core) :]) if core.isalpha() and max(core) < "\u0100" else (word, "")
+
+    def coded(split: list[list[str]]) -> dict[str, bytes]:
+        batches.trim(stored, STORED)
+        batches.trim(cores, STORED)
+        stored[""] = cores[""] = b""
+        cut = {w: parts(w) for words in split for w in words if w not in stored}
+        new = list({p for pair in cut.values() for p in pair if p not in cores})
+        for start in range(0, len(new), 10_000):
+            some = new[start : start + 10_000]
+            for p, e in zip(some, model.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                cores[p] = array("I", e.ids).tobytes()
+        for w, (core, signs) in cut.items():
+            stored[w] = cores[core] + cores[signs]
+        return stored
+
+    return coded
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
-        stored: dict[str, bytes] = {"": b""}
-        end = end_id.to_bytes(4, "little")
+def _tokenise(tokenizer: str, end_id: int, capacity: int):
+    def make():
+        coded = _words(tokenizer)
+        end = array("I", [end_id]).tobytes()
 
         def work(texts: list[str]) -> dict:
             # white space never shares a token with its neighbours, so words stand alone
             split = [x.replace("\n", " ").split(" ") for x in texts]
-            if len(stored) > STORED:
-                stored.clear()
-                stored[""] = b""
-            new = list({w for words in split for w in words if w not in stored})
-            for start in range(0, len(new), 10_000):
-                some = new[start : start + 10_000]
-                for w, e in zip(some, model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    stored[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+            ids_of = coded(split)
             lengths, crcs = [], []
             for words in split:
-                ids = b"".join(map(stored.__getitem__, words)) + end
+                ids = b"".join(map(ids_of.__getitem__, words)) + end
                 cut = [ids[i : i + 4 * capacity] for i in range(0, len(ids), 4 * capacity)]
                 lengths.append([len(x) // 4 for x in cut])
                 crcs.append([zlib.crc32(x) for x in cut])
