@@ -1,15 +1,55 @@
-"""A corpus pipeline from the operators of phialo.llm."""
+"""A corpus pipeline: quality rules, near-duplicates, personal data, packing.
+
+Every stage takes what the one before kept.  The last returns the packed pieces, the others
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from phialo import scratch
+from phialo.llm import near_duplicates, packing, pii, quality
+from phialo.llm.queries import vocabulary
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the adaptive rules keep."""
+    return quality.good_documents(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    kept = near_duplicates.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    return stays.dropDuplicates(["doc_id", "text"])
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    clean = pii.redact_pii(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequences."""
+    return packing.pack(packing.pieces(docs.select("doc_id", "text"), vocabulary("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: Tokenising is beyond SQL; tests/llm/test_pipeline.py holds run() against plain code.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -146,17 +146,10 @@ def thresholds(sketch: DataFrame, lang: str, source: str, min_group: int, spread
     )
 
 
-def quality_rules(
-    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_group: int = 100, spread: int = 3
-) -> DataFrame:
-    """Counts and verdict (``kept``) of every row of ``docs``.
-
-    The counts are stored once in the shared folder without the texts; sketches and the
-    final join read them from there.
-    """
-    own = [c for c in docs.columns if c != text]
-    counted = text_counts(docs.select(*own, text), text).drop(text)
-    counted = scratch.table(counted, "quality_counts")
+def judged(docs: DataFrame, text: str, lang: str, source: str, min_group: int, spread: int, keep_text: bool) -> DataFrame:
+    """``docs`` with counts, base_failed and kept; counted once, in a stored table."""
+    counted = text_counts(docs, text)
+    counted = scratch.table(counted if keep_text else counted.drop(text), "quality_counts")
     limits = thresholds(sketches(counted, [lang, source]), lang, source, min_group, spread)
     limits = limits.withColumnRenamed(lang, "_lang").withColumnRenamed(source, "_source")
     joined = counted.join(limits, counted[lang].eqNullSafe(limits["_lang"]) & counted[source].eqNullSafe(limits["_source"]), "left")
@@ -164,5 +157,23 @@ def quality_rules(
     for name, rate in rates().items():
         good = good & F.coalesce(rate <= F.col(f"max_{name}"), F.lit(True))
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(good)
-    keep = [c for c in own if c not in {*BASE, "n_lines", "n_upper", "base_failed", "kept"}]
-    return joined.select(*keep, *BASE, "n_lines", "n_upper", "base_failed", kept.alias("kept"))
+    own = [c for c in counted.columns if c != "kept"]
+    return joined.select(*own, kept.alias("kept"))
+
+
+def quality_rules(
+    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_group: int = 100, spread: int = 3
+) -> DataFrame:
+    """Counts and verdict (``kept``) of every row of ``docs``, without the text."""
+    return judged(docs, text, lang, source, min_group, spread, keep_text=False)
+
+
+def good_documents(
+    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_group: int = 100, spread: int = 3
+) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
+    clash = {*BASE, "n_lines", "n_upper", "base_failed", "kept"} & set(docs.columns)
+    if clash:  # the input's own columns come back under their names
+        docs = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+    out = judged(docs, text, lang, source, min_group, spread, keep_text=True).where("kept").select(docs.columns)
+    return out.withColumnsRenamed({f"_own_{c}": c for c in clash})
