@@ -131,11 +131,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     m = F.nullif(n, F.lit(0.0))
     p, d = k / m, 1 + z * z / m
     centre, half = p + z * z / (2 * m), z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))
-    nan = F.lit(float("nan"))
-    return F.struct(
-        F.coalesce(F.greatest(F.lit(0.0), centre / d - half / d), nan).alias("low"),
-        F.coalesce(F.least(F.lit(1.0), centre / d + half / d), nan).alias("high"),
-    )
+    none = lambda x: F.when(n == 0, F.lit(float("nan"))).otherwise(x)  # noqa: E731  greatest and least skip nulls
+    return F.struct(none(F.greatest(F.lit(0.0), (centre - half) / d)).alias("low"), none(F.least(F.lit(1.0), (centre + half) / d)).alias("high"))
 
 
 def ratio(a: Column, b: Column) -> Column:
