@@ -1,5 +1,6 @@
 """DuckDB SQL with the results of the queries that SQL can express."""
 
+from phialo.llm import secrets
 from phialo.llm.quality import FLOORS, SUB_BITS
 
 RATES = {
@@ -86,7 +87,68 @@ WHERE NOT EXISTS (SELECT 1 FROM chats b WHERE b.n_turns > a.n_turns AND b.said[1
   AND NOT EXISTS (SELECT 1 FROM chats b WHERE b.said = a.said AND b.conv_id < a.conv_id)
 """
 
+DUPLICATES = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM both_ t JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * t.n >= 75 * (x.n + y.n - t.n)),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+least_ AS (SELECT a AS doc_id, min(b) AS b FROM reached GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, least(doc_id, coalesce(b, doc_id)) = doc_id AS kept
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least_ USING (doc_id)
+"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _placed(kind: int, pattern: str, group: int = 0) -> str:
+    """Matches with their places: gaps and matches added up."""
+    p = _quoted(pattern)
+    return f"""SELECT doc_id, {kind} AS k, upto - length(hit) AS s, upto AS e, v FROM (
+      SELECT doc_id, hit, v, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (
+        SELECT doc_id, unnest(string_split_regex(t, {p})) AS gap, unnest(regexp_extract_all(t, {p}, 0)) AS hit, unnest(regexp_extract_all(t, {p}, {group})) AS v,
+               unnest(range(len(regexp_extract_all(t, {p}, 0)))) AS i FROM texts) WHERE hit IS NOT NULL)"""
+
+
+_LIMITS = " ".join(f"WHEN regexp_matches(v, {_quoted(p)}) THEN {limit}" for p, _, limit in secrets.CLASSES if p)
+_JOINED = "coalesce(string_agg(list_extract(['assign', 'access', 'hex', 'entropy'], k + 1) || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k), '')"
+SECRETS = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS (
+  SELECT * FROM ({_placed(0, secrets.ASSIGN, 2)}) WHERE length(v) >= 8
+  UNION ALL SELECT * FROM ({_placed(1, "AKIA[A-Z0-9]+")}) WHERE length(v) >= 16
+  UNION ALL SELECT * FROM ({_placed(2, "[0-9a-f]+")}) WHERE length(v) >= 32),
+runs AS (
+  SELECT * FROM ({_placed(3, "[A-Za-z0-9+/_=-]+")}) r
+  WHERE length(v) >= 20 AND regexp_matches(v, '[0-9]') AND NOT regexp_matches(v, {_quoted(secrets.ALLOW)})
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s < r.e AND b.e > r.s)),
+windows AS (SELECT DISTINCT v, unnest(range(1, length(v) - {secrets.WINDOW - 2})) AS i FROM runs),
+letters AS (SELECT v, i, c, count(*) AS n FROM (SELECT v, i, unnest(string_split(substr(v, i, {secrets.WINDOW}), '')) AS c FROM windows) GROUP BY ALL),
+peaks AS (
+  SELECT v, max(h) AS h FROM (SELECT v, i, log2({secrets.WINDOW}) - sum(n * log2(n)) / {secrets.WINDOW} AS h FROM letters GROUP BY v, i) GROUP BY v),
+every AS (
+  SELECT doc_id, k, s, e FROM base
+  UNION ALL SELECT doc_id, k, s, e FROM runs JOIN peaks USING (v) WHERE h >= CASE {_LIMITS} ELSE {secrets.CLASSES[-1][2]} END - 1e-9),
+of_base AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, {_JOINED} AS base_spans
+  FROM base GROUP BY doc_id),
+of_all AS (SELECT doc_id, {_JOINED} AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN of_base USING (doc_id) LEFT JOIN of_all USING (doc_id)
+"""
+
 ORACLES = {
+    "op2_minhash_near_dedup": DUPLICATES,
+    "op7_secret_scans": SECRETS,
     "op1_chat_formatting": CHAT,
     "op9_quality_rules": f"WITH {QUALITY_CTES} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdicts",
 }
