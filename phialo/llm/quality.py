@@ -23,7 +23,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Highest rate that is never rejected, whatever a group's quartiles are (rates per 1000;
 #: mean word length in hundredths of a character).
-FLOORS = {"symbols": 150, "dup_lines": 300, "repeats": 250, "upper": 400, "word_length": 1400}
+FLOORS = {"symbols": 150, "dup_lines": 500, "repeats": 400, "upper": 400, "word_length": 1400}
 #: Sketch buckets: exact below 2**SUB_BITS, then 2**(SUB_BITS-1) buckets for each doubling.
 SUB_BITS = 6
 
