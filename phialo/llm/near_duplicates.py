@@ -9,9 +9,11 @@ nowhere is below 1e-6.  Pairs that meet and differ in more than ``FARTHEST`` pla
 dropped; the others are confirmed on their full sets.
 
 Equal sets are one class, so copies cost one row each.  Within a key's bucket the members
-are held against the bucket's best-connected member, not against each other.  Buckets whose
-members are still in several components then have all their pairs across components held
-against each other by array arithmetic, in blocks, and only near ones become rows.
+are held against the bucket's best-connected member, not against each other.  In buckets
+whose members are still in several components, the members outside the largest component
+are counted against all others by lists of who has which shingle, in blocks of a bounded
+number of shingles; only links that join two components become rows, so a block gives fewer
+rows than it has members.
 
 Defined results: a null text and a text without words have an empty set, which is linked
 with nothing; with fewer than five words the whole sequence is the one shingle; repeated
@@ -35,8 +37,10 @@ from phialo.llm.components import components
 
 PLACES, CHUNKS = 48, 12
 FARTHEST = 28
-#: Members of a bucket that are held against each other in one task.
-BLOCK = 2000
+#: Shingles of a bucket's members that are held in one task, for each of two sides.
+BLOCK = 500_000
+#: Bytes of a hash that tell shingles apart where members are counted; links are confirmed on all.
+SHORT = 5
 SIGNATURE = [f"s{c}" for c in range(CHUNKS)]
 _rng = np.random.default_rng(20240502)
 _TIMES = _rng.integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,8 +83,11 @@ def _name_sets(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_:
         for part in batches.slices(batch, "text"):
             values, bounds, name = _sets(part.column(0))
-            sets = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(sets, pa.binary())], names=["node", "set"])
+            short = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :SHORT])
+            rows = list(zip(bounds[:-1], bounds[1:], strict=True))
+            columns = [pa.array(name.view(np.int64)), pa.array([values[a:b].tobytes() for a, b in rows], pa.binary())]
+            columns.append(pa.array([short[a:b].tobytes() for a, b in rows], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "set", "short"])
 
 
 def keys() -> Column:
@@ -113,49 +120,81 @@ def _confirm(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) whose signatures are near and whose full sets are similar."""
+def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) whose sizes and signatures allow the similarity."""
     a, b = classes.alias("a"), classes.alias("b")
     sized = 100 * F.least("a.n_shingles", "b.n_shingles") >= percent * F.greatest("a.n_shingles", "b.n_shingles")
-    near = pairs.join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node")).where(sized & (distance("a", "b") <= FARTHEST))
-    near = near.select("u", "v")
-    full = near.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u")
+    both = pairs.join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node"))
+    return both.where(sized & (distance("a", "b") <= FARTHEST)).select("u", "v")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) whose full sets are similar."""
+    full = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u")
     full = full.join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v").select("u", "v", "set_u", "set_v")
     return full.mapInArrow(_confirm(percent), "u long, v long")
 
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """Near pairs of different components; rows with side 0 meet rows with side 1, or each other."""
-    sig = np.ascontiguousarray(group[SIGNATURE].to_numpy(np.int64)).view(np.uint16)
-    node, comp, side = (group[c].to_numpy() for c in ("node", "comp", "side"))
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+def joining_links(node: np.ndarray, comp: np.ndarray, sets: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, none of which follows from the others."""
+    sizes = np.array([len(x) // SHORT for x in sets])
+    raw = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, SHORT)
+    values = np.pad(raw, ((0, 0), (0, 8 - SHORT))).reshape(-1).view(np.uint64)
+    member = np.repeat(np.arange(len(sets)), sizes)
+    _, number = np.unique(values, return_inverse=True)
+    having = member[np.argsort(number, kind="stable")]  # members by shingle
+    times = np.bincount(number)
+    starts = np.cumsum(times) - times
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    _, group, many = np.unique(comp, return_inverse=True, return_counts=True)
+    leader = list(range(len(many)))
+
+    def top(g: int) -> int:
+        while leader[g] != g:
+            leader[g] = g = leader[leader[g]]
+        return g
+
     out = []
-    for i in left:
-        far = (sig[right] != sig[i]).sum(axis=1)
-        hit = right[(far <= FARTHEST) & (comp[right] != comp[i]) & ((node[right] > node[i]) | (right is not left))]
-        out.append(np.stack([np.minimum(node[i], node[hit]), np.maximum(node[i], node[hit])], axis=1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(pairs, columns=["u", "v"])
-
-
-def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Near pairs across components in buckets that still hold several components."""
-    named = members.join(labels.select("node", "component"), "node", "left")
-    named = named.select("key", "node", F.coalesce("component", "node").alias("comp"))
+    for i in np.flatnonzero(group != many.argmax()):
+        own = number[bounds[i] : bounds[i + 1]]
+        n = times[own]
+        places = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(having[places], minlength=len(sets))
+        hit = 100 * both >= percent * (sizes[i] + sizes - both)
+        for j in np.flatnonzero(hit & (group != group[i])):
+            a, b = top(group[i]), top(group[j])
+            if a != b:
+                leader[max(a, b)] = min(a, b)
+                out.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+    return out
+
+
+def open_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components in buckets that still hold several components."""
+    named = members.select("key", "node").join(labels.select("node", "component"), "node", "left").join(classes.select("node", "n_shingles"), "node")
+    named = named.select("key", "node", F.coalesce("component", "node").alias("comp"), "n_shingles")
     # buckets with the same members say the same: one of them is enough
     open_ = named.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("m2")
+        F.count(F.lit(1)).alias("size"),
+        F.sum("n_shingles").alias("shingles"),
+        F.min("comp").alias("lo"),
+        F.max("comp").alias("hi"),
+        F.bit_xor(F.xxhash64("node")).alias("m1"),
+        F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("m2"),
     )
-    open_ = open_.where("size > 2 AND lo <> hi").groupBy("size", "m1", "m2").agg(F.min("key").alias("key"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = named.join(open_.select("key", blocks.alias("blocks")), "key").join(classes.select("node", *SIGNATURE), "node")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a row meets each other block once: block pair (lower, higher), on the side of its own block
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"b0": F.least("own", "other"), "b1": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
-    schema = "u long, v long"
-    return rows.groupBy("key", "b0", "b1").applyInPandas(_across, schema).distinct()
+    open_ = open_.where("size > 2 AND lo <> hi").groupBy("size", "shingles", "m1", "m2").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.col("shingles") / BLOCK).cast("int")
+    rows = named.select("key", "node", "comp").join(open_.select("key", blocks.alias("blocks")), "key").join(sets.select("node", "short"), "node")
+    # a row goes to every pair of blocks with its own in it, so any two members meet
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("b0"), F.greatest("own", "other").alias("b1"), "node", "comp", "short")
+
+    def across(group: pd.DataFrame) -> pd.DataFrame:
+        links = joining_links(group["node"].to_numpy(), group["comp"].to_numpy(), list(group["short"]), percent)
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    return rows.groupBy("key", "b0", "b1").applyInPandas(across, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -180,11 +219,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     wanted = members.select("node").distinct().join(classes.select("node", "first"), "node").select(F.col("first").alias("id"), "node")
     ids = wanted.select("id").distinct()
     texts = source.join(ids, source["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_name_sets, "node long, set binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = texts.mapInArrow(_name_sets, "node long, set binary, short binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = scratch.table(sets, "sets")
-    links = scratch.table(confirmed(stars.distinct(), classes, sets, percent), "links")
+    links = scratch.table(confirmed(near(stars.distinct(), classes, percent), sets, percent), "links")
     labels = scratch.table(components(links), "labels")
-    more = confirmed(open_pairs(members, labels, classes), classes, sets, percent)
+    more = confirmed(open_links(members, labels, classes, sets, percent), sets, percent)
     labels = scratch.table(components(links.unionByName(more)), "labels")
     placed = signed.select("id", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     # only components with several rows are looked up; the others are their own

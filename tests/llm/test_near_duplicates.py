@@ -54,12 +54,12 @@ def edited(words, rng, n):
     return out
 
 
-@pytest.mark.parametrize("block", [2000, 5])
+@pytest.mark.parametrize("block", [500_000, 3000])
 def test_families_and_edges(spark, monkeypatch, block):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
     rng = random.Random(5)
     texts = [None, "", "  \n", "one two", "One TWO", "one two three", "ÄÖ ÄÖ", "äö äö"]
-    for size, edits in ((120, 2), (200, 4), (60, 1)):
+    for size, edits in ((120, 2), (200, 4), (60, 1), (150, 6)):
         base = [f"w{rng.randrange(5000)}" for _ in range(size)]
         chain = base
         for _ in range(40):
