@@ -37,8 +37,6 @@ def compare_sets(a: DataFrame, b: DataFrame, by: str | None = None) -> DataFrame
 
 def run_row_counts(rows: DataFrame) -> DataFrame:
     """U4: (metric, product_id, value) with zeros for products that a run lacks."""
-    counts = rows.groupBy("run", "product_id").agg(F.count(F.lit(1)).alias("n"))
-    runs, products = rows.select("run").distinct(), rows.select("product_id").distinct()
-    grid = F.broadcast(runs).crossJoin(products)  # a few runs for each product
-    filled = grid.join(counts, ["run", "product_id"], "left").na.fill({"n": 0})
-    return filled.select(F.concat(F.lit("rows_"), F.col("run").cast("string")).alias("metric"), "product_id", F.col("n").alias("value"))
+    runs = [r["run"] for r in rows.select("run").distinct().orderBy("run").collect()]  # a comparison has a handful of runs
+    counts = rows.groupBy("product_id").agg(*[F.count_if(F.col("run") == r).alias(f"rows_{r}") for r in runs])
+    return counts.unpivot("product_id", [f"rows_{r}" for r in runs], "metric", "value")
