@@ -1,11 +1,11 @@
 """A bigram model of the corpus in Elias-Fano tries, and the scores of all texts.
 
-Texts become blocks: a sorted vocabulary of word hashes with training counts, and tokens as
-numbers in it.  Word counts are an ordinary grouping of the blocks' vocabularies, joined back
-to them.  Bigrams are dealt into shards by a hash of the context (contexts with a thousandth
-or more of all tokens, at most a thousand, by context and word, so that none fills a shard).
-A shard adds up the counts of its bigrams, builds its trie and answers every bigram that a
-block asks for by one byte.  Nothing of the model's size is sent to the driver or broadcast:
+Texts become blocks: a sorted vocabulary of word hashes, and tokens as numbers in it.  Words
+are dealt into shards by their hash; a shard adds up the blocks' counts and answers each
+block.  Bigrams are dealt by a hash of the context (contexts with a thousandth or more of all
+tokens, at most a thousand, by context and word, so that none fills a shard).  A shard adds
+up the counts of its bigrams, builds its trie and answers every bigram that a block asks for
+by one byte.  Nothing of the model's size is sent to the driver or broadcast:
 it exists in shards only, whose number grows with the corpus.
 
 A trie holds, over one memory-mapped file: the shard's words and contexts (sorted hashes),
@@ -34,6 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +42,16 @@ from phialo import scratch
 from phialo.llm import batches, wordhash
 from phialo.llm.elias_fano import EliasFano, encode
 
-BLOCK_TOKENS = 2_000_000
-SHARD_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_250_000
+#: Tokens of all texts for each shard of bigrams; a shard of words has five times as many.
+SHARD_TOKENS = 1_000_000
 #: A word with this share of all tokens is dealt by its successors too; there are at most so many.
 HOT = 1000
 END = np.uint64(0x454E44)
 START = np.uint64(0x53544152)
-WORD_BITS = np.uint64((1 << 40) - 1)
+#: Five bytes of a hash tell contexts, and a context's successors, apart.
+SHORT = 5
+SHORT_BITS = np.uint64((1 << 8 * SHORT) - 1)
 #: Codes of log10: 0 is "absent", 1..255 are equal steps from LOWEST to 0.
 LOWEST = -8.0
 
@@ -61,6 +65,25 @@ def to_code(x: np.ndarray) -> np.ndarray:
 DECODED = np.concatenate([[0.0], 10.0 ** ((np.arange(255) / 254 - 1) * -LOWEST)])
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 as compressed byte planes."""
+    planes = np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.uint32)
+
+
+def shortened(hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :SHORT]).tobytes()
+
+
+def lengthened(data: bytes) -> np.ndarray:
+    return np.pad(np.frombuffer(data, np.uint8).reshape(-1, SHORT), ((0, 0), (0, 8 - SHORT))).reshape(-1).view(np.uint64)
+
+
 # --- blocks -----------------------------------------------------------------------------
 
 
@@ -71,17 +94,14 @@ def _encode(folds: int, left_out: int, most: int):
         def block() -> pa.RecordBatch:
             flat = np.concatenate(tokens)
             vocabulary, numbers = np.unique(flat, return_inverse=True)
-            learnt = np.repeat(~np.array(held, dtype=bool), lengths)
-            counts = np.bincount(numbers[learnt], minlength=len(vocabulary)).astype(np.int64)
             columns = [
                 pa.array([ids], pa.list_(id_type)),
                 pa.array([held], pa.list_(pa.bool_())),
                 pa.array([lengths], pa.list_(pa.int32())),
                 pa.array([vocabulary.view(np.int64)], pa.list_(pa.int64())),
-                pa.array([counts], pa.list_(pa.int64())),
-                pa.array([numbers.astype(np.uint32).tobytes()], pa.binary()),
+                pa.array([packed(numbers)], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=["ids", "held", "lengths", "vocabulary", "counts", "tokens"])
+            return pa.RecordBatch.from_arrays(columns, names=["ids", "held", "lengths", "vocabulary", "tokens"])
 
         id_type = None
         for batch in batches_:
@@ -104,7 +124,7 @@ def _encode(folds: int, left_out: int, most: int):
 
 def blocks_of(docs: DataFrame, kind: str, folds: int, left_out: int, most: int = BLOCK_TOKENS) -> DataFrame:
     """Stored blocks of (id, text) rows, each with a name."""
-    schema = f"ids array<{kind}>, held array<boolean>, lengths array<int>, vocabulary array<long>, counts array<long>, tokens binary"
+    schema = f"ids array<{kind}>, held array<boolean>, lengths array<int>, vocabulary array<long>, tokens binary"
     made = docs.mapInArrow(_encode(folds, left_out, most), schema)
     return scratch.table(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
@@ -114,7 +134,7 @@ class Bigrams:
 
     def __init__(self, vocabulary: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, hot: np.ndarray, shards: int):
         size = np.uint64(len(vocabulary) + 1)
-        names = np.concatenate([vocabulary.view(np.uint64), [START]]).astype(np.uint64)
+        names = np.concatenate([vocabulary.view(np.uint64), [START]]).astype(np.uint64) & SHORT_BITS
         before = np.empty(len(tokens), np.uint64)
         before[1:] = tokens[:-1]
         before[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = size - np.uint64(1)
@@ -124,7 +144,7 @@ class Bigrams:
         self.spread = np.isin(context, hot)
         where[self.spread] ^= wordhash.mix(word[self.spread] + np.uint64(1))
         shard = (wordhash.mix(where) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((word & WORD_BITS, context, shard))
+        order = np.lexsort((word, context, shard))
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         self.of_token = place[of_token]
@@ -135,7 +155,7 @@ def _block(batch: pa.RecordBatch, row: int, hot: np.ndarray, shards: int):
     of = lambda name: batch.column(batch.schema.get_field_index(name))[row]
     lengths = of("lengths").values.to_numpy()
     vocabulary = of("vocabulary").values.to_numpy()
-    tokens = np.frombuffer(of("tokens").as_buffer(), np.uint32)
+    tokens = unpacked(of("tokens").as_buffer())
     return lengths, Bigrams(vocabulary, lengths, tokens, hot, shards), tokens
 
 
@@ -163,10 +183,9 @@ def _ask(hot: np.ndarray, shards: int):
                 for a, b in zip(starts[:-1], starts[1:], strict=True):
                     own = _runs(bigrams.context[a:b])
                     out["shard"].append(int(bigrams.shard[a]))
-                    out["contexts"].append(bigrams.context[a:b][own[:-1]].tobytes())
+                    out["contexts"].append(shortened(bigrams.context[a:b][own[:-1]]))
                     out["successors"].append(np.diff(own).astype(np.uint32).tobytes())
-                    # five bytes of a hash tell a context's successors apart
-                    out["words"].append(np.ascontiguousarray(bigrams.word[a:b].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
+                    out["words"].append(shortened(bigrams.word[a:b]))
                     out["times"].append(counts[a:b].tobytes())
                 n = len(out["shard"])
                 block = batch.column(batch.schema.get_field_index("block"))[row].as_py()
@@ -177,6 +196,54 @@ def _ask(hot: np.ndarray, shards: int):
     return run
 
 
+# --- words ---------------------------------------------------------------------------------
+
+
+def _word_shards(vocabulary: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of a block's words by shard (then hash), and their shards in it."""
+    shard = (wordhash.mix(vocabulary + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, shard[order]
+
+
+def _ask_words(shards: int):
+    """For each block and shard: hashes of words, training counts."""
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            for row in range(batch.num_rows):
+                block, held, lengths, vocabulary, tokens = (batch.column(c)[row] for c in range(5))
+                words = vocabulary.values.to_numpy().view(np.uint64)
+                learnt = np.repeat(~held.values.to_numpy(zero_copy_only=False), lengths.values.to_numpy())
+                counts = np.bincount(unpacked(tokens.as_buffer())[learnt], minlength=len(words)).astype(np.uint32)
+                order, shard = _word_shards(words, shards)
+                words, counts, starts = words[order], counts[order], _runs(shard)
+                parts = list(zip(starts[:-1], starts[1:], strict=True))
+                columns = [pa.array(shard[starts[:-1]], pa.int32()), pa.array([block.as_py()] * len(parts), pa.int64())]
+                columns += [pa.array([x[a:b].tobytes() for a, b in parts], pa.binary()) for x in (words, counts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "block", "words", "times"])
+
+    return run
+
+
+def _answer_words(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Total counts of the words that blocks ask for; the last row names frequent words."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        words = np.frombuffer(b"".join(rows["words"]), np.uint64)
+        times = np.frombuffer(b"".join(rows["times"]), np.uint32)
+        known, number = np.unique(words, return_inverse=True)
+        total = np.bincount(number, weights=times, minlength=len(known)).astype(np.int64)
+        ends = np.cumsum([0] + [len(x) // 8 for x in rows["words"]])
+        shard = int(rows["shard"].iloc[0])
+        out = [(int(b), shard, packed(total[number[a:z]]), 0, [], []) for b, a, z in zip(rows["block"], ends[:-1], ends[1:], strict=True)]
+        hot = (total >= least) & (total > 0) & (known != END)
+        out.append((-1, shard, b"", int((total > 0).sum()), known[hot].view(np.int64).tolist(), total[hot].tolist()))
+        return pd.DataFrame(out, columns=["block", "shard", "counts", "known", "hot", "times"])
+
+    return run
+
+
 # --- tries ------------------------------------------------------------------------------
 
 
@@ -251,9 +318,8 @@ def _answer(hot: np.ndarray, hot_counts: np.ndarray) -> Callable[[pd.DataFrame],
         context, word, times, ends = [], [], [], [0]
         for r in rows.itertuples():
             many = np.frombuffer(r.successors, np.uint32)
-            context.append(np.repeat(np.frombuffer(r.contexts, np.uint64), many))
-            raw = np.frombuffer(r.words, np.uint8).reshape(-1, 5)
-            word.append(np.pad(raw, ((0, 0), (0, 3))).reshape(-1).view(np.uint64))
+            context.append(np.repeat(lengthened(r.contexts), many))
+            word.append(lengthened(r.words))
             times.append(np.frombuffer(r.times, np.uint32).astype(np.int64))
             ends.append(ends[-1] + len(word[-1]))
         asked_context, asked_word, times = np.concatenate(context), np.concatenate(word), np.concatenate(times)
@@ -298,15 +364,16 @@ def _answer(hot: np.ndarray, hot_counts: np.ndarray) -> Callable[[pd.DataFrame],
 # --- scores -----------------------------------------------------------------------------
 
 
-def _score(hot: np.ndarray, hot_weights: np.ndarray, shards: int, n: int, v: int):
+def _score(hot: np.ndarray, hot_weights: np.ndarray, shards: int, word_shards: int, n: int, v: int):
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
             get = lambda name: batch.column(batch.schema.get_field_index(name))
             for row in range(batch.num_rows):
                 lengths, bigrams, tokens = _block(batch, row, hot, shards)
-                counts = np.zeros(len(get("vocabulary")[row].values), np.int64)
-                named = get("known")[row].values
-                counts[named.field(0).to_numpy()] = named.field(1).to_numpy()
+                words = get("vocabulary")[row].values.to_numpy().view(np.uint64)
+                counts = np.zeros(len(words), np.int64)
+                order, _ = _word_shards(words, word_shards)
+                counts[order] = np.concatenate([unpacked(x["counts"]) for x in sorted(get("word_answers")[row].as_py(), key=lambda x: x["shard"])])
                 base = (counts + 1) / (n + v + 1)
                 answers = sorted(get("answers")[row].as_py(), key=lambda a: a["shard"])
                 a = DECODED[np.frombuffer(b"".join(x["codes"] for x in answers), np.uint8)]
@@ -343,17 +410,19 @@ def score_texts(
     spark = docs.sparkSession
     kind = docs.schema[id].dataType.simpleString()
     blocks = blocks_of(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), kind, folds, left_out, block_tokens)
-    words = blocks.select("block", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("at", "z")).select(
-        "block", "at", F.col("z.vocabulary").alias("word"), F.col("z.counts").alias("c")
-    )
-    counts = scratch.table(words.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "counts")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    everything = blocks.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))).first()[0]
-    learnt = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()[0]
-    shards = max(1, -(-everything // shard_tokens))
+    lengths = F.zip_with("lengths", "held", lambda n, held: F.when(held, 0).otherwise(n))
+    total = lambda x: F.coalesce(F.sum(F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)), F.lit(0))
+    learnt = F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))
+    everything, n, learnt = blocks.agg(total("lengths"), total(lengths), learnt).first()
+    shards, word_shards = max(1, -(-everything // shard_tokens)), max(1, -(-everything // (5 * shard_tokens)))
+    asked = blocks.select("block", "held", "lengths", "vocabulary", "tokens").mapInArrow(_ask_words(word_shards), "shard int, block long, words binary, times binary")
+    counted = asked.groupBy("shard").applyInPandas(_answer_words(n / HOT), "block long, shard int, counts binary, known long, hot array<long>, times array<long>")
+    counted = scratch.table(counted, "counts")
+    v = counted.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     # at most HOT words have a HOT-th of all tokens
-    often = {r["word"] % 2**64: r["c"] for r in counts.where(F.col("c") * HOT >= n).where(F.col("word") != int(END)).collect()}
-    often[int(START)] = max(learnt, 1)
+    found = counted.where("block < 0").select(F.explode(F.arrays_zip("hot", "times")).alias("z")).select("z.*").collect()
+    often = {(r["hot"] % 2**64) & int(SHORT_BITS): r["times"] for r in found}
+    often[int(START) & int(SHORT_BITS)] = max(learnt, 1)
     hot = np.array(sorted(often), np.uint64)
     hot_counts = np.array([often[int(x)] for x in hot], float)
     asks = blocks.select("block", "held", "lengths", "vocabulary", "tokens").mapInArrow(
@@ -367,9 +436,8 @@ def score_texts(
     taken = answered.where("block < 0").select(F.explode(F.arrays_zip("hot", "off")).alias("z")).groupBy("z.hot").agg(F.sum("z.off").alias("off"))
     off = {r["hot"] % 2**64: r["off"] for r in taken.collect()}
     hot_weights = np.array([min(1.0, off[int(x)] / c) if int(x) in off else 1.0 for x, c in zip(hot, hot_counts, strict=True)])
-    known = words.join(counts.withColumnRenamed("c", "total"), "word").groupBy("block").agg(F.collect_list(F.struct("at", "total")).alias("known"))
     answers = answered.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "codes", "weights")).alias("answers"))
-    ready = blocks.drop("counts").join(known, "block", "left").join(answers, "block")
-    ready = ready.withColumn("known", F.coalesce("known", F.array().cast("array<struct<at:int,total:bigint>>")))
+    word_answers = counted.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("word_answers"))
+    ready = blocks.join(word_answers, "block").join(answers, "block")
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return ready.mapInArrow(_score(hot, hot_weights, shards, n, v), schema).withColumnRenamed("id", id)
+    return ready.mapInArrow(_score(hot, hot_weights, shards, word_shards, n, v), schema).withColumnRenamed("id", id)
