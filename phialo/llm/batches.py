@@ -59,7 +59,9 @@ def with_columns(
                 texts = [x or "" for x in part.column(len(names)).to_pylist()]
                 new = work(texts)
                 columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(names))]
-                columns += [pa.array(new[f.name], type=arrow.field(f.name).type) for f in added.fields]
+                for f in added.fields:
+                    made, kind = new[f.name], arrow.field(f.name).type
+                    columns.append(made.cast(kind) if isinstance(made, pa.Array) else pa.array(made, type=kind))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return source.mapInArrow(run, schema)

@@ -17,12 +17,14 @@ done one by one; an empty table gives an empty table; clashing columns of the in
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush, nsmallest
-from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,10 +34,11 @@ from phialo.llm.piece_model import SPACE, STORED, Pieces
 
 Path = tuple[float, tuple[int, ...]]  # score, ids
 INF = float("inf")
+WIDTH = 4  # bytes of an id
 
 
 class Lattice(dict):
-    """For each word: ids of the best segmentation, its score, its loss to the second best."""
+    """For each word: ids of the best segmentation (as bytes), its score, its loss to the second best."""
 
     def __init__(self, pieces: Pieces, n: int):
         super().__init__()
@@ -43,22 +46,12 @@ class Lattice(dict):
         self.unknown = min(pieces.scores.values()) - 10.0
         self.of_parts: dict[str, tuple[tuple[int, ...], float, float]] = {}
         self.turned: dict[str, list[Path]] = {}
-        #: Lengths of the pieces that begin with two characters.
+        #: Lengths of the longer pieces by their first three characters.
         lengths: dict[str, set[int]] = {}
         for p in pieces.scores:
-            lengths.setdefault(p[:2], set()).add(len(p))
-        self.lengths = {k: sorted(x for x in v if x > 1) for k, v in lengths.items()}
-
-    def edges(self, part: str, at: int) -> list[tuple[int, float]]:
-        """(end, score) of the edges that start at a place."""
-        scores, size = self.pieces.scores, len(part)
-        out = [(at + 1, scores.get(part[at], self.unknown))]
-        for k in self.lengths.get(part[at : at + 2], ()):
-            if (end := at + k) > size:
-                break
-            if (s := scores.get(part[at:end])) is not None:
-                out.append((end, s))
-        return out
+            if len(p) > 2:
+                lengths.setdefault(p[:3], set()).add(len(p))
+        self.lengths = {k: sorted(v) for k, v in lengths.items()}
 
     def ids_of(self, piece: str) -> tuple[int, ...]:
         if (i := self.pieces.ids.get(piece)) is not None:
@@ -67,14 +60,26 @@ class Lattice(dict):
 
     def forward(self, part: str) -> tuple[list[float], list[int], list[list[tuple[int, float]]]]:
         """Viterbi: best score to each place, where its last piece starts, edges by start."""
-        size = len(part)
+        size, score, lengths, unknown = len(part), self.pieces.scores.get, self.lengths.get, self.unknown
         best, back, out = [0.0] + [-INF] * size, [0] * (size + 1), []
         for at in range(size):
             f = best[at]
-            out.append(edges := self.edges(part, at))
-            for end, s in edges:
-                if f + s > best[end]:
-                    best[end], back[end] = f + s, at
+            s = score(part[at], unknown)
+            edges = [(at + 1, s)]
+            if f + s > best[at + 1]:
+                best[at + 1], back[at + 1] = f + s, at
+            if at + 2 <= size and (s := score(part[at : at + 2])) is not None:
+                edges.append((at + 2, s))
+                if f + s > best[at + 2]:
+                    best[at + 2], back[at + 2] = f + s, at
+            for k in lengths(part[at : at + 3], ()):
+                if (end := at + k) > size:
+                    break
+                if (s := score(part[at:end])) is not None:
+                    edges.append((end, s))
+                    if f + s > best[end]:
+                        best[end], back[end] = f + s, at
+            out.append(edges)
         return best, back, out
 
     def best(self, part: str) -> tuple[tuple[int, ...], float, float]:
@@ -133,9 +138,8 @@ class Lattice(dict):
             if (one := self.of_parts.get(part)) is None:
                 one = self.of_parts[part] = self.best(part)
             found.append(one)
-        if len(found) > 1:
-            one = (tuple(i for x in found for i in x[0]), sum(x[1] for x in found), min(x[2] for x in found))
-        self[word] = one
+        ids = array("i", [i for x in found for i in x[0]]).tobytes()
+        one = self[word] = (ids, sum([x[1] for x in found]), min([x[2] for x in found]))
         return one
 
     def options(self, word: str) -> list[Path]:
@@ -148,13 +152,13 @@ class Lattice(dict):
             self.turned[word] = out
         return out
 
-    def text(self, text: str) -> tuple[list[int], list[tuple[float, list[tuple[int, int, list[int]]]]]]:
+    def text(self, text: str) -> tuple[bytes, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
         """Ids of the best segmentation; score and edits (place, dropped, new ids) of the n best."""
         words = self.pieces.words(text)
         if not words:
-            return [], [(0.0, [])]
+            return b"", [(0.0, [])]
         found = list(map(self.__getitem__, words))
-        ids = list(chain.from_iterable([f[0] for f in found]))
+        ids = b"".join([f[0] for f in found])
         total = sum([f[1] for f in found])
         # with n best wanted, at most n - 1 words differ from their best in any of them
         losses, turned = [f[2] for f in found], set()
@@ -173,8 +177,8 @@ class Lattice(dict):
         for k in range(max(turned, default=-1) + 1):
             if k in turned:
                 places[k] = at
-            at += len(found[k][0])
-        return ids, [(total - loss, [(places[k], len(found[k][0]), list(choices[k][j][1])) for k, j in picks]) for loss, picks in options]
+            at += len(found[k][0]) // WIDTH
+        return ids, [(total - loss, [(places[k], len(found[k][0]) // WIDTH, list(choices[k][j][1])) for k, j in picks]) for loss, picks in options]
 
 
 def decode(pieces: Pieces, ids: list[int]) -> str:
@@ -225,14 +229,16 @@ def encode(docs: DataFrame, model: str, n: int = 4, text: str = "text") -> DataF
 
         def work(texts: list[str]) -> dict:
             for store in (lattice, lattice.of_parts, lattice.turned):
-                batches.trim(store, STORED // 2)
-            out: dict[str, list] = {"ids": [], "nbest": [], "round_trip": []}
+                batches.trim(store, STORED)
+            coded, nbest, same = [], [], []
             for t in texts:
-                ids, options = lattice.text(t)
-                out["ids"].append(ids)
-                out["nbest"].append([{"score": s, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in edits]} for s, edits in options])
-                out["round_trip"].append(decode(pieces, ids) == t.replace(SPACE, " "))
-            return out
+                raw, options = lattice.text(t)
+                coded.append(raw)
+                nbest.append([{"score": s, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in edits]} for s, edits in options])
+                same.append(decode(pieces, np.frombuffer(raw, np.int32).tolist()) == t.replace(SPACE, " "))
+            bounds = np.cumsum([0] + [len(x) // WIDTH for x in coded]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+            return {"ids": ids, "nbest": nbest, "round_trip": same}
 
         return work
 

@@ -1,5 +1,6 @@
 """N-best segmentation against enumeration, and round trips."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -33,7 +34,8 @@ def applied(ids, edits):
 def test_against_enumeration(text):
     pieces = Pieces(MODEL)
     lattice = segmentation.Lattice(pieces, 6)
-    ids, options = lattice.text(text)
+    raw, options = lattice.text(text)
+    ids = np.frombuffer(raw, np.int32).tolist()
     every = sorted(enumerate_all(pieces, "▁" + text.replace(" ", "▁"), lattice.unknown), reverse=True)
     assert [s for s, _ in options] == [s for s, _ in every[:6]]
     found = [applied(ids, edits) for _, edits in options]
