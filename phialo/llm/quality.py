@@ -3,8 +3,9 @@
 Every text gets a few counts.  The counts become integer rates, each rate goes into a
 log-linear bucket sketch per language and source (bucket counts: sketches of parts merge by
 adding them up), and quartiles read from the sketches give each group its own limits.  The
-limits are joined back to the documents.  A group with fewer than ``min_group`` rows takes
-the sketch of its language, merged from all sources.
+limits are joined back to the documents.  A group's limit is the smaller of its own and its
+language's, merged from all sources; one with fewer than ``min_group`` rows takes its
+language's.  Where quartiles meet, ``MARGINS`` and ``FREE`` stand in for the spread.
 
 Defined results: a null text counts as empty (no words, so it fails the base rule); null
 ``lang`` or ``source`` form groups of their own; repeated rows are judged one by one; an
@@ -21,8 +22,12 @@ from phialo import scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Highest rate that is never rejected, whatever a group's quartiles are (rates per 1000;
-#: mean word length in hundredths of a character).
+#: Least distance of a limit from the third quartile (rates per 1000; mean word length in
+#: hundredths of a character).
+MARGINS = {"symbols": 5, "dup_lines": 5, "repeats": 5, "upper": 5, "word_length": 10}
+#: Counts that no limit rejects: two symbols, one repeated line, the words of its two copies.
+FREE = {"symbols": ("n_symbols", 2), "dup_lines": ("n_dup_lines", 1), "repeats": ("n_repeat_words", 40)}
+#: Fixed limits of the earlier rules; only the SQL oracle still states them.
 FLOORS = {"symbols": 150, "dup_lines": 500, "repeats": 400, "upper": 400, "word_length": 1400}
 #: Sketch buckets: exact below 2**SUB_BITS, then 2**(SUB_BITS-1) buckets for each doubling.
 SUB_BITS = 6
@@ -133,17 +138,13 @@ def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 def thresholds(sketch: DataFrame, lang: str, source: str, min_group: int, spread: int) -> DataFrame:
     """One row for each (lang, source) with the upper limit of every rate (``max_<rate>``)."""
-    own = quartiles(sketch, [lang, source])
-    whole = quartiles(merge(sketch, [lang]), [lang]).select(
-        F.col(lang).alias("_l"), F.col("metric").alias("_m"), F.col("q1").alias("_q1"), F.col("q3").alias("_q3")
-    )
+    margin = F.create_map(*[F.lit(x) for pair in MARGINS.items() for x in pair])[F.col("metric")]
+    limit = F.col("q3") + F.greatest(spread * (F.col("q3") - F.col("q1")), margin)
+    own = quartiles(sketch, [lang, source]).withColumn("own", limit)
+    whole = quartiles(merge(sketch, [lang]), [lang]).select(F.col(lang).alias("_l"), F.col("metric").alias("_m"), limit.alias("whole"))
     both = own.join(whole, own[lang].eqNullSafe(whole["_l"]) & (own["metric"] == whole["_m"]))
-    small = F.col("rows") < min_group
-    q1, q3 = F.when(small, F.col("_q1")).otherwise(F.col("q1")), F.when(small, F.col("_q3")).otherwise(F.col("q3"))
-    limit = q3 + spread * (q3 - q1)
-    return both.groupBy(lang, source).agg(
-        *[F.max(F.when(F.col("metric") == k, F.greatest(limit, F.lit(v)))).alias(f"max_{k}") for k, v in FLOORS.items()]
-    )
+    limit = F.when(F.col("rows") < min_group, F.col("whole")).otherwise(F.least("own", "whole"))
+    return both.groupBy(lang, source).agg(*[F.max(F.when(F.col("metric") == k, limit)).alias(f"max_{k}") for k in MARGINS])
 
 
 def judged(docs: DataFrame, text: str, lang: str, source: str, min_group: int, spread: int, keep_text: bool) -> DataFrame:
@@ -155,7 +156,10 @@ def judged(docs: DataFrame, text: str, lang: str, source: str, min_group: int, s
     joined = counted.join(limits, counted[lang].eqNullSafe(limits["_lang"]) & counted[source].eqNullSafe(limits["_source"]), "left")
     good = F.lit(True)
     for name, rate in rates().items():
-        good = good & F.coalesce(rate <= F.col(f"max_{name}"), F.lit(True))
+        within = rate <= F.col(f"max_{name}")
+        if name in FREE:
+            within = within | (F.col(FREE[name][0]) <= FREE[name][1])
+        good = good & F.coalesce(within, F.lit(True))
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(good)
     own = [c for c in counted.columns if c != "kept"]
     return joined.select(*own, kept.alias("kept"))

@@ -159,6 +159,16 @@ def test_quality_limits_adapt(spark):
     assert out[0]["kept"] and out[200]["kept"] and not out[400]["kept"] and not out[401]["kept"]
 
 
+def test_quality_quartiles_decide(spark):
+    """Under the fixed floors no quartile decided; a junk source is held to its language's limit."""
+    text = " ".join(f"w{i}x" for i in range(100))
+    rows = [(i, text, "en", "clean") for i in range(400)] + [(500 + i, text + " #" * 20, "en", "junk") for i in range(120)]
+    rows += [(700, text + " # a # b # c # d # e #", "en", "clean"), (701, text.replace("w1x", "w1&"), "en", "clean")]
+    rows += [(702, f"one line here\n{text}\none line here", "en", "clean"), (703, text.upper(), "en", "clean")]
+    out = by_id(quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert [out[i]["kept"] for i in (0, 500, 700, 701, 702, 703)] == [True, False, False, True, True, False]
+
+
 @pytest.mark.parametrize("capacity", [4096, 64])
 def test_packing(spark, edge, capacity):
     from tokenizers import Tokenizer
