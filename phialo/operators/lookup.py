@@ -2,7 +2,8 @@
 
 Vocabulary rows: sab, code, name, cui.  A term is looked up once, whatever its number of
 rows.  Word lookups block by token: the term's rarest word finds the names that hold it, and
-all of the term's words must be among the name's.
+all of the term's words must be among the name's.  Rough lookups block by pieces: a name cut
+into one piece more than the edits it may have keeps one piece whole in every term near it.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phialo import scratch
 from phialo.functions import text as T
 
 
@@ -42,11 +44,52 @@ def _by_token(terms: DataFrame, names: DataFrame) -> DataFrame:
     return rarest.join(tokens, "token")
 
 
+#: Pieces that more terms and names share are dealt in blocks of about this many rows a side.
+BLOCK = 2000
+
+
+def _by_pieces(terms: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """All (_t, _n) pairs of lower-cased terms and names whose similarity is at least ``threshold`` (above 0).
+
+    A pair's edits are at most ``_k - 1``, so one of the name's ``_k`` pieces stands whole in the
+    term, with at most ``i`` edits in front of it and ``_k - 1 - i`` behind.
+    """
+    pieces = f"cast(floor(({1 - threshold!r}) / {threshold!r} * _len + 1e-9) AS int) + 1"
+    cut = "cast(floor(i * _len / _k) AS int)"
+    until = "cast(floor((i + 1) * _len / _k) AS int)"
+    key = ["_len", "i", "piece"]
+    n = names.select(F.lower("name").alias("_n")).where("_n IS NOT NULL").distinct().withColumn("_len", F.length("_n"))
+    n = n.withColumn("_k", F.expr(pieces)).select("*", F.explode(F.expr("sequence(0, _k - 1)")).alias("i"))
+    n = n.selectExpr("_n", "_len", "i", f"substring(_n, {cut} + 1, {until} - {cut}) AS piece")
+    t = terms.select(F.lower("term").alias("_t")).distinct().withColumn("_own", F.length("_t"))
+    lengths = f"sequence(cast(ceil(_own * {threshold!r} - 1e-9) AS int), cast(floor(_own / {threshold!r} + 1e-9) AS int))"
+    t = t.select("*", F.explode(F.expr(lengths)).alias("_len")).join(F.broadcast(n.select("_len").distinct()), "_len")  # one row a length
+    t = t.withColumn("_k", F.expr(pieces)).select("*", F.explode(F.expr("sequence(0, _k - 1)")).alias("i"))
+    t = t.selectExpr("*", f"{cut} AS _a", f"{until} - {cut} AS _size")
+    t = t.withColumn("_from", F.expr("greatest(_a - i, _a + _own - _len - (_k - 1 - i), 0)"))
+    t = t.withColumn("_to", F.expr("least(_a + i, _a + _own - _len + (_k - 1 - i), _own - _size)")).where("_from <= _to")
+    t = t.select("_t", "_len", "i", "_size", F.explode(F.expr("sequence(_from, _to)")).alias("_at"))
+    t = t.selectExpr("_t", "_len", "i", "substring(_t, _at + 1, _size) AS piece").distinct()
+    n, t = scratch.table(n, "name_pieces"), scratch.table(t, "term_pieces")
+    # frequent pieces: both sides in blocks, every block of one side meets every block of the other
+    often = lambda side, c: side.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(c))
+    hot = often(n, "_nb").join(often(t, "_tb"), key).where("_nb > 1 OR _tb > 1")
+    hot = scratch.table(hot, "hot_pieces")
+    spread = lambda side, own, a, b: (
+        side.join(hot, key, "left")
+        .na.fill(1, ["_nb", "_tb"])
+        .select(own, *key, F.expr(f"pmod(xxhash64({own}), {a})").alias(f"{a}_at"), F.explode(F.expr(f"sequence(0L, {b} - 1L)")).alias(f"{b}_at"))
+    )
+    both = spread(t, "_t", "_tb", "_nb").join(spread(n, "_n", "_nb", "_tb"), [*key, "_tb_at", "_nb_at"])
+    longest = F.greatest(F.length("_t"), F.length("_n"))
+    return both.where(1 - F.levenshtein("_t", "_n") / longest >= threshold).select("_t", "_n").distinct()
+
+
 def hits(terms: DataFrame, vocab: DataFrame, sabs: list[str], modes: list[str], threshold: float = 0.8) -> DataFrame:
     """All hits of distinct terms: term, mode_rank, and the vocabulary's columns.
 
     exact: equal names; normalized: equal normal forms; words: all words of the term in the
-    name; approximate: names with the term's rarest word and a small edit distance.
+    name; approximate: names within a small edit distance.
     """
     names = _usable(vocab, sabs)
     found = []
@@ -54,13 +97,11 @@ def hits(terms: DataFrame, vocab: DataFrame, sabs: list[str], modes: list[str],
         if mode in ("exact", "normalized"):
             form = (lambda c: F.lower(T.strip(c))) if mode == "exact" else normal_form
             hit = terms.withColumn("_k", form(F.col("term"))).join(names.withColumn("_k", form(F.col("name"))), "_k").where("_k <> ''").drop("_k")
+        elif mode == "words":
+            hit = _by_token(terms, names).where(F.size(F.array_except(words_of(F.col("term")), words_of(F.col("name")))) == 0)
         else:
-            near = _by_token(terms, names)
-            if mode == "words":
-                hit = near.where(F.size(F.array_except(words_of(F.col("term")), words_of(F.col("name")))) == 0)
-            else:
-                longest = F.greatest(F.length("term"), F.length("name"))
-                hit = near.where(1 - F.levenshtein(F.lower("term"), F.lower("name")) / longest >= threshold)
+            pairs = _by_pieces(terms, names, threshold)
+            hit = terms.withColumn("_t", F.lower("term")).join(pairs, "_t").join(names.withColumn("_n", F.lower("name")), "_n")
         found.append(hit.select("term", F.lit(rank).alias("mode_rank"), F.lit(mode).alias("mode"), "sab", "sab_rank", "code", "name", "cui"))
     out = found[0]
     for more in found[1:]:

@@ -1,5 +1,7 @@
 """Vocabulary lookups and back-fills on a small vocabulary."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from phialo.operators import lookup, sampling
@@ -32,6 +34,29 @@ def test_second_pass(spark):
     assert got == {"nausea (mild) and pain": ("nausea and pain", "5"), "acute heart failure": ("acute heart failure", "4"), "nausae": ("nausae", "0"), "ab": ("ab", "0")}
 
 
+def test_approximate_finds_all_pairs(spark):
+    """Misspelt words find their names: as many pairs as comparing all with all."""
+    rng = random.Random(3)
+    words = ["nausea", "rash", "heart failure", "acute renal failure", "ab", "customer#0001", "hepatitis b", "x", "abdominal pain upper"]
+
+    def typo(w):
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randint(0, len(w))
+            w = w[:at] + rng.choice(["", "a", "e", "#"]) + w[at + rng.randint(0, 1) :]
+        return w or "z"
+
+    names = sorted({typo(rng.choice(words)).title() for _ in range(150)} | {"Nausea"})
+    asked = sorted({typo(rng.choice(words)) for _ in range(150)} | {"nauseaa"})
+    book = spark.createDataFrame([("MDR", str(i), n, "C") for i, n in enumerate(names)], "sab string, code string, name string, cui string")
+    pairs = terms(spark, *asked).crossJoin(book).withColumn("far", F.levenshtein(F.lower("term"), F.lower("name")) / F.greatest(F.length("term"), F.length("name")))
+    for least, block in ((0.8, 2000), (0.6, 7), (0.4, 2000)):
+        lookup.BLOCK, before = block, lookup.BLOCK
+        got = sorted((r["term"], r["name"]) for r in lookup.hits(terms(spark, *asked), book, ["MDR"], ["approximate"], least).collect())
+        lookup.BLOCK = before
+        assert got == sorted((r["term"], r["name"]) for r in pairs.where(1 - F.col("far") >= least).collect())
+        assert ("nauseaa", "Nausea") in got
+
+
 def test_crosswalk_and_backfill(spark):
     targets = lookup.icd_targets(lookup.term_index(adrs(spark)))
     got = {r["term"]: (r["icd_code_new"], r["source"]) for r in lookup.icd_crosswalk(targets, vocab(spark)).collect()}
