@@ -386,7 +386,7 @@ def a4_audit_summary(spark, d):
 
 @query
 def x6_clean_text(spark, d):
-    return Tables(spark, d).pages.select("page_id", sections.clean_text(F.col("html")).alias("text"))
+    return Tables(spark, d).pages.select("page_id", sections.clean_text(F.col("html"), None).alias("text"))
 
 
 @query

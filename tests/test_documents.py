@@ -83,3 +83,11 @@ def test_answers(spark):
     assert [(r["active_substance"], r["status"]) for r in out.orderBy("product_id").collect()] == [("ab c", "Success"), ("", "Failed"), ("", "Failed")]
     prompt = sections.build_prompts(spark.createDataFrame([("a{b}",)], "x string"), "<{content}>", "x").first()["prompt"]
     assert prompt == "<a{b}>"
+
+
+def test_registered_clean_text_is_whole(spark, tmp_path):
+    from phialo.plans.registry import QUERIES
+
+    text = " ".join(f"w{i}" for i in range(4000))
+    spark.createDataFrame([(1, f"<p>{text}</p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in QUERIES["x6_clean_text"](spark, str(tmp_path)).select("page_id", "text").collect()] == [(1, text)]
