@@ -27,6 +27,13 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18
+    FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21
+    LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25
+    SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20""".split()
+}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL = re.compile(r"(?<![0-9+-])(?:\([0-9]{3}\)\x20?|0[0-9]{2,4}[\x20/-]|[0-9]{3}-)[0-9]{3}[\x20-]?[0-9]{3,5}(?![0-9-])")
 SCORES = {"iban": 0.9, "ssn": 0.4, "local": 0.3}
@@ -48,6 +55,25 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Valid IBANs; what follows behind a blank belongs to one only if its length and checksum say so.
+
+    Of the ends at a blank or the match's end, the one of the country's length goes first, then
+    the longest; without a valid one the search goes on behind the start.
+    """
+    out, m = [], IBAN.search(text)
+    while m:
+        s, e = m.span()
+        ends = [i for i in range(s + 15, e) if text[i] == " "] + [e]
+        sizes = {i: i - s - text.count(" ", s, i) for i in ends}
+        ends = sorted((i for i in ends if sizes[i] >= 15), key=lambda i: (sizes[i] != IBAN_LENGTHS.get(text[s : s + 2]), -i))
+        end = next((i for i in ends if mod97(text[s:i].replace(" ", ""))), None)
+        if end:
+            out.append((s, end))
+        m = IBAN.search(text, end or s + 1)
+    return out
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches: each @ is read leftwards over local characters, then its domain."""
     out, free, at = [], 0, text.find("@")
@@ -84,11 +110,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     """(start, kind, end) of the method's own kinds that no base span touches."""
     taken, out = list(base), []
     for kind, pattern in (("iban", IBAN), ("ssn", SSN), ("local", LOCAL)):
-        for m in pattern.finditer(text):
-            s, e = m.span()
-            if kind == "iban" and not mod97(m[0].replace(" ", "")):
-                continue
-            if kind == "ssn" and (m[0][:3] in ("000", "666") or m[0][0] == "9" or m[0][4:6] == "00" or m[0][7:] == "0000"):
+        for s, e in ibans(text) if kind == "iban" else (m.span() for m in pattern.finditer(text)):
+            hit = text[s:e]
+            if kind == "ssn" and (hit[:3] in ("000", "666") or hit[0] == "9" or hit[4:6] == "00" or hit[7:] == "0000"):
                 continue
             before = text[max(0, s - CONTEXT_CHARS) : s].lower()
             score = SCORES[kind] + CONTEXT_GAIN * any(re.search(rf"(?<!\w){w}(?!\w)", before) for w in CONTEXT[kind])

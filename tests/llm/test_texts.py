@@ -131,6 +131,15 @@ def test_checksums():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_iban_ends_before_further_capitals():
+    for form in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00"):
+        for behind in ("", " BIC: COBADEFF", " BIC COBADEFFXXX", " 12345", ". Then", " GB82 WEST 1234 5698 7654 32"):
+            text = f"IBAN {form}{behind}"
+            assert (5, pii.KINDS.index("iban"), 5 + len(form)) in pii.find(text)[1], text
+            assert pii.redact(text, pii.find(text)[1]).startswith("IBAN <IBAN>")
+    assert [e - s for s, e in pii.ibans("XX00 DE89370400440532013000 GB82WEST12345698765432")] == [22, 22]
+
+
 def plain_counts(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
