@@ -28,10 +28,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (u, v); the component is its least node.
+    """Stored (node, component) for every node of ``edges`` (u, v); the component is its least node.
 
     A round keeps components and lowers edges; without a change every edge ends at the least
-    node.  Each round's edges are a stored table, so a lost executor costs one round at most.
+    node.  Each round's edges are a stored table, so a lost executor costs one round at most;
+    a round's table goes once the next one is there.
     """
     state = scratch.table(edges.select("u", "v").where("u <> v").distinct(), "edges")
     mark = None
@@ -39,7 +40,10 @@ def components(edges: DataFrame) -> DataFrame:
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark = now
-        state = scratch.table(_small_star(_large_star(state)), "edges")
+        mark, before = now, state
+        state = scratch.table(_small_star(_large_star(before)), "edges")
+        scratch.drop(before)
     down = state.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("component"))
-    return down.unionByName(down.select(F.col("component").alias("node"), "component")).distinct()
+    labels = scratch.table(down.unionByName(down.select(F.col("component").alias("node"), "component")).distinct(), "labels")
+    scratch.drop(state)
+    return labels

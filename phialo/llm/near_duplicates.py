@@ -1,19 +1,21 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's set are its distinct five-word shingles.  Its signature are 48 minima of 16
-bits, in 12 chunks of four.  Two signatures that differ in at most 23 places have a chunk
-with at most one difference (pigeonhole), so each chunk is stored under the four keys that
-leave one place out, and every pair up to that distance meets under some key.  Pairs at a
-resemblance of 0.75 differ in 12 places on average; the chance that such a pair meets
-nowhere is below 1e-6.  Pairs that meet and differ in more than ``FARTHEST`` places are
-dropped; the others are confirmed on their full sets.
+A document's set are its distinct five-word shingles, as 64-bit hashes.  Its signature are 48
+minima of 16 bits, in 12 chunks of four.  Two signatures that differ in at most 23 places
+have a chunk with at most one difference (pigeonhole), so each chunk is stored under the four
+keys that leave one place out, and every pair up to that distance meets under some key.
+Pairs at a resemblance of 0.75 differ in 12 places on average (standard deviation 3); the
+chance that such a pair meets nowhere is below 1e-6.  Pairs that meet and differ in more than
+``FARTHEST`` places are dropped; the others are confirmed on their full sets.
 
 Equal sets are one class, so copies cost one row each.  Within a key's bucket the members
-are held against the bucket's best-connected member, not against each other.  In buckets
-whose members are still in several components, the members outside the largest component
-are counted against all others by lists of who has which shingle, in blocks of a bounded
-number of shingles; only links that join two components become rows, so a block gives fewer
-rows than it has members.
+are first held against the bucket's best-connected member, not against each other.  In
+buckets whose members are then still in several components, the members outside the largest
+component are counted against all others on their full sets, by lists of who has which
+shingle, in blocks of a bounded number of shingles: a member of the largest component goes to
+one row of blocks only, so what is sent grows with the square of the rest, not of the bucket.
+Only links that join two components become rows, so a block gives fewer rows than it has
+members; these links have been confirmed, so none hides another.
 
 Defined results: a null text and a text without words have an empty set, which is linked
 with nothing; with fewer than five words the whole sequence is the one shingle; repeated
@@ -39,8 +41,6 @@ PLACES, CHUNKS = 48, 12
 FARTHEST = 28
 #: Shingles of a bucket's members that are held in one task, for each of two sides.
 BLOCK = 500_000
-#: Bytes of a hash that tell shingles apart where members are counted; links are confirmed on all.
-SHORT = 5
 SIGNATURE = [f"s{c}" for c in range(CHUNKS)]
 _rng = np.random.default_rng(20240502)
 _TIMES = _rng.integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,11 +83,8 @@ def _name_sets(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_:
         for part in batches.slices(batch, "text"):
             values, bounds, name = _sets(part.column(0))
-            short = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :SHORT])
-            rows = list(zip(bounds[:-1], bounds[1:], strict=True))
-            columns = [pa.array(name.view(np.int64)), pa.array([values[a:b].tobytes() for a, b in rows], pa.binary())]
-            columns.append(pa.array([short[a:b].tobytes() for a, b in rows], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "set", "short"])
+            sets = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(sets, pa.binary())], names=["node", "set"])
 
 
 def keys() -> Column:
@@ -135,19 +132,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(_confirm(percent), "u long, v long")
 
 
-def joining_links(node: np.ndarray, comp: np.ndarray, sets: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Links between members of different components, none of which follows from the others."""
-    sizes = np.array([len(x) // SHORT for x in sets])
-    raw = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, SHORT)
-    values = np.pad(raw, ((0, 0), (0, 8 - SHORT))).reshape(-1).view(np.uint64)
+def joining_links(node: np.ndarray, comp: np.ndarray, asks: np.ndarray, sets: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links of the members that ask to members of other components, none of which follows from the others."""
+    sizes = np.array([len(x) // 8 for x in sets])
+    values = np.frombuffer(b"".join(sets), np.uint64)
     member = np.repeat(np.arange(len(sets)), sizes)
     _, number = np.unique(values, return_inverse=True)
     having = member[np.argsort(number, kind="stable")]  # members by shingle
     times = np.bincount(number)
     starts = np.cumsum(times) - times
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    _, group, many = np.unique(comp, return_inverse=True, return_counts=True)
-    leader = list(range(len(many)))
+    _, group = np.unique(comp, return_inverse=True)
+    leader = list(range(int(group.max(initial=-1)) + 1))
 
     def top(g: int) -> int:
         while leader[g] != g:
@@ -155,7 +151,7 @@ def joining_links(node: np.ndarray, comp: np.ndarray, sets: list[bytes], percent
         return g
 
     out = []
-    for i in np.flatnonzero(group != many.argmax()):
+    for i in np.flatnonzero(asks):
         own = number[bounds[i] : bounds[i + 1]]
         n = times[own]
         places = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -173,28 +169,33 @@ def open_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets:
     """Links across components in buckets that still hold several components."""
     named = members.select("key", "node").join(labels.select("node", "component"), "node", "left").join(classes.select("node", "n_shingles"), "node")
     named = named.select("key", "node", F.coalesce("component", "node").alias("comp"), "n_shingles")
+    parts = named.groupBy("key", "comp").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("m2")
+    )
     # buckets with the same members say the same: one of them is enough
-    open_ = named.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"),
-        F.sum("n_shingles").alias("shingles"),
-        F.min("comp").alias("lo"),
-        F.max("comp").alias("hi"),
-        F.bit_xor(F.xxhash64("node")).alias("m1"),
-        F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("m2"),
+    open_ = parts.groupBy("key").agg(
+        F.sum("size").alias("size"),
+        F.sum("shingles").alias("shingles"),
+        F.count(F.lit(1)).alias("comps"),
+        F.max(F.struct("shingles", "comp")).alias("main"),
+        F.bit_xor("m1").alias("m1"),
+        F.bit_xor("m2").alias("m2"),
     )
-    open_ = open_.where("size > 2 AND lo <> hi").groupBy("size", "shingles", "m1", "m2").agg(F.min("key").alias("key"))
-    blocks = F.ceil(F.col("shingles") / BLOCK).cast("int")
-    rows = named.select("key", "node", "comp").join(open_.select("key", blocks.alias("blocks")), "key").join(sets.select("node", "short"), "node")
-    # a row goes to every pair of blocks with its own in it, so any two members meet
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("b0"), F.greatest("own", "other").alias("b1"), "node", "comp", "short")
+    open_ = open_.where("size > 2 AND comps > 1").groupBy("size", "shingles", "m1", "m2").agg(F.min(F.struct("key", "main")).alias("k"))
+    blocks = lambda shingles: F.ceil(shingles / BLOCK).cast("int")
+    open_ = open_.select("k.key", F.col("k.main.comp").alias("main"), blocks(F.col("shingles")).alias("blocks"), blocks(F.col("shingles") - F.col("k.main.shingles")).alias("asking"))
+    rows = named.select("key", "node", "comp").join(open_, "key").withColumn("asks", F.col("comp") != F.col("main"))
+    # who asks goes to a row of blocks, everybody to a column: any two of which one asks meet
+    own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
+    asked = rows.select("key", "node", "comp", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("a"), own(1, "blocks").alias("b"))
+    asks = rows.where("asks").select("key", "node", "comp", "asks", own(2, "asking").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    sent = asked.unionByName(asks).groupBy("key", "a", "b", "node", "comp").agg(F.max("asks").alias("asks")).join(sets, "node")
 
     def across(group: pd.DataFrame) -> pd.DataFrame:
-        links = joining_links(group["node"].to_numpy(), group["comp"].to_numpy(), list(group["short"]), percent)
+        links = joining_links(group["node"].to_numpy(), group["comp"].to_numpy(), group["asks"].to_numpy(), list(group["set"]), percent)
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
-    return rows.groupBy("key", "b0", "b1").applyInPandas(across, "u long, v long").distinct()
+    return sent.groupBy("key", "a", "b").applyInPandas(across, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -215,16 +216,19 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
     centre = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("c")).select("key", F.col("c.node").alias("v"))
     stars = members.select("key", F.col("node").alias("u")).join(centre, "key").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    pairs = scratch.table(near(stars.distinct(), classes, percent), "pairs")
     # the full sets of the classes that share a key with another
     wanted = members.select("node").distinct().join(classes.select("node", "first"), "node").select(F.col("first").alias("id"), "node")
     ids = wanted.select("id").distinct()
     texts = source.join(ids, source["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_name_sets, "node long, set binary, short binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = texts.mapInArrow(_name_sets, "node long, set binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = scratch.table(sets, "sets")
-    links = scratch.table(confirmed(near(stars.distinct(), classes, percent), sets, percent), "links")
-    labels = scratch.table(components(links), "labels")
-    more = confirmed(open_links(members, labels, classes, sets, percent), sets, percent)
-    labels = scratch.table(components(links.unionByName(more)), "labels")
+    links = scratch.table(confirmed(pairs, sets, percent), "links")
+    first = components(links)
+    more = scratch.table(open_links(members, first, classes, sets, percent), "more")
+    scratch.drop(pairs, members, classes, sets, first)
+    labels = components(links.unionByName(more))
+    scratch.drop(links, more)
     placed = signed.select("id", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     # only components with several rows are looked up; the others are their own
     least = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
