@@ -1,8 +1,8 @@
 """DuckDB SQL with the results of the queries that SQL can express."""
 
 from phialo.llm import secrets
-from phialo.llm.quality import FLOORS, SUB_BITS
 
+#: The rules of op9 as SQL states them: rates, least reach of a limit, counts that are free.
 RATES = {
     "symbols": ("n_symbols", "n_words", 1000),
     "dup_lines": ("n_dup_lines", "n_lines", 1000),
@@ -10,6 +10,8 @@ RATES = {
     "upper": ("n_upper", "word_chars", 1000),
     "word_length": ("word_chars", "n_words", 100),
 }
+LEAST = {"symbols": 5, "dup_lines": 5, "repeats": 5, "upper": 5, "word_length": 10}
+FREE = {"symbols": "n_symbols <= 2", "dup_lines": "n_dup_lines <= 1"}
 
 
 def _rate(name: str) -> str:
@@ -17,6 +19,17 @@ def _rate(name: str) -> str:
     return f"CASE WHEN {b} > 0 THEN ({scale} * {a}) // {b} ELSE 0 END"
 
 
+def _quantiles(name: str, sketch: str, by: str) -> str:
+    """Quantiles of merged bucket counts, and how far a limit reaches above the third quartile."""
+    reached = ", ".join(f"min(bucket) FILTER ({b} * u >= {a} * a) AS {q}" for q, a, b in (("q1", 1, 4), ("q2", 1, 2), ("q3", 3, 4), ("q9", 9, 10)))
+    return f"""
+{name} AS (
+  SELECT *, greatest(3 * greatest(q3 - q1, q9 - q3), margin) AS reach
+  FROM (SELECT {by}, metric, max(a) AS n_rows, {reached}
+        FROM (SELECT *, sum(n) OVER (PARTITION BY {by}, metric ORDER BY bucket) AS u, sum(n) OVER (PARTITION BY {by}, metric) AS a FROM {sketch}) GROUP BY {by}, metric)
+  JOIN least_reach USING (metric)),"""
+
+
 QUALITY_CTES = (
     r"""
 texts AS (
@@ -44,30 +57,28 @@ counts AS (
 rates AS (
 """
     + " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {_rate(m)} AS v FROM counts WHERE NOT base_failed" for m in RATES)
-    + f"""),
+    + """ UNION ALL SELECT lang, source, 'words', n_words FROM counts WHERE NOT base_failed),
 sketch AS (
   SELECT lang, source, metric, (((v >> d) + 1) << d) - 1 AS bucket, count(*) AS n
-  FROM (SELECT *, greatest(length(bin(v)) - {SUB_BITS}, 0) AS d FROM rates) GROUP BY ALL),
-own AS (
-  SELECT lang, source, metric, max(a) AS n_rows, min(bucket) FILTER (4 * u >= a) AS q1, min(bucket) FILTER (4 * u >= 3 * a) AS q3
-  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS u, sum(n) OVER (PARTITION BY lang, source, metric) AS a FROM sketch)
-  GROUP BY ALL),
-whole AS (
-  SELECT lang, metric, min(bucket) FILTER (4 * u >= a) AS q1, min(bucket) FILTER (4 * u >= 3 * a) AS q3
-  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, metric ORDER BY bucket) AS u, sum(n) OVER (PARTITION BY lang, metric) AS a
-        FROM (SELECT lang, metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL))
-  GROUP BY ALL),
+  FROM (SELECT *, greatest(length(bin(v)) - 6, 0) AS d FROM rates) GROUP BY ALL),
+least_reach AS (SELECT unnest("""
+    + f"{[*LEAST, 'words']}) AS metric, unnest({[*LEAST.values(), 0]}) AS margin),"
+    + _quantiles("own", "sketch", "lang, source")
+    + _quantiles("whole", "(SELECT lang, metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL)", "lang")
+    + """
+mixed AS (
+  SELECT o.lang, o.source, o.metric, w.q2 AS half, w.q3 AS wf, w.reach AS wr,
+         (o.n_rows * o.q3 + 100 * w.q3) / (o.n_rows + 100) AS gf, (o.n_rows * o.reach + 100 * w.reach) / (o.n_rows + 100) AS gr
+  FROM own o JOIN whole w ON o.lang IS NOT DISTINCT FROM w.lang AND o.metric = w.metric),
 limits AS (
-  SELECT lang, source, """
-    + ", ".join(f"max(greatest(hi, {v})) FILTER (metric = '{m}') AS max_{m}" for m, v in FLOORS.items())
+  SELECT lang, source, max(half) FILTER (metric = 'words') AS typical, """
+    + ", ".join(f"max(f) FILTER (metric = '{m}') AS from_{m}, max(r) FILTER (metric = '{m}') AS reach_{m}" for m in RATES)
     + """
-  FROM (SELECT o.lang, o.source, o.metric,
-               CASE WHEN o.n_rows < 100 THEN w.q3 + 3 * (w.q3 - w.q1) ELSE o.q3 + 3 * (o.q3 - o.q1) END AS hi
-        FROM own o JOIN whole w ON o.lang IS NOT DISTINCT FROM w.lang AND o.metric = w.metric)
+  FROM (SELECT *, CASE WHEN (gf + gr, gf, gr) < (wf + wr, wf, wr) THEN gf ELSE wf END AS f, CASE WHEN (gf + gr, gf, gr) < (wf + wr, wf, wr) THEN gr ELSE wr END AS r FROM mixed)
   GROUP BY ALL),
 verdicts AS (
   SELECT c.*, CASE WHEN base_failed THEN false ELSE """
-    + " AND ".join(f"coalesce({_rate(m)} <= max_{m}, true)" for m in RATES)
+    + " AND ".join(f"coalesce({_rate(m)} <= from_{m} + reach_{m} * sqrt(greatest(1.0, typical / n_words)){' OR ' + FREE[m] if m in FREE else ''}, true)" for m in RATES)
     + """ END AS kept
   FROM counts c LEFT JOIN limits l ON c.lang IS NOT DISTINCT FROM l.lang AND c.source IS NOT DISTINCT FROM l.source)
 """

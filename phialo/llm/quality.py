@@ -1,44 +1,52 @@
 """Quality rules with adaptive thresholds (DataFrame functions only).
 
-Every text gets a few counts.  The counts become integer rates, each rate goes into a
+Every text gets a few counts.  The counts become integer rates, and each rate goes into a
 log-linear bucket sketch per language and source (bucket counts: sketches of parts merge by
-adding them up), and quartiles read from the sketches give each group its own limits.  The
-limits are joined back to the documents.  A group's limit is the smaller of its own and its
-language's, merged from all sources; one with fewer than ``min_group`` rows takes its
-language's.  Where quartiles meet, ``MARGINS`` and ``FREE`` stand in for the spread.
+adding them up).  Quantiles read from the sketches give each group its own limits, and these
+are joined back to the documents.
+
+The limit of a rate is ``q3 + reach * w``.  ``reach`` is ``SPREAD`` times the wider of two
+distances, first to third quartile and third quartile to ninth decile; where both are nothing
+(a rate that nearly nobody has), the small ``MARGINS`` stand in.  A group of n rows counts n
+parts of its own q3 and reach and ``PRIOR`` parts of its language's (all sources merged), so
+that few rows say little, without a step at any size; and where the language's limit is the
+lower one it holds, so that a junk source cannot excuse itself.  A rate over few words
+scatters more: ``w`` is the root of the language's median length over the document's, 1 at
+least.  Counts in ``FREE`` (two symbols, one repeated line) are never held against a text.
 
 Defined results: a null text counts as empty (no words, so it fails the base rule); null
 ``lang`` or ``source`` form groups of their own; repeated rows are judged one by one; an
 empty table gives an empty table; further columns of the input are kept, and where their
-names clash with the result's own columns, the result's win.
+names clash with the result's own columns, the result's win (``good_documents`` gives back
+the input's columns).  Inside, an input row travels as one struct, so no name can clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phialo import scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Least distance of a limit from the third quartile (rates per 1000; mean word length in
-#: hundredths of a character).
+RESULTS = (*BASE, "n_lines", "n_upper", "base_failed")
+#: What a limit is above the third quartile at least (per 1000; mean word length in hundredths of a character).
 MARGINS = {"symbols": 5, "dup_lines": 5, "repeats": 5, "upper": 5, "word_length": 10}
-#: Counts that no limit rejects: two symbols, one repeated line, the words of its two copies.
-FREE = {"symbols": ("n_symbols", 2), "dup_lines": ("n_dup_lines", 1), "repeats": ("n_repeat_words", 40)}
-#: Fixed limits of the earlier rules; only the SQL oracle still states them.
-FLOORS = {"symbols": 150, "dup_lines": 500, "repeats": 400, "upper": 400, "word_length": 1400}
+FREE = {"symbols": ("n_symbols", 2), "dup_lines": ("n_dup_lines", 1)}
+SPREAD, PRIOR = 3, 100
+#: Limits of so many groups are broadcast (some 200 bytes each); more are joined by salted keys.
+MOST_GROUPS, SALTS = 100_000, 64
 #: Sketch buckets: exact below 2**SUB_BITS, then 2**(SUB_BITS-1) buckets for each doubling.
 SUB_BITS = 6
 
 
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the base counts and ``n_lines``, ``n_upper`` of every whole text."""
-    own = [c for c in docs.columns if c not in {*BASE, "n_lines", "n_upper", "base_failed"}]
+    """(row, counts): every row of ``docs`` as a struct, with the counts of its whole text."""
+    own = ["row"]
     t = F.coalesce(F.col(text), F.lit(""))
     step = docs.select(
-        *own,
+        F.struct(*docs.columns).alias("row"),
         F.array_remove(F.split(t, SPACE), "").alias("_words"),
         F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -101,19 +109,24 @@ def rates() -> dict[str, Column]:
     }
 
 
+def sized() -> dict[str, Column]:
+    """What goes into the sketches: the rates and the length."""
+    return {**rates(), "words": F.col("n_words")}
+
+
 def bucket(x: Column) -> Column:
     """Sketch bucket of a non-negative integer, as the bucket's highest value."""
     drop = F.greatest(F.length(F.bin(x)) - SUB_BITS, F.lit(0)).cast("int")
     return F.call_function("shiftleft", F.call_function("shiftright", x, drop) + 1, drop) - 1
 
 
-def sketches(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Bucket counts of every rate for each group: ``by``, metric, bucket, n."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("metric"), bucket(v).alias("bucket")) for k, v in rates().items()])
+def sketches(counts: DataFrame, lang: str, source: str) -> DataFrame:
+    """Bucket counts for each group of (row, counts): lang, source, metric, bucket, n."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("metric"), bucket(v).alias("bucket")) for k, v in sized().items()])
     return (
         counts.where(~F.col("base_failed"))
-        .select(*by, F.explode(pairs).alias("p"))
-        .groupBy(*by, "p.metric", "p.bucket")
+        .select(F.col("row")[lang].alias("lang"), F.col("row")[source].alias("source"), F.explode(pairs).alias("p"))
+        .groupBy("lang", "source", "p.metric", "p.bucket")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -123,61 +136,68 @@ def merge(sketch: DataFrame, by: list[str]) -> DataFrame:
     return sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Group size and the buckets of the first and third quartile; a sketch has few buckets."""
-    from pyspark.sql import Window
-
+def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """Rows, q1, q2, q3 and q9 (ninth decile), as buckets, of every group; a sketch has few buckets."""
     w = Window.partitionBy(*by, "metric")
     ranked = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
+    reached = lambda a, b: F.min(F.when(b * F.col("upto") >= a * F.col("all"), F.col("bucket")))
     return ranked.groupBy(*by, "metric").agg(
-        F.max("all").alias("rows"),
-        F.min(F.when(4 * F.col("upto") >= F.col("all"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), F.col("bucket"))).alias("q3"),
+        F.max("all").alias("rows"), reached(1, 4).alias("q1"), reached(1, 2).alias("q2"), reached(3, 4).alias("q3"), reached(9, 10).alias("q9")
+    )
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """One row for each (lang, source): typical words, and from and reach of every rate's limit."""
+    margin = F.create_map(*[F.lit(x) for pair in {**MARGINS, "words": 0}.items() for x in pair])[F.col("metric")]
+    reach = F.greatest(SPREAD * F.greatest(F.col("q3") - F.col("q1"), F.col("q9") - F.col("q3")), margin)
+    own = quantiles(sketch, ["lang", "source"]).select("lang", "source", "metric", "rows", F.col("q3").alias("own_from"), reach.alias("own_reach"))
+    whole = quantiles(merge(sketch, ["lang"]), ["lang"])
+    whole = whole.select(F.col("lang").alias("_l"), F.col("metric").alias("_m"), F.col("q2").alias("half"), F.col("q3").alias("from"), reach.alias("reach"))
+    both = own.join(whole, own["lang"].eqNullSafe(whole["_l"]) & (own["metric"] == whole["_m"]))
+    mixed = lambda a, b: (F.col("rows") * F.col(a) + PRIOR * F.col(b)) / (F.col("rows") + PRIOR)
+    limit = lambda a, b: F.struct((a + b).alias("sum"), a.cast("double").alias("from"), b.cast("double").alias("reach"))
+    lower = F.least(limit(mixed("own_from", "from"), mixed("own_reach", "reach")), limit(F.col("from"), F.col("reach")))
+    return both.groupBy("lang", "source").agg(
+        F.max(F.when(F.col("metric") == "words", F.col("half"))).alias("typical"), *[F.max(F.when(F.col("metric") == k, lower)).alias(k) for k in MARGINS]
     )
 
 
-def thresholds(sketch: DataFrame, lang: str, source: str, min_group: int, spread: int) -> DataFrame:
-    """One row for each (lang, source) with the upper limit of every rate (``max_<rate>``)."""
-    margin = F.create_map(*[F.lit(x) for pair in MARGINS.items() for x in pair])[F.col("metric")]
-    limit = F.col("q3") + F.greatest(spread * (F.col("q3") - F.col("q1")), margin)
-    own = quartiles(sketch, [lang, source]).withColumn("own", limit)
-    whole = quartiles(merge(sketch, [lang]), [lang]).select(F.col(lang).alias("_l"), F.col("metric").alias("_m"), limit.alias("whole"))
-    both = own.join(whole, own[lang].eqNullSafe(whole["_l"]) & (own["metric"] == whole["_m"]))
-    limit = F.when(F.col("rows") < min_group, F.col("whole")).otherwise(F.least("own", "whole"))
-    return both.groupBy(lang, source).agg(*[F.max(F.when(F.col("metric") == k, limit)).alias(f"max_{k}") for k in MARGINS])
+def with_limits(counted: DataFrame, limits: DataFrame, lang: str, source: str) -> DataFrame:
+    """(row, counts, limits) for every row: broadcast up to MOST_GROUPS groups, else salted."""
+    groups = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct("typical", *MARGINS).alias("limits"))
+    same = F.col("row")[lang].eqNullSafe(F.col("_lang")) & F.col("row")[source].eqNullSafe(F.col("_source"))
+    if limits.count() <= MOST_GROUPS:
+        return counted.join(F.broadcast(groups), same, "left")
+    salted = counted.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    spread = groups.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(spread, same & (F.col("_salt") == F.col("_slot")), "left")
 
 
-def judged(docs: DataFrame, text: str, lang: str, source: str, min_group: int, spread: int, keep_text: bool) -> DataFrame:
-    """``docs`` with counts, base_failed and kept; counted once, in a stored table."""
+def judged(docs: DataFrame, text: str, lang: str, source: str, keep_text: bool) -> DataFrame:
+    """(row, counts, base_failed, kept) of ``docs``; counted once, in a stored table."""
     counted = text_counts(docs, text)
-    counted = scratch.table(counted if keep_text else counted.drop(text), "quality_counts")
-    limits = thresholds(sketches(counted, [lang, source]), lang, source, min_group, spread)
-    limits = limits.withColumnRenamed(lang, "_lang").withColumnRenamed(source, "_source")
-    joined = counted.join(limits, counted[lang].eqNullSafe(limits["_lang"]) & counted[source].eqNullSafe(limits["_source"]), "left")
+    if not keep_text:
+        counted = counted.withColumn("row", F.col("row").dropFields(text)) if docs.columns != [text] else counted
+    counted = scratch.table(counted, "quality_counts")
+    limits = scratch.table(thresholds(sketches(counted, lang, source)), "limits")
+    joined = with_limits(counted, limits, lang, source)
+    wider = F.sqrt(F.greatest(F.lit(1.0), F.try_divide(F.col("limits.typical"), F.col("n_words"))))
     good = F.lit(True)
     for name, rate in rates().items():
-        within = rate <= F.col(f"max_{name}")
+        within = rate <= F.col(f"limits.{name}.from") + F.col(f"limits.{name}.reach") * wider
         if name in FREE:
             within = within | (F.col(FREE[name][0]) <= FREE[name][1])
         good = good & F.coalesce(within, F.lit(True))
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(good)
-    own = [c for c in counted.columns if c != "kept"]
-    return joined.select(*own, kept.alias("kept"))
+    return joined.select("row", *RESULTS, kept.alias("kept"))
 
 
-def quality_rules(
-    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_group: int = 100, spread: int = 3
-) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Counts and verdict (``kept``) of every row of ``docs``, without the text."""
-    return judged(docs, text, lang, source, min_group, spread, keep_text=False)
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in {text, *RESULTS, "kept"}]
+    return judged(docs, text, lang, source, keep_text=False).select(*own, *RESULTS, "kept")
 
 
-def good_documents(
-    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_group: int = 100, spread: int = 3
-) -> DataFrame:
+def good_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    clash = {*BASE, "n_lines", "n_upper", "base_failed", "kept"} & set(docs.columns)
-    if clash:  # the input's own columns come back under their names
-        docs = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    out = judged(docs, text, lang, source, min_group, spread, keep_text=True).where("kept").select(docs.columns)
-    return out.withColumnsRenamed({f"_own_{c}": c for c in clash})
+    return judged(docs, text, lang, source, keep_text=True).where("kept").select("row.*")

@@ -160,22 +160,55 @@ def test_quality_counts(spark, edge, which):
         assert out[i]["base_failed"] == failed and not (failed and out[i]["kept"])
 
 
-def test_quality_limits_adapt(spark):
-    text = " ".join(f"w{i}x" for i in range(60))
-    rows = [(i, text, "en", "plain") for i in range(150)] + [(200 + i, text + " ##" * 30, "en", "marked") for i in range(150)]
-    rows += [(400, text + " ##" * 30, "en", "plain"), (401, None, None, None)]
-    out = by_id(quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
-    assert out[0]["kept"] and out[200]["kept"] and not out[400]["kept"] and not out[401]["kept"]
-
-
-def test_quality_quartiles_decide(spark):
-    """Under the fixed floors no quartile decided; a junk source is held to its language's limit."""
-    text = " ".join(f"w{i}x" for i in range(100))
-    rows = [(i, text, "en", "clean") for i in range(400)] + [(500 + i, text + " #" * 20, "en", "junk") for i in range(120)]
-    rows += [(700, text + " # a # b # c # d # e #", "en", "clean"), (701, text.replace("w1x", "w1&"), "en", "clean")]
-    rows += [(702, f"one line here\n{text}\none line here", "en", "clean"), (703, text.upper(), "en", "clean")]
-    out = by_id(quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
-    assert [out[i]["kept"] for i in (0, 500, 700, 701, 702, 703)] == [True, False, False, True, True, False]
+def verdicts(spark, rows):
+    return {i: r["kept"] for i, r in by_id(quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).items()}
+
+
+def prose(i, capitals=2, long=0, marks=0, again=0, lines=0):
+    """A text of about 120 words without repeats, and so much of what a rule counts."""
+    words = [f"w{i}x{k}" + "y" * (4 * (k < long)) for k in range(110)]
+    words[:capitals] = [w.upper() for w in words[:capitals]]
+    body = " ".join(words) + " #" * marks + f" {' '.join(words[-3:])}" * again
+    return "\n".join([f"same line {i}"] * lines + [f"{body[k : k + 40]}" for k in range(0, len(body), 40)])
+
+
+RULES = [("capitals", 1, 30), ("long", 4, 80), ("marks", 0, 6), ("again", 0, 14), ("lines", 0, 6)]
+
+
+@pytest.mark.parametrize("what, usual, odd", RULES)
+def test_each_quality_rule_rejects_by_the_groups_limit(spark, what, usual, odd):
+    """What is odd in one language is usual in another, whose limit its own texts have raised."""
+    rows = [(i, prose(i, **{what: usual + i % 3}), "plain", "s") for i in range(300)]
+    rows += [(1000 + i, prose(i, **{what: odd + i % 5}), "other", "s") for i in range(300)]
+    rows += [(5000, prose(5000, **{what: odd + 2}), "plain", "s"), (5001, prose(5001, **{what: usual}), "other", "s"), (5002, prose(5002, **{what: odd + 2}), "plain", "new source")]
+    kept = verdicts(spark, rows)
+    assert all(kept[i] for i in range(300)) and all(kept[1000 + i] for i in range(300))
+    assert not kept[5000] and kept[5001] and not kept[5002]
+
+
+def test_quality_limits_move_smoothly(spark):
+    """Two rows more or less of a group change its limit a little: no size switches it off."""
+    counts = lambda n: [(i, prose(i, capitals=2 + i % 2), "en", "quiet") for i in range(n)] + [(1000 + i, prose(i, capitals=38 + i % 3), "en", "s") for i in range(500)]
+    limits = []
+    for n in (1, 20, 99, 101, 400):
+        docs = spark.createDataFrame(counts(n), "doc_id long, text string, lang string, source string")
+        row = quality.thresholds(quality.sketches(quality.text_counts(docs), "lang", "source")).where("source = 'quiet'").select("upper.*").first()
+        limits.append(row["from"] + row["reach"])
+    assert abs(limits[2] - limits[3]) < 0.02 * limits[2] and limits == sorted(limits, reverse=True) and limits[4] < 0.6 * limits[0]
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_quality_keeps_all_columns(spark, monkeypatch, most):
+    """Names that clash with counts or with anything inside; limits broadcast, and joined by salted keys."""
+    monkeypatch.setattr(quality, "MOST_GROUPS", most)
+    rows = [(i, prose(i), None if i % 2 else "en", "s", i, i + 1, "c", None) for i in range(60)] + [(100, None, None, None, 1, 2, "d", 1)]
+    names = ["n_words", "row", "_words", "limits"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + "n_words long, row long, _words string, limits long")
+    out = quality.good_documents(docs)
+    assert out.columns == docs.columns and out.count() == 60
+    assert sorted(tuple(r) for r in out.select("doc_id", *names).collect()) == sorted((r[0], *r[4:]) for r in rows[:60])
+    rules = quality.quality_rules(docs)
+    assert {"row", "_words", "limits"} <= set(rules.columns) and rules.count() == 61 and {r["n_words"] for r in rules.collect()} == {0, 110}
 
 
 @pytest.mark.parametrize("capacity", [4096, 64])
