@@ -53,4 +53,19 @@ def test_stages_on_awkward_rows(spark):
         out = stage(spark, out, SF)
         assert out.columns == docs.columns
     assert [(r["doc_id"], r["text"]) for r in out.collect()] == [(1, long)]
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Of rows that share an id each near-duplicate group keeps one; a rejected row doesn't come back."""
+    a, b = (" ".join(f"{x}{k}" for k in range(200)) for x in "ab")
+    rows = [(7, a, "en", "s", 1), (7, a + " more", "en", "s", 2), (7, b, "en", "s", 3), (3, b + " end", "en", "s", 4), (None, b, "en", "s", 5), (9, "c " + a, "en", "s", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["doc_id"])] == [3, 7] and out[0]["text"].split()[0] in ("a0", "b0")
+
+
+def test_packing_takes_everything(spark):
+    long = " ".join(f"w{k} x{k * 7}" for k in range(80))
+    rows = [(1, long, "en", "s", 5), (1, long, "en", "s", 5), (2, long + " a@b.co", None, None, None), (None, long, "en", None, 1), (4, None, None, None, None), (5, "", "", "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 6
