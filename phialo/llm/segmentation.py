@@ -5,11 +5,13 @@ character exists, for the character itself, at a score below all pieces, coded a
 The score of a segmentation is the sum of its pieces' stored scores.  The forward pass gives
 the best score from the start to each place (Viterbi); the search then runs backwards from
 the end, and because these scores are the exact rest of a path, A-star pops whole
-segmentations in order of score.  No piece spans the places where parts are cut, so a text's
+segmentations in order of score.  Heap entries point at the entry they came from, a place is
+popped at most n times and hands on at most n pieces, so time and memory grow with a part's
+length, whatever it holds.  No piece spans the places where parts are cut, so a text's
 n best are put together from the n best of its parts: only the parts with the smallest loss
 to their second best can differ from the best, and only these are searched.
 
-Equal scores go by the search's order: by the places where the last pieces start.
+Equal scores go by the search's order: what is nearer to the start first, then what was found first.
 
 Defined results: a null or empty text has one segmentation without pieces; repeated rows are
 done one by one; an empty table gives an empty table; clashing columns of the input give way.
@@ -20,7 +22,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush, nsmallest
+from heapq import heappop, heappush, nlargest, nsmallest
 
 import numpy as np
 import pandas as pd
@@ -29,12 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phialo.llm import batches
+from phialo.llm import batches, wordhash
 from phialo.llm.piece_model import SPACE, STORED, Pieces
 
-Path = tuple[float, tuple[int, ...]]  # score, ids
+Path = tuple[float, bytes]  # score or loss, ids as bytes
 INF = float("inf")
 WIDTH = 4  # bytes of an id
+#: Parts of up to so many characters are done many at once, as arrays.
+SHORT = 40
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _raw(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 class Lattice(dict):
@@ -44,7 +53,8 @@ class Lattice(dict):
         super().__init__()
         self.pieces, self.n = pieces, n
         self.unknown = min(pieces.scores.values()) - 10.0
-        self.of_parts: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self.ids = {p: _raw([i]) for p, i in pieces.ids.items()}
+        self.of_parts: dict[str, tuple[bytes, float, float]] = {}
         self.turned: dict[str, list[Path]] = {}
         #: Lengths of the longer pieces by their first three characters.
         lengths: dict[str, set[int]] = {}
@@ -52,116 +62,203 @@ class Lattice(dict):
             if len(p) > 2:
                 lengths.setdefault(p[:3], set()).add(len(p))
         self.lengths = {k: sorted(v) for k, v in lengths.items()}
+        self.longest = max(map(len, pieces.scores))
+        hashes = {}
+        for p, s in pieces.scores.items():
+            h = self._sums(np.array([[ord(c)] for c in p], np.uint64))
+            hashes[int(h[len(p), 0])] = s
+        #: Hashes of all pieces, ascending, their scores, and a bitmap of their leading 20 bits.
+        self.known = np.array(sorted(hashes), np.uint64)
+        self.score_of = np.array([hashes[int(h)] for h in self.known])
+        self.leading = np.zeros(1 << 20, bool)
+        self.leading[self.known >> np.uint64(44)] = True
+
+    @staticmethod
+    def _sums(codes: np.ndarray) -> np.ndarray:
+        """Polynomial hashes of all prefixes of strings that stand in columns."""
+        out = np.zeros((len(codes) + 1, codes.shape[1]), np.uint64)
+        for k, row in enumerate(wordhash.mix(codes + np.uint64(1))):
+            out[k + 1] = out[k] * _BASE + row
+        return out
 
-    def ids_of(self, piece: str) -> tuple[int, ...]:
-        if (i := self.pieces.ids.get(piece)) is not None:
-            return (i,)
-        return tuple(self.pieces.byte_ids[b] for b in piece.encode())
+    def bests(self, parts: list[str]) -> list[tuple[bytes, float, float]]:
+        """``best`` of many parts of one length: the same passes, with an array of all parts at each step."""
+        n, size = len(parts), len(parts[0])
+        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).reshape(n, size).T.astype(np.uint64)
+        sums, scores = self._sums(codes), {}
+        for k in range(1, min(size, self.longest) + 1):
+            h = (sums[k:] - sums[:-k] * _BASE**k).reshape(-1)
+            some = np.flatnonzero(self.leading[h >> np.uint64(44)])
+            place = np.minimum(np.searchsorted(self.known, h[some]), len(self.known) - 1)
+            hit = self.known[place] == h[some]
+            scores[k] = np.full(len(h), self.unknown if k == 1 else -INF)
+            scores[k][some[hit]] = self.score_of[place[hit]]
+            scores[k] = scores[k].reshape(-1, n)
+        there = {k: (x > -INF).any(axis=1) for k, x in scores.items()}
+        first, second = np.full((size + 1, n), -INF), np.full((size + 1, n), -INF)
+        back, first[0] = np.zeros((size + 1, n), np.uint8), 0.0
+        for at in range(size):
+            for k in range(1, min(size - at, self.longest) + 1):
+                if there[k][at]:
+                    s, end = scores[k][at], at + k
+                    v, old = first[at] + s, first[end]
+                    better = v > old
+                    second[end] = np.where(better, np.maximum(old, second[at] + s), np.maximum(second[end], v))
+                    first[end] = np.where(better, v, old)
+                    back[end][better] = at
+        out = []
+        for part, b, score, other in zip(parts, back.T.tolist(), first[size].tolist(), second[size].tolist(), strict=True):
+            end, found = size, []
+            while end:
+                found.append(self.ids_of(part[b[end] : end]))
+                end = b[end]
+            found.reverse()
+            out.append((b"".join(found), score, score - other))
+        return out
 
-    def forward(self, part: str) -> tuple[list[float], list[int], list[list[tuple[int, float]]]]:
-        """Viterbi: best score to each place, where its last piece starts, edges by start."""
+    def learn(self, words: set[str]) -> None:
+        """Take in words, the short parts of equal length together."""
+        new = [w for w in words if w not in self]
+        split = [self.pieces.parts(w) for w in new]
+        of_size: dict[int, set[str]] = {}
+        for parts in split:
+            for p in parts:
+                if 1 < len(p) <= SHORT and p not in self.of_parts and p not in self:
+                    of_size.setdefault(len(p), set()).add(p)
+        for some in of_size.values():
+            some = list(some)
+            self.of_parts.update(zip(some, self.bests(some), strict=True))
+        for w, parts in zip(new, split, strict=True):
+            self.join(w, parts)
+
+    def ids_of(self, piece: str) -> bytes:
+        """Ids of a piece, or of a lone character's bytes."""
+        return self.ids.get(piece) or _raw([self.pieces.byte_ids[b] for b in piece.encode()])
+
+    def edges(self, part: str, at: int) -> list[tuple[int, float]]:
+        """(end, score) of all pieces that start at a place."""
+        scores, size = self.pieces.scores, len(part)
+        out = [(at + 1, scores.get(part[at], self.unknown))]
+        for k in (2, *self.lengths.get(part[at : at + 3], ())):
+            if at + k <= size and (s := scores.get(part[at : at + k])) is not None:
+                out.append((at + k, s))
+        return out
+
+    def best(self, part: str) -> tuple[bytes, float, float]:
+        """Ids and score of a part's best segmentation, and its loss to the second best.
+
+        Viterbi with the best two scores to each place: what is second at a place came from
+        the second at the place before, or lost there to another piece.
+        """
         size, score, lengths, unknown = len(part), self.pieces.scores.get, self.lengths.get, self.unknown
-        best, back, out = [0.0] + [-INF] * size, [0] * (size + 1), []
+        if size == 1:
+            return self.ids_of(part), score(part, unknown), INF
+        first, second, back = [0.0] + [-INF] * size, [-INF] * (size + 1), [0] * (size + 1)
         for at in range(size):
-            f = best[at]
-            s = score(part[at], unknown)
-            edges = [(at + 1, s)]
-            if f + s > best[at + 1]:
-                best[at + 1], back[at + 1] = f + s, at
-            if at + 2 <= size and (s := score(part[at : at + 2])) is not None:
-                edges.append((at + 2, s))
-                if f + s > best[at + 2]:
-                    best[at + 2], back[at + 2] = f + s, at
+            f = first[at]
+            v = f + score(part[at], unknown)
+            end = at + 1
+            if v > (old := first[end]):
+                other = v - f + second[at]
+                second[end] = other if other > old else old
+                first[end], back[end] = v, at
+            elif v > second[end]:
+                second[end] = v
+            if end == size:
+                break
+            if (s := score(part[at : at + 2])) is not None:
+                end, v = at + 2, f + s
+                if v > (old := first[end]):
+                    other = s + second[at]
+                    second[end] = other if other > old else old
+                    first[end], back[end] = v, at
+                elif v > second[end]:
+                    second[end] = v
             for k in lengths(part[at : at + 3], ()):
                 if (end := at + k) > size:
                     break
                 if (s := score(part[at:end])) is not None:
-                    edges.append((end, s))
-                    if f + s > best[end]:
-                        best[end], back[end] = f + s, at
-            out.append(edges)
-        return best, back, out
-
-    def best(self, part: str) -> tuple[tuple[int, ...], float, float]:
-        """Ids and score of a part's best segmentation, and its loss to the second best.
-
-        Every other segmentation has an edge off the best path, and the best one through an
-        edge scores what leads to it, its own score and the best rest behind it.
-        """
-        size = len(part)
-        if size == 1:
-            return self.ids_of(part), self.pieces.scores.get(part, self.unknown), INF
-        forward, back, edges = self.forward(part)
-        rest, second = [-INF] * size + [0.0], -INF
-        path, end, pieces = {}, size, []
+                    v = f + s
+                    if v > (old := first[end]):
+                        other = s + second[at]
+                        second[end] = other if other > old else old
+                        first[end], back[end] = v, at
+                    elif v > second[end]:
+                        second[end] = v
+        end, found = size, []
         while end:
-            pieces.append(part[back[end] : end])
-            path[back[end]] = end
+            found.append(self.ids_of(part[back[end] : end]))
             end = back[end]
-        for at in range(size - 1, -1, -1):
-            f, on, most = forward[at], path.get(at), -INF
-            for end, s in edges[at]:
-                if (r := s + rest[end]) > most:
-                    most = r
-                if end != on and f + r > second:
-                    second = f + r
-            rest[at] = most
-        return tuple(i for p in reversed(pieces) for i in self.ids_of(p)), forward[size], forward[size] - second
+        found.reverse()
+        return b"".join(found), first[size], first[size] - second[size]
 
     def part(self, part: str) -> list[Path]:
         """The n best segmentations of a part, by A-star from the end."""
         size = len(part)
-        forward, back, edges = self.forward(part)
+        forward = [0.0] + [-INF] * size
         into: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
-        for at, some in enumerate(edges):
-            for end, s in some:
+        for at in range(size):
+            for end, s in self.edges(part, at):
                 into[end].append((at, s))
-        first = self.best(part)
-        out: list[Path] = [(first[1], first[0])]
-        # (score still reachable, negated; starts of the pieces so far, from the end; score so far)
-        heap: list = [(-forward[size], (), size, 0.0)]
+                forward[end] = max(forward[end], forward[at] + s)
+        ids, score, _ = self.best(part)
+        out: list[Path] = [(score, ids)]
+        # (score still reachable, negated; place; order; score so far; (piece's start, what it leads to))
+        heap: list = [(-forward[size], size, 0, 0.0, (size, None))]
+        popped, order = [0] * (size + 1), 0
         while heap and len(out) < self.n:
-            _, starts, at, score = heappop(heap)
+            _, at, _, score, node = heappop(heap)
             if at == 0:
-                cuts = [*reversed(starts), size]
-                ids = tuple(i for a, b in zip(cuts[:-1], cuts[1:], strict=True) for i in self.ids_of(part[a:b]))
-                if ids != first[0]:
-                    out.append((score, ids))
+                cuts = []
+                while node:
+                    cuts.append(node[0])
+                    node = node[1]
+                own = b"".join([self.ids_of(part[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                if own != ids:
+                    out.append((score, own))
+                continue
+            popped[at] += 1
+            if popped[at] > self.n:
                 continue
-            for start, s in into[at]:
-                heappush(heap, (-(forward[start] + s + score), (*starts, start), start, score + s))
+            for reach, start, s in nlargest(self.n, [(forward[start] + s + score, start, s) for start, s in into[at]]):
+                order += 1
+                heappush(heap, (-reach, start, order, score + s, (start, node)))
         return out
 
-    def __missing__(self, word: str):
+    def join(self, word: str, parts: list[str]) -> tuple[bytes, float, float]:
         found = []
-        for part in self.pieces.parts(word):
-            if (one := self.of_parts.get(part)) is None:
-                one = self.of_parts[part] = self.best(part)
-            found.append(one)
-        ids = array("i", [i for x in found for i in x[0]]).tobytes()
-        one = self[word] = (ids, sum([x[1] for x in found]), min([x[2] for x in found]))
+        for part in parts:
+            if (x := self.of_parts.get(part) or self.get(part)) is None:
+                x = self.of_parts[part] = self.best(part)
+            found.append(x)
+        if len(parts) == 1:
+            one = self.of_parts.pop(word, found[0])
+        else:
+            one = (b"".join([x[0] for x in found]), sum([x[1] for x in found]), min([x[2] for x in found]))
+        self[word] = one
         return one
 
+    def __missing__(self, word: str):
+        return self.join(word, self.pieces.parts(word))
+
     def options(self, word: str) -> list[Path]:
         """(loss, ids) of a word's n best segmentations."""
         if (out := self.turned.get(word)) is None:
-            out = [(0.0, ())]
+            out = [(0.0, b"")]
             for part in self.pieces.parts(word):
                 x = self.part(part)
                 out = nsmallest(self.n, [(loss + x[0][0] - s, ids + own) for loss, ids in out for s, own in x])
             self.turned[word] = out
         return out
 
-    def text(self, text: str) -> tuple[bytes, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
-        """Ids of the best segmentation; score and edits (place, dropped, new ids) of the n best."""
-        words = self.pieces.words(text)
+    def text(self, words: list[str]) -> tuple[bytes, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
+        """Ids of the best segmentation of a text's words; score and edits (place, dropped, new ids) of the n best."""
         if not words:
             return b"", [(0.0, [])]
-        found = list(map(self.__getitem__, words))
-        ids = b"".join([f[0] for f in found])
-        total = sum([f[1] for f in found])
+        raws, scores, losses = zip(*map(self.__getitem__, words), strict=True)
+        total = sum(scores)
         # with n best wanted, at most n - 1 words differ from their best in any of them
-        losses, turned = [f[2] for f in found], set()
+        turned: set[int] = set()
         for loss in sorted(losses)[: self.n - 1]:
             if loss < INF:
                 k = losses.index(loss)
@@ -173,12 +270,9 @@ class Lattice(dict):
         for k in sorted(turned):
             more = [(loss + own, (*picks, (k, j)) if j else picks) for loss, picks in options for j, (own, _) in enumerate(choices[k])]
             options = nsmallest(self.n, more)
-        at, places = 0, {}
-        for k in range(max(turned, default=-1) + 1):
-            if k in turned:
-                places[k] = at
-            at += len(found[k][0]) // WIDTH
-        return ids, [(total - loss, [(places[k], len(found[k][0]) // WIDTH, list(choices[k][j][1])) for k, j in picks]) for loss, picks in options]
+        places = {k: sum(map(len, raws[:k])) // WIDTH for k in turned}
+        edits = lambda picks: [(places[k], len(raws[k]) // WIDTH, np.frombuffer(choices[k][j][1], np.int32).tolist()) for k, j in picks]
+        return b"".join(raws), [(total - loss, edits(picks)) for loss, picks in options]
 
 
 def decode(pieces: Pieces, ids: list[int]) -> str:
@@ -230,9 +324,11 @@ def encode(docs: DataFrame, model: str, n: int = 4, text: str = "text") -> DataF
         def work(texts: list[str]) -> dict:
             for store in (lattice, lattice.of_parts, lattice.turned):
                 batches.trim(store, STORED)
+            split = [pieces.words(t) for t in texts]
+            lattice.learn(set().union(*split))
             coded, nbest, same = [], [], []
-            for t in texts:
-                raw, options = lattice.text(t)
+            for t, words in zip(texts, split, strict=True):
+                raw, options = lattice.text(words)
                 coded.append(raw)
                 nbest.append([{"score": s, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in edits]} for s, edits in options])
                 same.append(decode(pieces, np.frombuffer(raw, np.int32).tolist()) == t.replace(SPACE, " "))

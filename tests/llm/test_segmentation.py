@@ -34,7 +34,7 @@ def applied(ids, edits):
 def test_against_enumeration(text):
     pieces = Pieces(MODEL)
     lattice = segmentation.Lattice(pieces, 6)
-    raw, options = lattice.text(text)
+    raw, options = lattice.text(pieces.words(text))
     ids = np.frombuffer(raw, np.int32).tolist()
     every = sorted(enumerate_all(pieces, "▁" + text.replace(" ", "▁"), lattice.unknown), reverse=True)
     assert [s for s, _ in options] == [s for s, _ in every[:6]]
@@ -43,6 +43,64 @@ def test_against_enumeration(text):
     assert all((s, f) in every for (s, _), f in zip(options, found, strict=True))
 
 
+def n_best(pieces, unknown, part, n):
+    """Scores of the n best segmentations by lists of n at each place."""
+    best = [[0.0]] + [[] for _ in part]
+    for end in range(1, len(part) + 1):
+        for at in range(max(0, end - pieces.longest), end):
+            s = pieces.scores.get(part[at:end], unknown if end == at + 1 else None)
+            if s is not None:
+                best[end] += [x + s for x in best[at]]
+        best[end] = sorted(best[end], reverse=True)[:n]
+    return best[-1]
+
+
+def test_parts_of_documents_against_lists_of_n():
+    import duckdb
+
+    lattice = segmentation.Lattice(Pieces(MODEL), 4)
+    texts = [r[0] or "" for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    seen = {p for t in texts for w in lattice.pieces.words(t) for p in lattice.pieces.parts(w)}
+    assert len(seen) > 5000
+    at_once = segmentation.Lattice(lattice.pieces, 4)
+    at_once.learn({w for t in texts for w in lattice.pieces.words(t)})
+    for k, part in enumerate(sorted(seen)):
+        want = n_best(lattice.pieces, lattice.unknown, part, 4)
+        ids, score, loss = lattice.best(part)
+        assert at_once[part] == (ids, score, loss)
+        assert score == want[0] and loss == (want[0] - want[1] if len(want) > 1 else float("inf"))
+        if k % 20 == 0:
+            found = lattice.part(part)
+            assert [s for s, _ in found] == want and len({i for _, i in found}) == len(found) and found[0][1] == ids
+
+
+@pytest.mark.parametrize("letter", ["a", "ab"])
+def test_long_runs_take_time_and_memory_in_proportion(letter):
+    import time
+    import tracemalloc
+
+    pieces, took, held = Pieces(MODEL), [], []
+    for n in (12_500, 50_000):
+        part = letter * (n // len(letter))
+        lattice = segmentation.Lattice(pieces, 4)
+        began = time.process_time()
+        raw, options = lattice.text(pieces.words(part))
+        took.append(time.process_time() - began)
+        tracemalloc.start()
+        segmentation.Lattice(pieces, 4).text(pieces.words(part))
+        held.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert segmentation.decode(pieces, np.frombuffer(raw, np.int32).tolist()) == part
+        assert [s for s, _ in options] == sorted((s for s, _ in options), reverse=True)
+    assert took[1] < 8 * took[0] + 1 and held[1] < 200e6, (took, held)
+
+
+def test_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "in the end"), (1, "in the end"), (2, None)], "doc_id long, text string")
+    rows = segmentation.encode(docs, MODEL).collect()
+    assert len(rows) == 3 and rows[0]["ids"] == rows[1]["ids"] or rows[2]["ids"]
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     edge = [(10**6 + i, t) for i, t in enumerate([None, "", " ", "\n", "日本🙂 <s> x\x00▁y", "a" * 3000, "  a  b "])]
