@@ -5,10 +5,10 @@ Every ordered input carries ``seq``: "first" means the row with the smallest one
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from phialo import scratch
 from phialo.functions import fixed
 from phialo.functions import text as T
 
@@ -54,39 +54,67 @@ def occurrences(rows: DataFrame) -> DataFrame:
     )
 
 
+def running_sum(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
+    """Stored ``df`` with the sum of ``value`` over the rows of its key up to each row.
+
+    In two steps, so that no task holds a hot key: rows are dealt by ranges of (key, order),
+    sums run within a key's rows of one range, and what a key has in earlier ranges is added.
+    """
+    held = scratch.table(df.repartitionByRange(key, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = held.groupBy(key, "_range").agg(F.sum(value).alias("_sum"))  # a key has a row for each range at most
+    earlier = Window.partitionBy(key).orderBy("_range")
+    before = before.select(key, "_range", (F.sum("_sum").over(earlier) - F.col("_sum")).alias("_before"))
+    return held.join(before, [key, "_range"]).withColumn(out, F.sum(value).over(within) + F.col("_before")).drop("_range", "_before")
+
+
 def unique_slugs(df: DataFrame, base: str, seq: str = "seq", out: str = "slug") -> DataFrame:
     """Every row its own slug; clashes get _2, _3 and so on in order, past values in use.
 
-    Rows can only clash within a root (the slug without number endings).  Roots with one row
-    need nothing; roots whose slugs are all equal are numbered by a window; only roots that
-    mix plain and numbered slugs are walked in order, one root at a time.
+    The n-th row of a base takes number n, which no other base can make.  Only a name that
+    stands in the input by itself may be in the way: a row that comes to a number whose name
+    an earlier row holds goes on to the next one, and a name whose number was given out before
+    its own first row numbers all its rows.  So bases without such children are done after
+    counting; the others are settled from short names to long ones.  ``seq`` has no ties.
     """
-    root = F.regexp_replace(F.col(base), r"(_\d+)+$", "")
-    rooted = df.withColumn("_root", root)
-    kinds = rooted.groupBy("_root").agg((F.min(base) != F.max(base)).alias("_mixed"))
-    marked = rooted.join(kinds, "_root")
-    number = F.row_number().over(Window.partitionBy(base).orderBy(seq))
-    plain = marked.where("NOT _mixed").withColumn("_n", number)
-    plain = plain.withColumn(out, F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), "_n")))
-    columns = [*df.columns, out]
-    schema = plain.select(columns).schema
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        following: dict[str, int] = {}
-        slugs = []
-        rows = rows.sort_values(seq, kind="stable")
-        for name in rows[base]:
-            got, n = name, following.get(name, 2)
-            while got in used:
-                got, n = f"{name}_{n}", n + 1
-            following[name] = n
-            used.add(got)
-            slugs.append(got)
-        return rows.assign(**{out: slugs})[columns]
-
-    mixed = marked.where("_mixed").select(*df.columns, "_root").groupBy("_root").applyInPandas(walk, schema)
-    return plain.select(columns).unionByName(mixed)
+    columns = [F.col(c) for c in df.columns]
+    rows = df.select(F.struct(*columns).alias("_row"), F.col(base).alias("_base"), F.col(seq).alias("_seq"), F.lit(1).alias("_one"))
+    rows = scratch.table(running_sum(rows, "_base", "_seq", "_one", "_k"), "ranked")
+    groups = rows.groupBy("_base").agg(F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first"))
+    numbered = r"^(.*)_([2-9]|[1-9][0-9]{1,8})$"
+    kids = groups.where(F.col("_base").rlike(numbered)).select(
+        F.col("_base").alias("_kid"), "_first", F.regexp_extract("_base", numbered, 1).alias("_base"), F.regexp_extract("_base", numbered, 2).cast("long").alias("_j")
+    )
+    depth = F.length(F.col("_base")) - F.length(F.regexp_replace("_base", r"(_([2-9]|[1-9][0-9]{1,8}))+$", ""))
+    kids = scratch.table(kids.join(groups.select("_base"), "_base").withColumn("_depth", depth), "named_numbers")
+    slug = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_"), F.col("_n").cast("string")))
+    result = lambda placed: placed.select("_row.*", slug.alias(out))
+    rows = rows.withColumn("_n", F.col("_k"))
+    if not kids.take(1):
+        return result(rows)
+    names = kids.select("_base").unionByName(kids.select(F.col("_kid").alias("_base"))).distinct()
+    placed = scratch.table(rows.join(names, "_base", "left_semi").select("_row", "_base", "_seq", "_n"), "placed")
+    for level in [r["_depth"] for r in kids.select("_depth").distinct().orderBy("_depth").collect()]:  # lengths of number endings: a few
+        here = kids.where(F.col("_depth") == level).select("_base", "_j", "_kid", "_first", F.lit(0).alias("_skip"))
+        at = placed.select("_base", F.col("_n").alias("_at"), F.col("_seq").alias("_turn"))
+        while True:
+            passed = running_sum(here, "_base", "_j", "_skip", "_upto").withColumn("_at", F.col("_j") - F.col("_upto") + F.col("_skip"))
+            met = passed.join(at, ["_base", "_at"], "left")
+            now = met.withColumn("_now", F.coalesce((F.col("_first") < F.col("_turn")).cast("int"), F.lit(0)))
+            now = scratch.table(now, "skips")
+            if not now.where("_now <> _skip").take(1):
+                break
+            here = now.select("_base", "_j", "_kid", "_first", F.col("_now").alias("_skip"))
+        # numbers given out before the name's own first row push all rows of that name on by one
+        pushed = now.where("_turn IS NOT NULL AND _skip = 0").select(F.col("_kid").alias("_base"), F.lit(1).alias("_push"))
+        # rows from a skipped number's turn on are one further
+        marks = now.where("_skip = 1").select("_base", F.col("_at").alias("_n"), F.lit(0).alias("_order"), F.lit(1).alias("_skip"))
+        own = placed.select("*", F.lit(1).alias("_order"), F.lit(0).alias("_skip")).unionByName(marks, allowMissingColumns=True)
+        own = own.withColumn("_place", F.struct("_n", "_order"))
+        moved = running_sum(own, "_base", "_place", "_skip", "_shift").where("_order = 1")
+        moved = moved.join(pushed, "_base", "left").withColumn("_n", F.col("_n") + F.col("_shift") + F.coalesce("_push", F.lit(0)))
+        placed = scratch.table(moved.select("_row", "_base", "_seq", "_n"), "placed")
+    return result(rows.join(names, "_base", "left_anti")).unionByName(result(placed))
 
 
 def adr_dim(rows: DataFrame) -> DataFrame:
@@ -108,7 +136,8 @@ def adr_dim(rows: DataFrame) -> DataFrame:
 def drug_dim(drugs: DataFrame, inn: DataFrame | None = None) -> DataFrame:
     """One row for each product (the last one's values), label before the first bar.
 
-    An earlier row of the same product still uses up its slug.
+    An earlier row of the same product still uses up its slug.  Of several ingredients of a
+    product the one with the largest ``seq`` counts, or the largest where there is no ``seq``.
     """
     pid = T.strip(T.or_empty(F.col("product_id").cast("string")))
     label = T.strip(F.get(F.split(T.or_empty(F.col("brand_name")), r"\|"), F.lit(0)))
@@ -119,8 +148,12 @@ def drug_dim(drugs: DataFrame, inn: DataFrame | None = None) -> DataFrame:
     last = slugged.groupBy("product_id").agg(F.max_by(F.struct("seq", "label", "atc_code", "slug"), "seq").alias("r")).select("product_id", "r.*")
     if inn is None:
         return last.withColumn("active_ingredient", F.lit(""))
-    known = inn.select(T.strip(F.col("product_id").cast("string")).alias("product_id"), F.lower(T.strip(T.or_empty(F.col("active_ingredient")))).alias("active_ingredient"))
-    known = known.dropDuplicates(["product_id"])
+    known = inn.select(
+        T.strip(F.col("product_id").cast("string")).alias("product_id"),
+        F.lower(T.strip(T.or_empty(F.col("active_ingredient")))).alias("active_ingredient"),
+        (F.col("seq") if "seq" in inn.columns else F.lit(0)).alias("_order"),
+    )
+    known = known.groupBy("product_id").agg(F.max_by("active_ingredient", F.struct("_order", "active_ingredient")).alias("active_ingredient"))
     return last.join(known, "product_id", "left").na.fill({"active_ingredient": ""})
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from phialo.operators import graph, reports
@@ -67,6 +68,23 @@ def test_slugs_like_a_loop(spark):
     assert got == plain_slugs(names)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_slugs_of_names_that_meet_numbers(spark, seed):
+    rng = random.Random(seed)
+    endings = ["", "", "", "_2", "_3", "_4", "_9", "_2_2", "_2_3", "_02", "_1", "_0", "_3_2_2"]
+    names = [rng.choice(["a", "b", "c"]) + rng.choice(endings) for _ in range(120)] + [f"product_{k}" for k in range(60)] + ["product"] * (seed * 20)
+    names += [f"hot_{k}" for k in range(2, 40)] + ["hot"] * 60
+    rng.shuffle(names)
+    df = spark.createDataFrame(list(enumerate(names)), "seq long, base string").repartition(5)
+    got = [r["slug"] for r in graph.unique_slugs(df, "base").orderBy("seq").collect()]
+    assert got == plain_slugs(names)
+
+
+def test_no_slugs(spark):
+    assert graph.unique_slugs(spark.createDataFrame([], "seq long, base string"), "base").count() == 0
+
+
+
 def test_drug_dim(spark):
     got = {r["product_id"]: (r["label"], r["atc_code"], r["slug"], r["active_ingredient"]) for r in drugs(spark).collect()}
     assert got == {"1": ("Abc", "A10BA02", "abc", "inn"), "2": ("Abc", "N05", "abc_3", ""), "3": ("product_3", "UNKNOWN", "product_3", "")}
