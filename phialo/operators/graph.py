@@ -79,19 +79,19 @@ def unique_slugs(df: DataFrame, base: str, seq: str = "seq", out: str = "slug")
     """
     columns = [F.col(c) for c in df.columns]
     rows = df.select(F.struct(*columns).alias("_row"), F.col(base).alias("_base"), F.col(seq).alias("_seq"), F.lit(1).alias("_one"))
-    rows = scratch.table(running_sum(rows, "_base", "_seq", "_one", "_k"), "ranked")
+    rows = running_sum(rows, "_base", "_seq", "_one", "_n").drop("_one")
     groups = rows.groupBy("_base").agg(F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first"))
     numbered = r"^(.*)_([2-9]|[1-9][0-9]{1,8})$"
     kids = groups.where(F.col("_base").rlike(numbered)).select(
         F.col("_base").alias("_kid"), "_first", F.regexp_extract("_base", numbered, 1).alias("_base"), F.regexp_extract("_base", numbered, 2).cast("long").alias("_j")
     )
     depth = F.length(F.col("_base")) - F.length(F.regexp_replace("_base", r"(_([2-9]|[1-9][0-9]{1,8}))+$", ""))
-    kids = scratch.table(kids.join(groups.select("_base"), "_base").withColumn("_depth", depth), "named_numbers")
+    kids = kids.join(groups.select("_base"), "_base").withColumn("_depth", depth)
     slug = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_"), F.col("_n").cast("string")))
     result = lambda placed: placed.select("_row.*", slug.alias(out))
-    rows = rows.withColumn("_n", F.col("_k"))
     if not kids.take(1):
         return result(rows)
+    kids = scratch.table(kids, "named_numbers")
     names = kids.select("_base").unionByName(kids.select(F.col("_kid").alias("_base"))).distinct()
     placed = scratch.table(rows.join(names, "_base", "left_semi").select("_row", "_base", "_seq", "_n"), "placed")
     for level in [r["_depth"] for r in kids.select("_depth").distinct().orderBy("_depth").collect()]:  # lengths of number endings: a few
@@ -198,19 +198,23 @@ def _stacked(df: DataFrame, subject: str, kind: str, links: dict[str, str], lite
 
 
 def triples(drugs: DataFrame, adrs: DataFrame, smpcs: DataFrame, facts: DataFrame, with_schema: bool = True) -> DataFrame:
-    """The whole graph as a set of (s, p, o, o_kind)."""
+    """The whole graph as a set of (s, p, o, o_kind).
+
+    ``facts`` have a row for each occurrence, so what they say is a set already; only names
+    that a drug, a reaction, a document or the schema share can repeat a triple.
+    """
     parts = [
         _stacked(drugs, "slug", "Drug", {}, {"productId": "product_id", "drugLabel": "label", "atcCode": "atc_code", "activeIngredient": "active_ingredient"}),
         _stacked(adrs, "slug", "AdverseDrugReaction", {}, {"adrLabel": "adr_term", "meddraPreferredTerm": "meddra_preferred_term", "meddraCode": "meddra_code", "icdCode": "icd_code"}),
         _stacked(smpcs, "slug", "SmPCDocument", {}, {"productId": "product_id", "sourceUrl": "source_url"}),
-        _stacked(facts, "occ_id", "DrugAdrOccurrence", {"occurrenceOfAdr": "adr_id", "refersToSmPC": "smpc_id"}, {"productId": "product_id", "frequency": "frequency", "soc": "soc"}),
     ]
+    told = _stacked(facts, "occ_id", "DrugAdrOccurrence", {"occurrenceOfAdr": "adr_id", "refersToSmPC": "smpc_id"}, {"productId": "product_id", "frequency": "frequency", "soc": "soc"})
     if with_schema:
         parts.append(schema_triples(drugs.sparkSession))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return whole.distinct()
+    return whole.distinct().unionByName(told)
 
 
 ONCE = ("occurrenceOfAdr", "refersToSmPC", "frequency", "soc")

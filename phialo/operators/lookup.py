@@ -257,12 +257,16 @@ def lookup_log(drugs: DataFrame, adrs: DataFrame, meddra: DataFrame, icd: DataFr
 
 
 def icd_provenance(final: DataFrame, log1: DataFrame, log2: DataFrame) -> DataFrame:
-    """Where the final ICD codes (term, icd_code) come from: origin, count."""
+    """Where the final ICD codes (term, icd_code) come from: origin, count.
+
+    Of several second-pass codes of a term the one with the largest ``seq`` counts, or the
+    largest where there is no ``seq``.
+    """
     coded = final.where("icd_code <> 'UNKNOWN'").select(F.col("adr_term").alias("term"), "icd_code").distinct()
     one = log1.where("target_field = 'icd_code' AND matched_code NOT IN ('', 'UNKNOWN')").groupBy(
         F.lower(T.strip(F.col("entity_value"))).alias("term"), F.col("matched_code").alias("icd_code")
     ).agg(F.collect_set("source_vocab").alias("sources"))
-    two = log2.where("icd_code_new <> 'UNKNOWN'").groupBy(F.col("adr_term").alias("term")).agg(F.last("icd_code_new").alias("second"))
+    two = log2.where("icd_code_new <> 'UNKNOWN'").groupBy(F.col("adr_term").alias("term")).agg(F.max_by("icd_code_new", F.struct(F.col("seq") if "seq" in log2.columns else F.lit(0), "icd_code_new")).alias("second"))
     rows = coded.join(one, ["term", "icd_code"], "left").join(two, "term", "left")
     origin = (
         F.when(F.size("sources") == 1, F.concat(F.lit("pass1:"), F.get("sources", F.lit(0))))

@@ -88,7 +88,7 @@ UNION ALL SELECT 'attempt_count', CASE attempt_count WHEN 'x' THEN '0' ELSE atte
 RUNS = "runs AS (SELECT DISTINCT event_id % 3 AS run, CAST(user_id AS VARCHAR) AS product_id, event_type AS term, props AS frequency FROM events)"
 SIDES = f"""
 each AS (
-  SELECT {SEQ} AS seq, CAST(l_partkey % 100 AS VARCHAR) AS product_id, s_name AS adr_term, replace(lower(s_name), '#', ' ') AS key, l_returnflag AS frequency, lower(l_returnflag) AS freq,
+  SELECT {SEQ} AS seq, CAST(l_partkey AS VARCHAR) AS product_id, s_name AS adr_term, replace(lower(s_name), '#', ' ') AS key, l_returnflag AS frequency, lower(l_returnflag) AS freq,
          l_linestatus AS soc, l_linenumber AS n, l_suppkey % 10 = 9 AS head
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 gold AS (SELECT * FROM each WHERE n <= 4 AND NOT head),
@@ -116,8 +116,8 @@ matches AS (
 
 MANUAL = """
 manual AS (
-  SELECT s_suppkey AS move, CAST(r AS VARCHAR) AS product_id, replace(lower(s_name), '#', ' ') AS gk, 'supplier ' || lpad(CAST(s_suppkey + 1 AS VARCHAR), 9, '0') AS pk
-  FROM supplier, range(100) t(r) WHERE s_suppkey % 5 = 0),
+  SELECT l_partkey AS move, CAST(l_partkey AS VARCHAR) AS product_id, replace(lower(min(s_name)), '#', ' ') AS gk, replace(lower(max(s_name)), '#', ' ') AS pk
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey HAVING min(s_name) <> max(s_name)),
 used AS (SELECT * FROM manual SEMI JOIN (SELECT product_id, key AS gk FROM gold) USING (product_id, gk) SEMI JOIN (SELECT product_id, key AS pk FROM pred) USING (product_id, pk)),
 moved AS (
   SELECT *, -1 AS move FROM pred
@@ -189,16 +189,17 @@ ORACLES = {
     "a3_run_summary": f"""WITH {LOG} SELECT count(*) FILTER (status = 'SUCCESS') AS success, count(*) FILTER (status = 'HTTP_404') AS http_404, count(*) FILTER (status = 'HTTP_ERROR') AS http_error,
         count(*) FILTER (status = 'REQUEST_ERROR') AS request_error, count(*) FILTER (status = 'SKIPPED_EXISTS') AS skipped_exists, (SELECT count(*) FROM part) AS ids_loaded, (SELECT count(*) FROM pages) AS manifest_rows FROM log""",
     "f3_fetch_status": "SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'SKIPPED_EXISTS' WHEN event_type = 'click' THEN 'SUCCESS' WHEN event_type = 'error' THEN 'HTTP_404' WHEN event_type = 'signup' THEN 'HTTP_ERROR' ELSE 'REQUEST_ERROR' END AS status FROM events",
-    "io10_failed_ids": f"WITH {LOG} SELECT DISTINCT product_id FROM log WHERE attempt_count = '0' AND status = 'HTTP_ERROR'",
+    "io10_failed_ids": f"WITH {LOG} SELECT DISTINCT product_id FROM log WHERE status = 'HTTP_ERROR'",
+    "io10_missing_ids": f"WITH {LOG} SELECT DISTINCT product_id FROM log WHERE status = 'HTTP_404'",
     "status_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "j1_pending": f"WITH {LOG} SELECT CAST(c_custkey AS VARCHAR) AS product_id FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT product_id FROM log WHERE status = 'SUCCESS' AND attempt_count = '1')",
-    "u5_product_ids": "SELECT DISTINCT page_id % 100 AS product_id FROM pages WHERE page_id % 3 < 2",
+    "u5_product_ids": "SELECT DISTINCT page_id AS product_id FROM pages WHERE page_id % 3 < 2",
     "s2_sitemaps": "SELECT replace(url, '&', '') AS url, false AS is_sitemap FROM pages UNION ALL SELECT concat('http://a.b/', page_id, '.xml'), true FROM pages",
     "u1_run_membership": f"WITH {RUNS} SELECT runs, count(*) AS keys FROM (SELECT count(DISTINCT run) AS runs FROM runs GROUP BY product_id, term) GROUP BY runs",
     "u2_run_membership_full": f"WITH {RUNS} SELECT runs, count(*) AS keys FROM (SELECT count(DISTINCT run) AS runs FROM runs GROUP BY product_id, term, frequency) GROUP BY runs",
     "u3_compare_sets": f"""WITH {RUNS}, k AS (SELECT product_id, term, frequency, bool_or(run = 0) AS a, bool_or(run = 1) AS b FROM runs WHERE run < 2 GROUP BY ALL)
         SELECT product_id, count(*) FILTER (a) AS "left", count(*) FILTER (b) AS "right", count(*) FILTER (a AND b) AS common, count(*) FILTER (a AND NOT b) AS only_left, count(*) FILTER (b AND NOT a) AS only_right FROM k GROUP BY product_id""",
-    "u4_run_row_counts": """WITH e AS (SELECT event_id % 3 AS run, CAST(user_id AS VARCHAR) AS product_id FROM events WHERE props LIKE '%1%')
+    "u4_run_row_counts": """WITH e AS (SELECT event_id % 3 AS run, CAST(user_id AS VARCHAR) AS product_id FROM events)
         SELECT concat('rows_', r.run) AS metric, p.product_id, count(e.run) AS value FROM (SELECT DISTINCT run FROM e) r CROSS JOIN (SELECT DISTINCT product_id FROM e) p LEFT JOIN e ON e.run = r.run AND e.product_id = p.product_id GROUP BY ALL""",
     "w4_match_table": f"WITH {SIDES}, {_pairs()} SELECT * REPLACE (coalesce(freq_ok, -1) AS freq_ok, coalesce(soc_ok, -1) AS soc_ok) FROM matches",
     "w3_manual_matches": f"WITH {SIDES}, {MANUAL}, {_pairs('left_', 'move')} SELECT product_id, count(*) FILTER (status = 'TP') AS TP, count(*) FILTER (status = 'FP') AS FP, count(*) FILTER (status = 'FN') AS FN FROM matches GROUP BY product_id",

@@ -61,10 +61,10 @@ class Tables:
         return graph.drug_dim(graph.successful(named))
 
     def entities(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """(drugs, reactions, documents, facts)."""
-        drugs, adrs, occ = self.drugs(), graph.adr_dim(self.rows()), graph.occurrences(self.rows())
-        smpcs = graph.smpc_dim(drugs)
-        return drugs, adrs, smpcs, graph.occurrence_fact(occ, drugs, adrs, smpcs)
+        """(drugs, reactions, documents, facts): reaction rows and drugs are made once and stored."""
+        rows, drugs = scratch.table(self.rows(), "rows"), scratch.table(self.drugs(), "drugs")
+        adrs, smpcs = scratch.table(graph.adr_dim(rows), "adrs"), graph.smpc_dim(drugs)
+        return drugs, adrs, smpcs, graph.occurrence_fact(graph.occurrences(rows), drugs, adrs, smpcs)
 
     def log(self) -> DataFrame:
         return self.events.selectExpr(
@@ -83,16 +83,17 @@ class Tables:
         """Gold rows and predictions: two slices of the line items that overlap."""
         terms = self.lineitem.join(self.supplier.selectExpr("s_suppkey AS l_suppkey", "s_name"), "l_suppkey")
         each = terms.selectExpr(
-            f"{SEQ} AS seq", "cast(l_partkey % 100 AS string) AS product_id", "s_name AS adr_term", "l_returnflag AS frequency", "l_linestatus AS soc",
+            f"{SEQ} AS seq", "cast(l_partkey AS string) AS product_id", "s_name AS adr_term", "l_returnflag AS frequency", "l_linestatus AS soc",
             "CASE WHEN l_suppkey % 10 = 9 THEN '1' ELSE '0' END AS is_head", "l_linenumber AS n",
         )
         gold = evaluation.exclude_heads(evaluation.eval_rows(each.where("n <= 4")))
         return gold, evaluation.scope_predictions(evaluation.eval_rows(each.where("n >= 3")), gold)
 
     def manual(self) -> DataFrame:
-        return self.supplier.where("s_suppkey % 5 = 0").crossJoin(self.spark.range(100).selectExpr("cast(id AS string) AS product_id")).selectExpr(
-            "cast(s_suppkey AS long) AS seq", "product_id", "s_name AS gold_term", "concat('Supplier#', lpad(cast(s_suppkey + 1 AS string), 9, '0')) AS pred_term"
-        )
+        """A manual match for each product: its first term as gold, its last as predicted."""
+        terms = self.lineitem.join(self.supplier.selectExpr("s_suppkey AS l_suppkey", "s_name"), "l_suppkey")
+        ends = terms.groupBy("l_partkey").agg(F.min("s_name").alias("gold_term"), F.max("s_name").alias("pred_term"))
+        return ends.selectExpr("cast(l_partkey AS long) AS seq", "cast(l_partkey AS string) AS product_id", "gold_term", "pred_term")
 
     def vocab(self) -> DataFrame:
         base = "CASE WHEN c_custkey % 3 = 1 THEN concat(c_name, ' ', c_mktsegment) ELSE upper(c_name) END AS name"
@@ -254,7 +255,12 @@ def f3_fetch_status(spark, d):
 
 @query
 def io10_failed_ids(spark, d):
-    return tables.failed_ids(Tables(spark, d).log().where("attempt_count = '0'"), "retry")
+    return tables.failed_ids(Tables(spark, d).log(), "retry")
+
+
+@query
+def io10_missing_ids(spark, d):
+    return tables.failed_ids(Tables(spark, d).log(), "404")
 
 
 @query
@@ -271,7 +277,7 @@ def j1_pending(spark, d):
 
 @query
 def u5_product_ids(spark, d):
-    urls = Tables(spark, d).pages.selectExpr("concat('https://x.org/emc/product/', page_id % 100, CASE WHEN page_id % 3 = 0 THEN '/smpc' WHEN page_id % 3 = 1 THEN '' ELSE 'x' END) AS url")
+    urls = Tables(spark, d).pages.selectExpr("concat('https://x.org/emc/product/', page_id, CASE WHEN page_id % 3 = 0 THEN '/smpc' WHEN page_id % 3 = 1 THEN '' ELSE 'x' END) AS url")
     return tables.product_ids(urls)
 
 
@@ -302,7 +308,7 @@ def u3_compare_sets(spark, d):
 
 @query
 def u4_run_row_counts(spark, d):
-    return compare.run_row_counts(Tables(spark, d).runs().where("frequency LIKE '%1%'"))
+    return compare.run_row_counts(Tables(spark, d).runs())
 
 
 @query

@@ -55,7 +55,8 @@ def table(df: DataFrame, name: str = "table", partition_by: list[str] | None = N
     spark = df.sparkSession
     parent = f"{folder(spark)}/phialo-{uuid.uuid4().hex}"
     path = f"{parent}/{name}"
-    writer = df.write.option("compression", "zstd")
+    # small row groups: a table that few tasks wrote is read by many
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     with _shuffles_go(spark):
