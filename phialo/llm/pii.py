@@ -1,8 +1,10 @@
 """Personal data: patterns propose spans, checksums confirm them, context words weigh them.
 
 Base kinds are email, ip, card (Luhn) and phone.  The method adds three kinds: iban
-(mod-97), ssn and local phone numbers; each proposal has a score of its own that words in
-the ``CONTEXT_CHARS`` characters before it raise, and counts from ``LEAST_SCORE`` on.
+(mod-97), ssn and local phone numbers.  Every span has a score: its kind's own, raised where a
+word of its kind stands within ``CONTEXT_CHARS`` characters before or behind it, lowered where
+a word stands there that speaks against personal data (an example, a version, an order
+number).  Base spans stay whatever their score; the others count from ``LEAST_SCORE`` on.
 
 Defined results: a null or empty text has no spans; repeated rows are handled one by one;
 an empty table gives an empty table; clashing columns of the input give way.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,13 +39,26 @@ IBAN_LENGTHS = {
 }
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL = re.compile(r"(?<![0-9+-])(?:\([0-9]{3}\)\x20?|0[0-9]{2,4}[\x20/-]|[0-9]{3}-)[0-9]{3}[\x20-]?[0-9]{3,5}(?![0-9-])")
-SCORES = {"iban": 0.9, "ssn": 0.4, "local": 0.3}
+#: What a match of each kind says by itself: the checksums and the signs of an address say most.
+SCORES = {"email": 0.8, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4, "local": 0.3}
 CONTEXT = {
+    "email": ("email", "e-mail", "mail", "contact", "write", "correo", "courriel"),
+    "ip": ("ip", "address", "host", "server", "login", "adresse"),
+    "card": ("card", "visa", "mastercard", "credit", "payment", "karte", "carte", "tarjeta"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security", "tax"),
     "local": ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"),
 }
-CONTEXT_CHARS, CONTEXT_GAIN, LEAST_SCORE = 40, 0.4, 0.6
+AGAINST = ("example", "sample", "dummy", "placeholder", "version", "release", "order", "invoice", "isbn", "serial", "beispiel", "exemple", "ejemplo")
+CONTEXT_CHARS, CONTEXT_GAIN, CONTEXT_LOSS, LEAST_SCORE = 40, 0.4, 0.4, 0.5
+
+
+def _any_word(words: tuple[str, ...]) -> re.Pattern[str]:
+    return re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, words))})(?!\w)", re.I)
+
+
+_FOR, _AGAINST = {k: _any_word(w) for k, w in CONTEXT.items()}, _any_word(AGAINST)
 
 
 def luhn(digits: str) -> bool:
@@ -106,18 +122,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def score(text: str, span: tuple[int, int, int]) -> float:
+    """Score of a span by its kind and the words around it, 0 to 1."""
+    s, kind, e = span
+    around = text[max(0, s - CONTEXT_CHARS) : s], text[e : e + CONTEXT_CHARS]
+    gain = CONTEXT_GAIN * any(map(_FOR[KINDS[kind]].search, around))
+    return round(min(1.0, max(0.0, SCORES[KINDS[kind]] + gain - CONTEXT_LOSS * any(map(_AGAINST.search, around)))), 2)
+
+
+class Taken:
+    """Places of a text that spans hold, as separate ranges in order."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, _, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def take(self, s: int, e: int) -> bool:
+        """Whether the range was free; it is taken now."""
+        i = bisect_left(self.starts, e)
+        if i and self.ends[i - 1] > s:
+            return False
+        self.starts.insert(i, s)
+        self.ends.insert(i, e)
+        return True
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the method's own kinds that no base span touches."""
-    taken, out = list(base), []
+    """(start, kind, end) of the method's own kinds that no base span touches; an iban goes before an ssn before a local number."""
+    taken, out = Taken(base), []
     for kind, pattern in (("iban", IBAN), ("ssn", SSN), ("local", LOCAL)):
         for s, e in ibans(text) if kind == "iban" else (m.span() for m in pattern.finditer(text)):
             hit = text[s:e]
             if kind == "ssn" and (hit[:3] in ("000", "666") or hit[0] == "9" or hit[4:6] == "00" or hit[7:] == "0000"):
                 continue
-            before = text[max(0, s - CONTEXT_CHARS) : s].lower()
-            score = SCORES[kind] + CONTEXT_GAIN * any(re.search(rf"(?<!\w){w}(?!\w)", before) for w in CONTEXT[kind])
-            if score >= LEAST_SCORE and not any(a < e and b > s for a, _, b in taken):
-                taken.append(span := (s, KINDS.index(kind), e))
+            span = (s, KINDS.index(kind), e)
+            if score(text, span) >= LEAST_SCORE and taken.take(s, e):
                 out.append(span)
     return out
 
@@ -143,20 +188,21 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def _scan(texts: list[str]) -> dict:
-    out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")}
+    out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores")}
     for text in texts:
         base, spans = find(text)
         for k, name in enumerate(("n_email", "n_ip", "n_card", "n_phone")):
             out[name].append(sum(x[1] == k for x in base))
         out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
         out["spans"].append(joined(spans))
+        out["scores"].append(",".join(f"{score(text, x):.2f}" for x in spans))
     return out
 
 
 def scan_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` (without the text) with counts and digest of base spans and all spans."""
+    """``docs`` (without the text) with counts and digest of base spans, all spans and their scores."""
     added = T.StructType([T.StructField(n, T.LongType()) for n in ("n_email", "n_ip", "n_card", "n_phone")])
-    added = added.add("base_sha256", "string").add("spans", "string")
+    added = added.add("base_sha256", "string").add("spans", "string").add("scores", "string")
     return batches.with_columns(docs, text, added, lambda: _scan)
 
 

@@ -126,6 +126,88 @@ def test_pii(spark, edge, which):
         assert clean[0]["text"] is None and "iban" in out[11]["spans"] and "local" in out[11]["spans"]
 
 
+def plain_added(t):
+    """The method's own kinds by trying every start and end, and reading the words around one by one."""
+    base = plain_pii(t)
+    word = lambda c: c.isalnum() or c == "_"
+    edge = lambda i: 0 <= i < len(t) and t[i].isascii() and t[i].isalnum()
+
+    def near(s, e, words):
+        for part in (t[max(0, s - 40) : s].lower(), t[e : e + 40].lower()):
+            for w in words:
+                at = part.find(w)
+                while at >= 0:
+                    if not (at and word(part[at - 1])) and not (at + len(w) < len(part) and word(part[at + len(w)])):
+                        return True
+                    at = part.find(w, at + 1)
+        return False
+
+    def good(kind, s, e):
+        return pii.SCORES[kind] + 0.4 * near(s, e, pii.CONTEXT[kind]) - 0.4 * near(s, e, pii.AGAINST) >= 0.5 - 1e-9
+
+    found, s = [], 0
+    while s < len(t):
+        ends = []
+        if not edge(s - 1) and re.match("[A-Z]{2}[0-9]{2}", t[s:]):
+            most = re.match(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", t[s:])
+            for e in range(s + 15, s + (most.end() if most else 0) + 1):
+                own = t[s:e].replace(" ", "")
+                if (e == s + most.end() or t[e] == " ") and len(own) >= 15 and int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1:
+                    ends.append((len(own) == pii.IBAN_LENGTHS.get(own[:2]), e))
+        if ends:
+            found.append(("iban", s, max(ends)[1]))
+        s = max(ends)[1] if ends else s + 1
+    for m in re.finditer(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", t):
+        if not re.match("[0-9-]", t[m.start() - 1 : m.start()] or "x") and not re.match("[0-9-]", t[m.end() :] or "x"):
+            a, b, c = m[0].split("-")
+            if a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000":
+                found.append(("ssn", *m.span()))
+    found += [("local", *m.span()) for m in pii.LOCAL.finditer(t)]
+    taken, out = [(a, b) for a, _, b in base], []
+    for kind, s, e in found:
+        if good(kind, s, e) and all(b <= s or a >= e for a, b in taken):
+            taken.append((s, e))
+            out.append((s, pii.KINDS.index(kind), e))
+    return sorted(base + out)
+
+
+PIECES = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82WEST12345698765432", "123-45-6789", "000-12-3456", "(555) 123-4567", "0171/5551234", "555-123-4567", "4111 1111 1111 1111",
+          "a.b@c.org", "10.0.0.1", "+49 30 1234567", "call", "tel", "ssn", "iban", "example", "order", "BIC", "COBADEFF", "x", "and", "Telefon", "12", ",", "security"]
+
+
+def test_all_spans_of_personal_data(spark):
+    import random
+
+    rng = random.Random(3)
+    made = [" ".join(rng.choice(PIECES) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    kinds = Counter()
+    for t in made + [x or "" for x in EDGE] + [t for _, t in texts(real(spark))]:
+        spans = pii.find(t)[1]
+        assert spans == plain_added(t), t
+        kinds.update(pii.KINDS[k] for _, k, _ in spans)
+        assert all(0 <= pii.score(t, x) <= 1 for x in spans)
+    assert min(kinds[k] for k in pii.KINDS) > 50
+
+
+def test_context_raises_and_lowers():
+    at = lambda t: pii.score(t, pii.find(t)[1][0]) if pii.find(t)[1] else None
+    assert at("4111111111111111 by visa") == 1.0 > at("4111111111111111") == 0.8 > at("order 4111111111111111") == 0.4
+    assert at("my ssn is 123-45-6789") == 0.8 and at("123-45-6789 (social security)") == 0.8 and at("123-45-6789") is None
+    assert at("version 1.2.3.4") == 0.1 and at("example ssn 123-45-6789") is None
+
+
+def test_long_texts_of_personal_data():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        t = "ssn 123-45-6789 a@b.co IBAN DE89370400440532013000 BIC X " * n
+        began = time.process_time()
+        assert len(pii.find(t)[1]) == 3 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 7 * took[0]
+
+
 def test_checksums():
     assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE88370400440532013000")
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
