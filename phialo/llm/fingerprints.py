@@ -8,8 +8,9 @@ shingles.  With fewer than k shingles all estimates are exact.
 
 ``edited_pairs`` sketches every text, its edited form and looks at the next document.  Ids
 are dealt into ranges, the document just below a range joins it as a guest, and each range
-is read in ascending order with one document in mind: texts are shuffled once, no task holds
-more than a batch, and nothing but the range bounds comes to the driver.
+is read in ascending order with one document in mind: texts are shuffled once and no task
+holds more than a batch.  The ranges' highest ids are one stored array, of a few for each
+shuffle partition, which is broadcast; a row finds its range by halving it.
 
 Defined results: a null text is empty; an empty set's likeness is 1 to another empty one and
 0 to anything else; rows of one id all take the next smaller id as their next document (its
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phialo import scratch
 from phialo.llm import batches, wordhash
 
 K = 128
@@ -136,6 +138,18 @@ def _pairs(k: int):
     return run
 
 
+def _first_not_below(value: str, array: str) -> Column:
+    """Place of the first element of an ascending array that isn't below a value (the last one if all are)."""
+    start = F.struct(F.lit(0).alias("lo"), F.greatest(F.size(array) - 1, F.lit(0)).alias("hi"))
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.coalesce(F.get(F.col(array), mid) < F.col(value), F.lit(False)) & (s["lo"] < s["hi"])
+        return F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(F.when(s["lo"] < s["hi"], mid).otherwise(s["hi"])).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(array)))), start, halved, lambda s: s["lo"])
+
+
 def edited_pairs(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """Fingerprints of every text and of its edited form, likeness to that and to the next document.
 
@@ -147,13 +161,11 @@ def edited_pairs(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     source = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = source.select("id").where("id IS NOT NULL").repartitionByRange(ranges, "id").select("id", F.spark_partition_id().alias("range"))
-    # one highest id for each range: as many values as there are ranges
-    highest = [r["top"] for r in dealt.groupBy("range").agg(F.max("id").alias("top")).orderBy("top").collect()]
-    tops = F.array(*[F.lit(x) for x in highest[:-1]]).cast(f"array<{kind}>")
-    own = F.coalesce(F.size(F.filter(tops, lambda top: top < F.col("id"))), F.lit(0))
+    highest = dealt.groupBy("range").agg(F.max("id").alias("top"))
+    tops = scratch.table(highest.agg(F.array_sort(F.collect_list("top")).alias("tops")), "tops")  # one row: as many values as ranges
+    rows = source.crossJoin(F.broadcast(tops)).withColumn("own", F.when(F.col("id").isNull(), 0).otherwise(_first_not_below("id", "tops")))
     # the highest id of a range is the guest of the one above; the highest of all, of the lowest
-    guest = F.when(F.col("id").isin(highest), F.pmod(F.col("own") + 1, F.lit(max(len(highest), 1)))) if highest else F.lit(None).cast("int")
-    rows = source.withColumn("own", F.when(F.col("id").isNull(), 0).otherwise(own).cast("int"))
+    guest = F.when(F.get("tops", F.col("own")) == F.col("id"), F.pmod(F.col("own") + 1, F.size("tops")))
     stays = F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("guest")))
     goes = F.array(F.struct(guest.cast("int").alias("range"), F.lit(True).alias("guest")))
     sent = rows.withColumn("to", F.explode(F.when(guest.isNotNull(), F.concat(stays, goes)).otherwise(stays)))

@@ -59,6 +59,15 @@ def test_edges(spark):
     assert fp.edited_pairs(docs.where("false")).count() == 0
 
 
+def test_long_texts_and_repeated_rows(spark):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
+    rows = [(1, long), (2, "a b c d e f"), (2, "a b c d e f"), (3, long[:200_000])]
+    got = fp.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(rows, got)
+    assert len({r["fingerprint"] for r in got if r["doc_id"] == 2}) == 1
+
+
 def test_estimates_and_merging(spark):
     words = [f"w{i}" for i in range(6000)]
     a, b = " ".join(words[:4000]), " ".join(words[2000:])
