@@ -2,8 +2,10 @@
 
 Vocabulary rows: sab, code, name, cui.  A term is looked up once, whatever its number of
 rows.  Word lookups block by token: the term's rarest word finds the names that hold it, and
-all of the term's words must be among the name's.  Rough lookups block by pieces: a name cut
-into one piece more than the edits it may have keeps one piece whole in every term near it.
+all of the term's words must be among the name's.  Rough lookups look for the closest names:
+first at one edit, by what is left of a string without one of its characters; terms that have
+nothing there block by pieces, since a name cut into one piece more than the edits it may
+have keeps one piece whole in every term near it.
 """
 
 from __future__ import annotations
@@ -85,11 +87,38 @@ def _by_pieces(terms: DataFrame, names: DataFrame, threshold: float) -> DataFram
     return both.where(1 - F.levenshtein("_t", "_n") / longest >= threshold).select("_t", "_n").distinct()
 
 
+def _one_edit(terms: DataFrame, names: DataFrame) -> DataFrame:
+    """All (_t, _n) pairs of distinct lower-cased terms and names at one edit or none.
+
+    Both sides are distinct, and few strings are left the same by taking out one character,
+    so no key is frequent.
+    """
+    left = "transform(sequence(0, length({0})), i -> concat(substring({0}, 1, i - 1), substring({0}, i + 1)))"
+    without = lambda c: F.explode(F.expr(f"array_distinct(concat(array({c}), {left.format(c)}))")).alias("_left")
+    pairs = terms.select("_t", without("_t")).join(names.select("_n", without("_n")), "_left")
+    return pairs.where(F.levenshtein("_t", "_n") <= 1).select("_t", "_n").distinct()
+
+
+def _closest(terms: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """(_t, _n, edits): of each lower-cased term the names with the fewest edits that reach the threshold."""
+    t = terms.select(F.lower("term").alias("_t")).distinct()
+    n = names.select(F.lower("name").alias("_n")).where("_n IS NOT NULL").distinct()
+    edits, longest = F.levenshtein("_t", "_n"), F.greatest(F.length("_t"), F.length("_n"))
+    near = _one_edit(t, n).withColumn("edits", edits).where(1 - F.col("edits") / longest >= threshold)
+    near = scratch.table(near, "near")
+    rest = t.join(near.select("_t").distinct(), "_t", "left_anti").withColumnRenamed("_t", "term")
+    far = _by_pieces(rest, names, threshold).withColumn("edits", edits)
+    both = near.unionByName(far)
+    least = both.groupBy("_t").agg(F.min("edits").alias("_least"))
+    return both.join(least, "_t").where("edits = _least").drop("_least")
+
+
 def hits(terms: DataFrame, vocab: DataFrame, sabs: list[str], modes: list[str], threshold: float = 0.8) -> DataFrame:
-    """All hits of distinct terms: term, mode_rank, and the vocabulary's columns.
+    """Hits of distinct terms: term, mode_rank, edits, and the vocabulary's columns.
 
     exact: equal names; normalized: equal normal forms; words: all words of the term in the
-    name; approximate: names within a small edit distance.
+    name; approximate: of terms that no mode before has found, the closest names of a
+    similarity of ``threshold`` or more.
     """
     names = _usable(vocab, sabs)
     found = []
@@ -100,17 +129,21 @@ def hits(terms: DataFrame, vocab: DataFrame, sabs: list[str], modes: list[str],
         elif mode == "words":
             hit = _by_token(terms, names).where(F.size(F.array_except(words_of(F.col("term")), words_of(F.col("name")))) == 0)
         else:
-            pairs = _by_pieces(terms, names, threshold)
-            hit = terms.withColumn("_t", F.lower("term")).join(pairs, "_t").join(names.withColumn("_n", F.lower("name")), "_n")
-        found.append(hit.select("term", F.lit(rank).alias("mode_rank"), F.lit(mode).alias("mode"), "sab", "sab_rank", "code", "name", "cui"))
+            left = terms
+            for before in found:
+                left = left.join(before.select("term").distinct(), "term", "left_anti")
+            pairs = _closest(left, names, threshold)
+            hit = left.withColumn("_t", F.lower("term")).join(pairs, "_t").join(names.withColumn("_n", F.lower("name")), "_n")
+        edits = F.col("edits") if mode == "approximate" else F.lit(0).alias("edits")
+        found.append(hit.select("term", F.lit(rank).alias("mode_rank"), F.lit(mode).alias("mode"), edits, "sab", "sab_rank", "code", "name", "cui"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-#: Ranking inside a mode: vocabulary order, shorter name, code.
-BEST = ("mode_rank", "sab_rank", "length(name)", "code", "name")
+#: Ranking inside a mode: fewer edits, vocabulary order, shorter name, code.
+BEST = ("mode_rank", "edits", "sab_rank", "length(name)", "code", "name")
 
 
 def lookup(terms: DataFrame, vocab: DataFrame, sab: str | list[str], modes: list[str] | None = None) -> DataFrame:

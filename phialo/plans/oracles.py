@@ -228,6 +228,15 @@ ORACLES = {
     "x10_adr_log": "SELECT event_id AS product_id, CASE WHEN event_id % 5 = 0 THEN 'Failed' ELSE 'Success' END AS status, CASE WHEN event_id % 5 = 0 THEN 0 ELSE 2 END AS adr_count, CASE WHEN event_id % 5 = 0 THEN 'answer is no JSON object' ELSE '' END AS error FROM events",
     "x11_substances": "SELECT event_id AS product_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'ab ' || event_type END AS active_substance, CASE WHEN event_id % 5 = 0 THEN 'Failed' ELSE 'Success' END AS status, CASE WHEN event_id % 5 = 0 THEN 'empty_result' ELSE '' END AS error FROM events",
     "v1_lookup": f"WITH {TERMS} SELECT adr_term AS term, code, matched_name, 'MDR' AS source, status FROM found",
+    "v2_meddra_second_pass": """WITH asked AS (
+          SELECT lower(c_name) AS term FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name HAVING NOT bool_or(o_custkey % 9 = 1 AND o_orderkey % 2 = 0)),
+        names AS (SELECT CAST(10000000 + c_custkey AS VARCHAR) AS code, CASE WHEN c_custkey % 3 = 1 THEN concat(c_name, ' ', c_mktsegment) ELSE upper(c_name) END AS name FROM customer WHERE c_custkey % 3 > 0),
+        form AS (SELECT *, list_sort(string_split(replace(lower(name), '#', ' '), ' ')) AS words FROM names),
+        hits AS (
+          SELECT term, 0 AS mode, 0 AS edits, code, name FROM asked JOIN form ON list_sort(string_split(replace(term, '#', ' '), ' ')) = words
+          UNION ALL SELECT term, 1, levenshtein(term, lower(name)), code, name FROM asked, names WHERE 1 - levenshtein(term, lower(name)) / greatest(length(term), length(name)) >= 0.8),
+        best AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY mode, edits, length(name), code, name) AS n FROM hits)
+        SELECT a.term AS original_term, a.term AS cleaned_candidate, coalesce(code, '0') AS meddra_code, coalesce(name, '') AS meddra_preferred_term FROM asked a LEFT JOIN best b ON a.term = b.term AND n = 1""",
     "v6_icd_targets": f"WITH {TERMS} SELECT term, seq, meddra_code, CASE WHEN meddra_code = '0' THEN 'freetext' ELSE 'crosswalk' END AS way FROM firsts",
     "j11_icd_crosswalk": f"""WITH {TERMS} SELECT term, meddra_code, CASE WHEN k % 2 = 0 THEN concat('K', k) ELSE 'UNKNOWN' END AS icd_code_new,
         CASE WHEN meddra_code <> '0' AND k % 2 = 0 THEN 'crosswalk' ELSE 'freetext' END AS source FROM firsts""",
