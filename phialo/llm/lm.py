@@ -2,11 +2,12 @@
 
 Texts become blocks: a sorted vocabulary of word hashes, and tokens as numbers in it.  Words
 are dealt into shards by their hash; a shard adds up the blocks' counts and answers each
-block.  Bigrams are dealt by a hash of the context (contexts with a thousandth or more of all
-tokens, at most a thousand, by context and word, so that none fills a shard).  A shard adds
-up the counts of its bigrams, builds its trie and answers every bigram that a block asks for
-by one byte.  Nothing of the model's size is sent to the driver or broadcast:
-it exists in shards only, whose number grows with the corpus.
+block.  Bigrams are dealt by a hash of the context (contexts that would take a ``HOT_SHARE`` of
+a shard or more, by context and word, so that none fills one).  The counts of all shards are
+added up twice: first for how many bigrams of the corpus occur once, twice and so on, then for
+the model itself.  A shard builds its trie and answers every bigram that a block asks for by
+one byte.  Nothing of the model's size is sent to the driver or broadcast: it exists in shards
+only, whose number grows with the corpus.
 
 A trie holds, over one memory-mapped file: the shard's words and contexts (sorted hashes),
 for each context where its successors begin (monotone pointers), the successors' numbers
@@ -15,9 +16,10 @@ each smoothed probability and each context's weight.  A context's successors are
 relative to the context's base.
 
 Probability: P(w | v) = a(v, w) + g(v) * base(w), a(v, w) = (c(v, w) - D) / c(v), D by the
-count (1, 2, 3 and more), estimated from how many bigrams of the shard occur once to four
+count (1, 2, 3 and more), estimated from how many bigrams of the whole corpus occur once to four
 times, g(v) = what is taken off at v / c(v); a and g are stored as 8-bit codes of their
-logarithms.  A context that was not learnt has g = 1.
+logarithms, from one over the corpus's tokens to 1.  So scores don't depend on the number of
+shards or blocks.  A context that was not learnt has g = 1.
 
 Defined results: a null or empty text is the end token alone; repeated rows are learnt and
 scored one by one; a null id counts as the empty text for the fold; an empty table gives an
@@ -45,24 +47,28 @@ from phialo.llm.elias_fano import EliasFano, encode
 BLOCK_TOKENS = 1_250_000
 #: Tokens of all texts for each shard of bigrams; a shard of words has five times as many.
 SHARD_TOKENS = 1_000_000
-#: A word with this share of all tokens is dealt by its successors too; there are at most so many.
-HOT = 1000
+#: A word with this share of a shard's tokens is dealt by its successors too; a shard has at most as many as fit.
+HOT_SHARE = 0.1
 END = np.uint64(0x454E44)
 START = np.uint64(0x53544152)
 #: Five bytes of a hash tell contexts, and a context's successors, apart.
 SHORT = 5
 SHORT_BITS = np.uint64((1 << 8 * SHORT) - 1)
-#: Codes of log10: 0 is "absent", 1..255 are equal steps from LOWEST to 0.
-LOWEST = -8.0
 
 
-def to_code(x: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        logs = np.log10(x)
-    return np.where(x > 0, 1 + np.rint((np.maximum(logs, LOWEST) / -LOWEST + 1) * 254), 0).astype(np.uint8)
+class Codes:
+    """8-bit codes of probabilities: 0 is "absent", 1..255 are equal steps of log10 from one over ``most`` to 1."""
 
+    def __init__(self, most: int):
+        self.lowest = float(np.log10(max(most, 10)))
 
-DECODED = np.concatenate([[0.0], 10.0 ** ((np.arange(255) / 254 - 1) * -LOWEST)])
+    def of(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            logs = np.log10(x)
+        return np.where(x > 0, 1 + np.rint((np.maximum(logs, -self.lowest) / self.lowest + 1) * 254), 0).astype(np.uint8)
+
+    def read(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0.0], 10.0 ** ((np.arange(255) / 254 - 1) * self.lowest)])[codes]
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -301,9 +307,8 @@ class Trie:
         return codes, weights
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """What is taken off counts of 1, 2, and 3 or more (index 1 to 3)."""
-    n = [int((counts == k).sum()) for k in range(5)]
+def discounts(n: list[int]) -> np.ndarray:
+    """What is taken off counts of 1, 2, and 3 or more (index 1 to 3), by how many occur 1 to 4 times (index 1 to 4)."""
     if not n[1] or not n[2]:
         return np.array([0.0, 0.5, 0.5, 0.5])
     y = n[1] / (n[1] + 2 * n[2])
@@ -311,26 +316,37 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), k - 0.02) for k, x in zip((1, 2, 3), d, strict=True))])
 
 
-def _answer(hot: np.ndarray, hot_counts: np.ndarray) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _added(rows: pd.DataFrame):
+    """A shard's learnt bigrams (context, word, count), and what was asked: contexts, words, order, ends by row."""
+    context, word, times, ends = [], [], [], [0]
+    for r in rows.itertuples():
+        many = np.frombuffer(r.successors, np.uint32)
+        context.append(np.repeat(lengthened(r.contexts), many))
+        word.append(lengthened(r.words))
+        times.append(np.frombuffer(r.times, np.uint32).astype(np.int64))
+        ends.append(ends[-1] + len(word[-1]))
+    asked_context, asked_word, times = np.concatenate(context), np.concatenate(word), np.concatenate(times)
+    order = np.lexsort((asked_word, asked_context))
+    c, w = asked_context[order], asked_word[order]
+    new = np.ones(len(c), dtype=bool)
+    new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+    total = np.add.reduceat(times[order], np.flatnonzero(new))
+    learnt = total > 0
+    return (c[new][learnt], w[new][learnt], total[learnt]), (asked_context, asked_word, order, ends)
+
+
+def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
+    """How many of a shard's learnt bigrams occur once, twice, three and four times."""
+    total = _added(rows)[0][2]
+    return pd.DataFrame({f"n{k}": [int((total == k).sum())] for k in range(1, 5)})
+
+
+def _answer(hot: np.ndarray, hot_counts: np.ndarray, off_by_count: np.ndarray, codes_: Codes) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A shard's trie from all its rows; its answers to each of them."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        context, word, times, ends = [], [], [], [0]
-        for r in rows.itertuples():
-            many = np.frombuffer(r.successors, np.uint32)
-            context.append(np.repeat(lengthened(r.contexts), many))
-            word.append(lengthened(r.words))
-            times.append(np.frombuffer(r.times, np.uint32).astype(np.int64))
-            ends.append(ends[-1] + len(word[-1]))
-        asked_context, asked_word, times = np.concatenate(context), np.concatenate(word), np.concatenate(times)
-        order = np.lexsort((asked_word, asked_context))
-        c, w = asked_context[order], asked_word[order]
-        new = np.ones(len(c), dtype=bool)
-        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        total = np.add.reduceat(times[order], np.flatnonzero(new))
-        c, w = c[new][total > 0], w[new][total > 0]
-        total = total[total > 0]
-        takes = discounts(total)[np.minimum(total, 3)]
+        (c, w, total), (asked_context, asked_word, order, ends) = _added(rows)
+        takes = off_by_count[np.minimum(total, 3)]
         starts = _runs(c)
         at = starts[:-1]
         of_context = c[at]
@@ -339,8 +355,8 @@ def _answer(hot: np.ndarray, hot_counts: np.ndarray) -> Callable[[pd.DataFrame],
         spread = np.isin(of_context, hot)
         if spread.any():  # its total is known from the words; its weight is summed over shards later
             seen[spread] = hot_counts[np.searchsorted(hot, of_context[spread])]
-        code = to_code((total - takes) / np.repeat(seen, np.diff(starts)))
-        trie_bytes = Trie.build(c, w, code, to_code(np.minimum(off / np.maximum(seen, 1), 1.0)))
+        code = codes_.of((total - takes) / np.repeat(seen, np.diff(starts)))
+        trie_bytes = Trie.build(c, w, code, codes_.of(np.minimum(off / np.maximum(seen, 1), 1.0)))
         codes, weights = np.zeros(len(asked_word), np.uint8), np.zeros(len(asked_word), np.uint8)
         with tempfile.TemporaryDirectory() as folder:
             path = os.path.join(folder, "trie")
@@ -364,7 +380,7 @@ def _answer(hot: np.ndarray, hot_counts: np.ndarray) -> Callable[[pd.DataFrame],
 # --- scores -----------------------------------------------------------------------------
 
 
-def _score(hot: np.ndarray, hot_weights: np.ndarray, shards: int, word_shards: int, n: int, v: int):
+def _score(hot: np.ndarray, hot_weights: np.ndarray, codes: Codes, shards: int, word_shards: int, n: int, v: int):
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
             get = lambda name: batch.column(batch.schema.get_field_index(name))
@@ -376,10 +392,10 @@ def _score(hot: np.ndarray, hot_weights: np.ndarray, shards: int, word_shards: i
                 counts[order] = np.concatenate([unpacked(x["counts"]) for x in sorted(get("word_answers")[row].as_py(), key=lambda x: x["shard"])])
                 base = (counts + 1) / (n + v + 1)
                 answers = sorted(get("answers")[row].as_py(), key=lambda a: a["shard"])
-                a = DECODED[np.frombuffer(b"".join(x["codes"] for x in answers), np.uint8)]
+                a = codes.read(np.frombuffer(b"".join(x["codes"] for x in answers), np.uint8))
                 runs = _runs(bigrams.shard, bigrams.context)
                 weight = np.frombuffer(b"".join(x["weights"] for x in answers), np.uint8)
-                g = np.where(weight > 0, DECODED[weight], 1.0)
+                g = np.where(weight > 0, codes.read(weight), 1.0)
                 first = runs[:-1]
                 if (spread := bigrams.spread[first]).any():
                     g[spread] = hot_weights[np.searchsorted(hot, bigrams.context[first][spread])]
@@ -416,10 +432,10 @@ def score_texts(
     everything, n, learnt = blocks.agg(total("lengths"), total(lengths), learnt).first()
     shards, word_shards = max(1, -(-everything // shard_tokens)), max(1, -(-everything // (5 * shard_tokens)))
     asked = blocks.select("block", "held", "lengths", "vocabulary", "tokens").mapInArrow(_ask_words(word_shards), "shard int, block long, words binary, times binary")
-    counted = asked.groupBy("shard").applyInPandas(_answer_words(n / HOT), "block long, shard int, counts binary, known long, hot array<long>, times array<long>")
+    counted = asked.groupBy("shard").applyInPandas(_answer_words(HOT_SHARE * shard_tokens), "block long, shard int, counts binary, known long, hot array<long>, times array<long>")
     counted = scratch.table(counted, "counts")
     v = counted.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-    # at most HOT words have a HOT-th of all tokens
+    # few words have a share of a shard: at most 1 / HOT_SHARE for each shard, in practice far fewer
     found = counted.where("block < 0").select(F.explode(F.arrays_zip("hot", "times")).alias("z")).select("z.*").collect()
     often = {(r["hot"] % 2**64) & int(SHORT_BITS): r["times"] for r in found}
     often[int(START) & int(SHORT_BITS)] = max(learnt, 1)
@@ -428,8 +444,12 @@ def score_texts(
     asks = blocks.select("block", "held", "lengths", "vocabulary", "tokens").mapInArrow(
         _ask(hot, shards), "shard int, block long, contexts binary, successors binary, words binary, times binary"
     )
+    # counts of counts of the whole corpus: four numbers of each shard
+    repeats = scratch.table(asks.groupBy("shard").applyInPandas(_repeats, "n1 long, n2 long, n3 long, n4 long"), "repeats")
+    some = repeats.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(1, 5)]).first()
+    codes = Codes(n)
     answered = asks.groupBy("shard").applyInPandas(
-        _answer(hot, hot_counts), "block long, shard int, codes binary, weights binary, hot array<long>, off array<double>"
+        _answer(hot, hot_counts, discounts([0, *some]), codes), "block long, shard int, codes binary, weights binary, hot array<long>, off array<double>"
     )
     answered = scratch.table(answered, "answers")
     # one sum for each hot context: as few rows as there are hot contexts
@@ -440,4 +460,4 @@ def score_texts(
     word_answers = counted.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("word_answers"))
     ready = blocks.join(word_answers, "block").join(answers, "block")
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return ready.mapInArrow(_score(hot, hot_weights, shards, word_shards, n, v), schema).withColumnRenamed("id", id)
+    return ready.mapInArrow(_score(hot, hot_weights, codes, shards, word_shards, n, v), schema).withColumnRenamed("id", id)
