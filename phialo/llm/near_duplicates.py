@@ -226,9 +226,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     links = scratch.table(confirmed(pairs, sets, percent), "links")
     first = components(links)
     more = scratch.table(open_links(members, first, classes, sets, percent), "more")
-    scratch.drop(pairs, members, classes, sets, first)
-    labels = components(links.unionByName(more))
-    scratch.drop(links, more)
+    scratch.drop(pairs, members, classes, sets, links)
+    # the first components are stars already: only the links across them are left to settle
+    labels = components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    scratch.drop(first, more)
     placed = signed.select("id", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     # only components with several rows are looked up; the others are their own
     least = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
