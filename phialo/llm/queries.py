@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phialo.llm import chat, fingerprints, lm, near_duplicates, packing, pii, quality, secrets, segmentation, token_counts
+from phialo.llm import chat, exact_dedup, filter_audit, fingerprints, lm, near_duplicates, packing, pii, quality, secrets, segmentation, token_counts, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,18 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(documents(spark, sf_dir))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,5 +94,8 @@ QUERIES = {
         op8_pii,
         op9_quality_rules,
         op10_document_fingerprints,
+        op11_embedding_whitening,
+        op12_filter_audit,
+        op13_exact_dedup,
     )
 }
