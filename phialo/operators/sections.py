@@ -2,51 +2,47 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StructType
 
 from phialo.functions import html as H
 from phialo.functions import text as T
+from phialo.functions.batches import map_documents
 
+Parts = str | tuple[str, ...]
 SECTION = "found boolean, method string, end_found boolean, content_html string, has_table boolean, has_list boolean"
 
 
-@F.pandas_udf(StringType())
-def page_text(html: pd.Series) -> pd.Series:
-    """Stripped text nodes by line, without script and style."""
-    return html.map(lambda x: None if x is None else H.page_text(x))
+def _with_text(df: DataFrame, html: str, out: str, work: Callable[[str], str]) -> DataFrame:
+    """``df`` with a text made of each document in place of it; a null document stays null."""
+    marked = df.select(*[df[c] for c in df.columns if c not in (html, out)], df[html].alias("_html"), df[html].isNull().alias("_null"))
+    made = map_documents(marked, "_html", StructType().add(out, "string"), lambda: lambda x: (work(x),))
+    return made.withColumn(out, F.when(~F.col("_null"), F.col(out))).drop("_null")
 
 
-@F.pandas_udf(StringType())
-def _marked(html: pd.Series) -> pd.Series:
-    return html.map(lambda x: None if x is None else H.marked_text(x))
+def page_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
+    """``df`` with the stripped text nodes by line, without script and style, in place of the markup."""
+    return _with_text(df, html, out, H.page_text)
 
 
-def clean_text(html: Column, max_chars: int | None = 8000) -> Column:
-    """Text with cell bars and row ends, blanks collapsed, cut at ``max_chars``."""
-    text = F.regexp_replace(_marked(html), r"[ \t]+", " ")
+def clean_text(df: DataFrame, html: str = "html", out: str = "text", max_chars: int | None = 8000) -> DataFrame:
+    """Text with cell bars and row ends, blanks collapsed, cut at ``max_chars``, in place of the markup."""
+    text = F.regexp_replace(F.col(out), r"[ \t]+", " ")
     text = T.strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
-    return text if max_chars is None else F.substring(text, 1, max_chars)
+    return _with_text(df, html, out, H.marked_text).withColumn(out, text if max_chars is None else F.substring(text, 1, max_chars))
 
 
-def extract_section(df: DataFrame, html: str = "html", start: str = H.SECTION_START, end: str = H.SECTION_END) -> DataFrame:
+def extract_section(df: DataFrame, html: str = "html", start: Parts = H.SECTION_START, end: Parts = H.SECTION_END) -> DataFrame:
     """The markup between two markers; null documents are not found."""
-    added = StructType.fromDDL(SECTION)
-    kept = [f for f in df.schema.fields if f.name != html and f.name not in added.names]
-    schema = StructType(kept + added.fields)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, last = re.compile(start, re.I), re.compile(end, re.I)
-        for part in parts:
-            found = [H.section(x or "", first, last) for x in part[html]]
-            yield pd.concat([part[[f.name for f in kept]], pd.DataFrame(found, columns=added.names, index=part.index)], axis=1)
+    def make() -> Callable[[str], tuple]:
+        first, last = H.Marker(start), H.Marker(end)
+        return lambda x: H.section(x, first, last)
 
-    return df.select(*[f.name for f in kept], html).mapInPandas(run, schema)
+    return map_documents(df, html, StructType.fromDDL(SECTION), make)
 
 
 def section_blocks(manifest: DataFrame, docs: DataFrame, **markers) -> tuple[DataFrame, DataFrame]:
@@ -85,11 +81,15 @@ def audit_summary(audit: DataFrame, small: int = 500) -> DataFrame:
     return with_total.select("kind", "value", "n", (100 * F.col("n") / F.col("total")).alias("percent")).orderBy("kind", F.desc("n"), "value")
 
 
-@F.pandas_udf(StringType())
-def name_section(html: pd.Series) -> pd.Series:
-    """Text of the section with the product's name."""
-    start, end = re.compile(H.NAME_START, re.I), re.compile(H.NAME_END, re.I)
-    return html.map(lambda x: None if x is None else H.name_section(x, start, end))
+def name_section(df: DataFrame, html: str = "html", out: str = "name_text") -> DataFrame:
+    """``df`` with the text of the section with the product's name in place of the markup."""
+    start, end = H.NAME_START, H.NAME_END
+
+    def make() -> Callable[[str], tuple]:
+        first, last = H.Marker(start), H.Marker(end)
+        return lambda x: (H.name_section(x, first, last),)
+
+    return map_documents(df, html, StructType().add(out, "string"), make)
 
 
 def short_name(raw: Column) -> Column:
@@ -100,7 +100,8 @@ def short_name(raw: Column) -> Column:
 
 def drug_names(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """Name and status (Success, EmptyExtraction, Failed without a document) of each product."""
-    named = docs.select(F.col("product_id").cast("string").alias("_doc"), short_name(T.or_empty(name_section("html"))).alias("_name"))
+    texts = name_section(docs.select(F.col("product_id").cast("string").alias("_doc"), "html"))
+    named = texts.select("_doc", short_name(F.col("name_text")).alias("_name"))
     rows = ids.select(F.col("product_id").cast("string").alias("product_id")).join(named, F.col("product_id") == F.col("_doc"), "left")
     status = F.when(F.col("_doc").isNull(), "Failed").when(F.col("_name") == "", "EmptyExtraction").otherwise("Success")
     return rows.select("product_id", T.or_empty(F.col("_name")).alias("brand_name"), status.alias("status"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-SEQ = "concat(lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), lpad(CAST(l_linenumber AS VARCHAR), 2, '0'), lpad(CAST(l_partkey AS VARCHAR), 12, '0'), lpad(CAST(l_suppkey AS VARCHAR), 12, '0'))"
+SEQ = f"""concat(lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), lpad(CAST(l_linenumber AS VARCHAR), 2, '0'), lpad(CAST(l_partkey AS VARCHAR), 12, '0'), lpad(CAST(l_suppkey AS VARCHAR), 12, '0'),
+ CAST(CAST(l_shipdate AS DATE) AS VARCHAR), l_returnflag, l_linestatus{"".join(f", lpad(CAST(CAST(round(100 * {c}) AS BIGINT) AS VARCHAR), 12, '0')" for c in ("l_extendedprice", "l_quantity", "l_discount", "l_tax"))})"""
 
 ROWS = f"""
 rows_ AS (

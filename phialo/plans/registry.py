@@ -21,7 +21,9 @@ from phialo.sources import tables
 from phialo.streaming import fetchlog as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SEQ = "concat(lpad(cast(l_orderkey AS string), 12, '0'), lpad(cast(l_linenumber AS string), 2, '0'), lpad(cast(l_partkey AS string), 12, '0'), lpad(cast(l_suppkey AS string), 12, '0'))"
+#: A total order of the line items: rows that agree in all of it are equal, so their order doesn't matter.
+SEQ = f"""concat(lpad(cast(l_orderkey AS string), 12, '0'), lpad(cast(l_linenumber AS string), 2, '0'), lpad(cast(l_partkey AS string), 12, '0'), lpad(cast(l_suppkey AS string), 12, '0'),
+ cast(cast(l_shipdate AS date) AS string), l_returnflag, l_linestatus{"".join(f", lpad(cast(cast(round(100 * {c}) AS bigint) AS string), 12, '0')" for c in ("l_extendedprice", "l_quantity", "l_discount", "l_tax"))})"""
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -374,7 +376,7 @@ def a8_length_stats(spark, d):
 
 @query
 def x1_page_text(spark, d):
-    return Tables(spark, d).pages.select("page_id", sections.page_text("html").alias("text"))
+    return sections.page_text(Tables(spark, d).pages.select("page_id", "html"))
 
 
 @query
@@ -392,7 +394,7 @@ def a4_audit_summary(spark, d):
 
 @query
 def x6_clean_text(spark, d):
-    return Tables(spark, d).pages.select("page_id", sections.clean_text(F.col("html"), None).alias("text"))
+    return sections.clean_text(Tables(spark, d).pages.select("page_id", "html"), max_chars=None)
 
 
 @query

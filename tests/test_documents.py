@@ -1,13 +1,15 @@
 """Sections, cleaned text, names and answers on inline documents."""
 
-import re
+import time
 
-from pyspark.sql import functions as F
+import pyarrow as pa
+import pytest
 
+from phialo.functions import batches
 from phialo.functions import html as H
 from phialo.operators import sections
 
-START, END = re.compile(H.SECTION_START, re.I), re.compile(H.SECTION_END, re.I)
+START, END = H.Marker(H.SECTION_START), H.Marker(H.SECTION_END)
 
 
 def cut(html):
@@ -47,9 +49,9 @@ def test_markup_is_normal():
 def test_clean_text(spark):
     html = "<table><tr><th>A</th><td>b<br>c</td></tr><tr><td>d</td></tr></table><script>x</script><p>e &amp;   f</p>\n\n\n\n<p>g</p>"
     df = spark.createDataFrame([(html,), (None,), ("",)], "html string")
-    whole = [r[0] for r in df.select(sections.clean_text(F.col("html"), None)).collect()]
+    whole = [r[0] for r in sections.clean_text(df, max_chars=None).collect()]
     assert whole == ["A | b \n c | \n d | \n e & f \n\n g", None, ""]
-    short = df.select(sections.clean_text(F.col("html"), 9)).first()[0]
+    short = sections.clean_text(df, max_chars=9).first()[0]
     assert whole[0].startswith(short) and len(short) == 9
 
 
@@ -91,3 +93,63 @@ def test_registered_clean_text_is_whole(spark, tmp_path):
     text = " ".join(f"w{i}" for i in range(4000))
     spark.createDataFrame([(1, f"<p>{text}</p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [tuple(r) for r in QUERIES["x6_clean_text"](spark, str(tmp_path)).select("page_id", "text").collect()] == [(1, text)]
+
+
+def nested(tag, n, inside, end=False):
+    return "<body>" + f"<{tag}> " * n + inside + (f"</{tag}>" * n if end else "") + "</i>" * n
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        nested("p", 100_000, "4.8 undesirable effects"),
+        nested("div", 5_000, "<p>4.8 undesirable effects</p><p>4.9</p>", end=True),
+        nested("b", 50_000, "4.8 " * 20_000),
+        nested("p", 50_000, "4.8 undesirable effects" + "<h2>4.9</h2>" * 20_000),
+        nested("summary", 50_000, "1 name of the medicinal products"),
+        "<body><h2>4.8 undesirable effects</h2>" + "<p>same</p>" * 50_000,
+    ],
+)
+def test_deep_and_unclosed_markup_costs_time_in_proportion(page):
+    start, end = H.Marker(H.NAME_START), H.Marker(H.NAME_END)
+    began = time.perf_counter()
+    cut(page), H.page_text(page), H.name_section(page, start, end)
+    assert time.perf_counter() - began < 15
+
+
+def test_sections_of_nested_markers_are_the_first_ones():
+    page = "<body><b>4.8 a <strong>undesirable effects</strong></b><h2>x <b>y</b></h2><div><b>long <i>4.9</i> text</b></div><h3>4.9</h3></body>"
+    assert cut(page)[:3] == (True, "generic_fallback", True) and cut(page)[3] == "<b>4.8 a <strong>undesirable effects</strong></b>\n<h2>x <b>y</b></h2>"
+    # the first marker's own tag may hold the end's
+    inner = f"<body><b>4.8 undesirable effects {'x ' * 200}<strong>{'y ' * 200} 4.9</strong></b><p>z</p></body>"
+    assert cut(inner)[2] and cut(inner)[3].endswith("</b>\n<p>z</p>")
+
+
+def test_parts_of_a_batch_are_bounded_by_bytes():
+    texts = ["x" * n for n in (10, 50, 3, 3, 200, 1)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
+    parts = [p.column("t").to_pylist() for p in batches.parts(batch, "t", 60)]
+    assert sum(parts, []) == texts and [sum(len(x or "") for x in p) for p in parts] == [60, 6, 200, 1]
+
+
+def test_large_pages_come_in_bounded_batches(spark):
+    """200 pages of 2 MB: no task holds more of them at a time than fits the batch limit."""
+    pages = spark.range(200, numPartitions=1).selectExpr("id AS product_id", "concat('<body><p>4.8 undesirable effects</p><p>', repeat('word ', 400000), id, '</p>') AS html")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    try:
+
+        def peak(rows):
+            import resource
+
+            held = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss  # KB, of this Python worker
+            for batch in rows:
+                held = max(held, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+                assert batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64())], ["kb"])
+
+        sections_of = sections.extract_section(pages)
+        assert sections_of.where("found AND method = 'generic_fallback'").count() == 200
+        assert pages.mapInArrow(peak, "kb long").head()[0] < 1_000_000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
