@@ -39,10 +39,11 @@ def failed_sets(docs: DataFrame, labels: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
     bits = sum((F.when(fails, F.lit(1 << i)).otherwise(F.lit(0)) for i, fails in enumerate(failures(t))), F.lit(0))
     rows = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("part"), bits.alias("bits"), F.length(t).alias("size"), F.unhex(F.sha2(t, 256)).alias("mark"))
-    first = rows.groupBy("size", "mark").agg(F.min("doc_id").alias("first"))
+    # joined by the id as well, so that no task meets all copies of a text
+    first = rows.groupBy("size", "mark").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     known = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
-    copies = F.when(F.col("doc_id") > F.col("first"), F.lit(1 << 4)).otherwise(F.lit(0))
-    each = rows.join(first, ["size", "mark"]).join(known, "doc_id", "left").select("part", (F.col("bits") + copies).alias("failed"), "good", "toxic")
+    copies = F.when(F.col("doc_id").isNull() | F.col("first"), F.lit(0)).otherwise(F.lit(1 << 4))
+    each = rows.join(first, ["size", "mark", "doc_id"], "left").join(known, "doc_id", "left").select("part", (F.col("bits") + copies).alias("failed"), "good", "toxic")
     return each.groupBy("part", "failed").agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("good"), F.count_if("toxic").alias("toxic"))
 
 

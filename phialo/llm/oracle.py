@@ -130,6 +130,16 @@ def _placed(kind: int, pattern: str, group: int = 0) -> str:
                unnest(range(len(regexp_extract_all(t, {p}, 0)))) AS i FROM texts) WHERE hit IS NOT NULL)"""
 
 
+#: Strings that are never secrets, as one pattern.
+ALLOW = (
+    r"^[0-9=_+/-]+$"
+    r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+    r"|^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    r"|^[A-Za-z]+[0-9]{1,4}$"
+    r"|^[0-9]{1,4}[A-Za-z]+$"
+    r"|^[A-Za-z]*[a-z]{3,}([/_+=-]+([A-Za-z]?[a-z]*|[0-9]{1,4}))+$"
+    r"|(?i)example|placeholder|xxxx|0000000"
+)
 _LIMITS = " ".join(f"WHEN regexp_matches(v, {_quoted(p)}) THEN {limit}" for p, _, limit in secrets.CLASSES if p)
 _JOINED = "coalesce(string_agg(list_extract(['assign', 'access', 'hex', 'entropy'], k + 1) || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k), '')"
 SECRETS = f"""
@@ -140,7 +150,7 @@ base AS (
   UNION ALL SELECT * FROM ({_placed(2, "[0-9a-f]+")}) WHERE length(v) >= 32),
 runs AS (
   SELECT * FROM ({_placed(3, "[A-Za-z0-9+/_=-]+")}) r
-  WHERE length(v) >= 20 AND regexp_matches(v, '[0-9]') AND NOT regexp_matches(v, {_quoted(secrets.ALLOW)})
+  WHERE length(v) >= 20 AND regexp_matches(v, '[0-9]') AND NOT regexp_matches(v, {_quoted(ALLOW)})
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s < r.e AND b.e > r.s)),
 windows AS (SELECT DISTINCT v, unnest(range(1, length(v) - {secrets.WINDOW - 2})) AS i FROM runs),
 letters AS (SELECT v, i, c, count(*) AS n FROM (SELECT v, i, unnest(string_split(substr(v, i, {secrets.WINDOW}), '')) AS c FROM windows) GROUP BY ALL),

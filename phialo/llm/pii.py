@@ -25,8 +25,7 @@ from phialo.llm import batches
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local")
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-DOTTED = re.compile(r"[0-9][0-9.]*")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # joined by single dots
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -106,12 +105,15 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the four base kinds."""
     out = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
-    for run in DOTTED.finditer(text):
+    for run in NUMBERS.finditer(text):
         if run[0].count(".") >= 3:
-            for m in IP.finditer(text, *run.span()):
-                parts = [x.lstrip("0") or "0" for x in m[0].split(".")]
-                if all(len(x) <= 3 and int(x) <= 255 for x in parts):
-                    out.append((m.start(), 1, m.end()))
+            # a match ends with its fourth number, and the next one begins with the fifth
+            numbers, at = run[0].split("."), run.start()
+            for four in (numbers[i : i + 4] for i in range(0, len(numbers) - 3, 4)):
+                end = at + sum(map(len, four)) + 3
+                if all(len(x) <= 3 and int(x) <= 255 for x in (n.lstrip("0") or "0" for n in four)):
+                    out.append((at, 1, end))
+                at = end + 1
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = m[0].replace(" ", "").replace("-", "")

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import types as T
 
-from phialo.llm import packing, pii, quality, secrets, token_counts
+from phialo.llm import oracle, packing, pii, quality, secrets, token_counts
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 EDGE = [
@@ -75,7 +75,7 @@ def plain_entropy(t):
     base, out = plain_secrets(t), []
     for m in re.finditer("[A-Za-z0-9+/_=-]+", t):
         x, w = m[0], secrets.WINDOW
-        if len(x) < 20 or not re.search("[0-9]", x) or re.search(secrets.ALLOW.replace("(?i)example", "(?i:example").replace("0000000", "0000000)"), x):
+        if len(x) < 20 or not re.search("[0-9]", x) or re.search(oracle.ALLOW.replace("(?i)example", "(?i:example").replace("0000000", "0000000)"), x):
             continue
         if any(a < m.end() and b > m.start() for a, _, b in base):
             continue
@@ -365,3 +365,48 @@ def test_empty_tables(spark, edge):
         packing.pack(packing.pieces(none, words)),
     ):
         assert out.count() == 0 and isinstance(out.schema, T.StructType)
+
+
+def test_long_runs_cost_time_in_proportion(spark):
+    """One candidate of a megabyte: no recursion, and no walk from its start at each step."""
+    import random
+    import time
+
+    letters = random.Random(2)
+    runs = ["abc" + "_ab" * 350_000 + "_1", "-" * 1_000_000 + "1", "0123456789abcdef" * 65_000, "".join(letters.choices("abcdefghijklmnopqrstuvwyzABCXYZ123456789", k=1_000_000)), "aB1aB1" * 60_000 + "_"]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    began = time.perf_counter()
+    out = by_id(secrets.scan_secrets(docs))
+    assert time.perf_counter() - began < 90
+    assert [out[i]["spans"] for i in range(5)] == ["", "", "hex:0:1040000", "entropy:0:1000000", ""]
+
+
+def test_joined_words_are_allowed_as_by_the_one_pattern(spark):
+    import random
+
+    pick = random.Random(9)
+    words = ["".join(pick.choices(["abc", "Abc", "x", "B", "12", "12345", "_", "-", "/", "=", "q"], k=pick.randint(1, 8))) for _ in range(3000)]
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    pattern = re.compile(r"^[A-Za-z]*[a-z]{3,}([/_+=-]+([A-Za-z]?[a-z]*|[0-9]{1,4}))+$")
+    rest = re.compile("|".join(x for x in oracle.ALLOW.split("|^[A-Za-z]*[a-z]{3,}")[0:1]) + "|(?i:example|placeholder|xxxx|0000000)")
+    for r in rows.select("w", secrets.allowed(rows.w).alias("a")).collect():
+        assert r.a == bool(pattern.search(r.w) or rest.search(r.w)), r.w
+
+
+def test_digits_and_dots_cost_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    for text in ("1" * 1_000_000 + "...", "1." * 500_000, "1.." * 300_000, "." * 1_000_000, "1.2.3.4." * 100_000):
+        pii.base_spans(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_addresses_match_as_by_the_pattern():
+    import random
+
+    pick, pattern = random.Random(4), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(3000):
+        text = "".join(pick.choices(["1", "25", "300", "007", ".", ".", ".", "..", " ", "a"], k=pick.randint(4, 30)))
+        want = [m.span() for m in pattern.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [(s, e) for s, k, e in pii.base_spans(text) if k == 1] == want, text
