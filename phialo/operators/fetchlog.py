@@ -17,9 +17,23 @@ def fetch_status(file_exists: Column, http_status: Column) -> Column:
     )
 
 
+def by_day(log: DataFrame) -> DataFrame:
+    """``log`` with a typed time and its ``day``, as ``write_log`` stores it; rows without a time have no day."""
+    time = F.col("timestamp") if log.schema["timestamp"].dataType.typeName().startswith("timestamp") else F.try_to_timestamp(F.col("timestamp").cast("string"))
+    return log.withColumn("timestamp", time).withColumn("day", F.col("timestamp").cast("date"))
+
+
 def log_since(log: DataFrame, start: str) -> DataFrame:
-    """rows of the run that began at ``start``."""
-    return log.where(F.try_to_timestamp(F.col("timestamp").cast("string")) >= F.lit(start).cast("timestamp"))
+    """rows of the run that began at ``start``.
+
+    On a log of ``by_day`` the days before are not listed and the time is compared as it is
+    stored, so both conditions reach the scan; a time that is text is read row by row.
+    """
+    kind = log.schema["timestamp"].dataType.simpleString()
+    if not kind.startswith("timestamp"):
+        return log.where(F.try_to_timestamp(F.col("timestamp").cast("string")) >= F.lit(start).cast("timestamp"))
+    rows = log.where(F.col("timestamp") >= F.lit(start).cast(kind))
+    return rows.where(F.col("day") >= F.lit(start).cast("date")) if "day" in log.columns else rows
 
 
 def log_summary(log: DataFrame) -> DataFrame:

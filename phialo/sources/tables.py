@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import json
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phialo import scratch
 from phialo.functions import fixed
 from phialo.functions import text as T
 
@@ -16,25 +20,50 @@ BOM = "﻿"
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """IO1: ids of {"ids": [...]} or [...] in order; what is no whole number is left out."""
-    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
-    listed = F.when(F.ltrim("v").startswith("["), F.from_json("v", "array<string>")).otherwise(F.from_json("v", "ids array<string>")["ids"])
-    each = text.select(F.posexplode(listed).alias("seq", "id"))
-    return each.select(F.col("seq").cast("long"), T.strip(F.col("id")).try_cast("long").alias("product_id")).where("product_id IS NOT NULL")
+    """IO1: ids of {"ids": [...]} or [...] with their order; what is no whole number is left out.
 
+    The value is read by many tasks: it is cut at its commas, not at lines, and what lies
+    between the bracket behind "ids" (or the first of all) and the next closing one counts.
+    ``seq`` is the file, the place of its part and the place there.  A folder of parts that
+    ``write_ids`` made is one value.
+    """
+    at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    pieces = spark.read.option("lineSep", ",").text(path).select(at.alias("seq"), F.col("value").alias("v"))
+    opens = F.col("v").rlike(r'"ids"\s*:\s*\[|^\s*\[')
+    bounds = pieces.agg(F.min(F.when(opens, F.col("seq"))).alias("first"), F.max(F.when(F.col("v").contains("]"), F.col("seq"))).alias("last"))
+    inside = pieces.crossJoin(F.broadcast(bounds)).where("seq >= first AND seq <= last")  # one row
+    item = F.regexp_replace(F.regexp_replace("v", r"^[^\[]*\[", ""), r"\][^\]]*$", "")
+    number = F.regexp_extract(item, r'^\s*("?)\s*([+-]?[0-9]+)\s*\1\s*$', 2)
+    return inside.select("seq", number.try_cast("long").alias("product_id")).where("product_id IS NOT NULL")
 
-def write_ids(df: DataFrame, path: str, source: str = "", id: str = "product_id") -> None:
-    """IO2: one object with source, count and the sorted distinct ids (an id list is one JSON value)."""
-    ids = F.sort_array(F.collect_set(id))
-    df.agg(F.lit(source).alias("source"), F.size(ids).alias("count"), ids.alias("ids")).write.mode("overwrite").json(path)
 
+def write_ids(df: DataFrame, path: str, source: str = "", id: str = "product_id") -> None:
+    """IO2: one object with source, count and the sorted distinct ids, as text.
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, ordered: bool = False) -> DataFrame:
+    Ids are sorted in ranges and each task writes one, so no task holds the list; the parts
+    in the order of their names are one JSON value, its first part with the head.
+    """
+    ids = scratch.table(df.select(F.col(id).cast("string").alias("id"), F.col(id).alias("_by")).where(F.col(id).isNotNull()).distinct(), "ids")
+    known = ids.agg(F.count(F.lit(1)).alias("n"), F.min("_by").alias("least")).head()
+    quoted = F.col("id") if dict(df.dtypes)[id] in ("tinyint", "smallint", "int", "bigint") else F.to_json(F.struct("id")).substr(F.lit(7), F.length(F.to_json(F.struct("id"))) - 7)
+    comma = F.when(F.col("_by") == F.lit(known["least"]), "").otherwise(",")
+    kind = dict(df.dtypes)[id]
+    ends = df.sparkSession.createDataFrame(
+        [(0, f'{{"source": {json.dumps(source)}, "count": {known["n"]}, "ids": ['), (2, "]}")], "part int, line string"
+    ).withColumn("_by", F.lit(None).cast(kind))
+    lines = ids.select(F.lit(1).alias("part"), F.concat(comma, quoted).alias("line"), "_by").unionByName(ends)
+    lines.orderBy("part", "_by").select("line").write.mode("overwrite").text(path)
+    scratch.drop(ids)
+
+
+def read_table(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, ordered: bool = False, multi_line: bool = True) -> DataFrame:
     """IO3: a CSV with header as strings, nulls as empty strings; fields beyond the schema go.
 
-    ``ordered`` adds ``seq``, which rises with the lines of each file.
+    ``multi_line`` is for fields that hold line ends; without it large files are read by many
+    tasks.  ``ordered`` adds ``seq``, which rises with the lines of each file; its files are
+    read whole.
     """
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", True)
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", multi_line or ordered)
     if columns:
         reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
     df = reader.csv(path)
@@ -42,16 +71,22 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     return df.withColumn("seq", F.monotonically_increasing_id()) if ordered else df
 
 
-def read_fetch_log(spark: SparkSession, path: str, missing: str = "0") -> DataFrame:
-    """IO4: the log in its current or its legacy form; any other header is an error.
+def log_forms(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a log by their header; one pass over the lines, one row for each file.
 
-    ``missing`` stands for the counters that the legacy form lacks.
+    A file's first line is the first one that the task of the file's first part reads.
     """
-    raw = read_table(spark, path)
-    if tuple(raw.columns) == LOG_COLUMNS:
-        return raw
-    if tuple(raw.columns) != LEGACY_COLUMNS:
-        raise ValueError(f"unknown log header: {raw.columns}")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    first = lines.where("start = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    forms: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy("file").collect():  # the driver has listed these files already
+        header = next(csv.reader([row["header"].lstrip(BOM)]), [])
+        forms.setdefault(tuple(header), []).append(unquote(row["file"]))
+    return forms
+
+
+def _current_form(raw: DataFrame, missing: str) -> DataFrame:
+    """Rows of the legacy form as the current one has them."""
     status, empty = T.strip(F.col("Status")), F.lit("")
     named = F.when(status == "Success", "SUCCESS").when(status == "404", "HTTP_404").when(status == "Error", "HTTP_ERROR").otherwise(F.upper(status))
     return raw.select(
@@ -67,6 +102,25 @@ def read_fetch_log(spark: SparkSession, path: str, missing: str = "0") -> DataFr
     )
 
 
+def read_fetch_log(spark: SparkSession, path: str, missing: str = "0") -> DataFrame:
+    """IO4: the log's files, each in its current or its legacy form; any other header is an error.
+
+    ``missing`` stands for the counters that the legacy form lacks.  Files without a line give
+    no rows.
+    """
+    forms = log_forms(spark, path)
+    if unknown := {h: files[:3] for h, files in forms.items() if h not in (LOG_COLUMNS, LEGACY_COLUMNS)}:
+        raise ValueError(f"unknown log headers: {unknown}")
+    parts = [read_table(spark, files, list(h), multi_line=False) for h, files in forms.items()]
+    parts = [p if tuple(p.columns) == LOG_COLUMNS else _current_form(p, missing) for p in parts]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], ", ".join(f"{c} string" for c in LOG_COLUMNS))
+
+
+def write_log(log: DataFrame, path: str) -> None:
+    """a log of ``fetchlog.by_day`` by day; rows of a new run are appended."""
+    log.repartition("day", F.pmod(F.xxhash64("product_id"), F.lit(8))).write.mode("append").partitionBy("day").parquet(path)
+
+
 def _stored(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "smpc_*.html").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
