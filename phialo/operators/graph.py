@@ -5,8 +5,10 @@ Every ordered input carries ``seq``: "first" means the row with the smallest one
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from phialo import scratch
 from phialo.functions import fixed
@@ -68,6 +70,63 @@ def running_sum(df: DataFrame, key: str, order: str, value: str, out: str) -> Da
     return held.join(before, [key, "_range"]).withColumn(out, F.sum(value).over(within) + F.col("_before")).drop("_range", "_before")
 
 
+def skipped(bars: list[int]) -> list[int]:
+    """The step that a range of bars is for any number of skips before it, as sorted breaks.
+
+    A bar h adds a skip to s if s < h.  A range of bars maps s to s + k - (breaks up to s),
+    with a break for each of the k bars that can add one: such a bar joins two neighbouring
+    outcomes to one, those of h - 1 and of h.
+    """
+    breaks: list[int] = []
+    for bar in bars:
+        rank = bar - len(breaks)  # of the break among the numbers 1, 2, ... that are none yet
+        if rank > 0:
+            # the rank-th free number is rank + the breaks below it
+            low, high = 0, len(breaks)
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (mid + 1, high) if breaks[mid] - mid <= rank else (low, mid)
+            breaks.insert(low, rank + low)
+    return breaks
+
+
+def _ranges(held: DataFrame) -> DataFrame:
+    """(base, range, k, breaks) of bars in order: what each range does to the skips before it."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        breaks = skipped(part.sort_values("_j")["_bar"].tolist())
+        return pd.DataFrame({"_base": [key[0]], "_range": [key[1]], "_breaks": [breaks]})
+
+    return held.groupBy("_base", "_range").applyInPandas(run, "_base string, _range int, _breaks array<long>")
+
+
+def skips_before(bars: DataFrame) -> DataFrame:
+    """``bars`` (_base, _j, _bar, ...) with ``_skips``: skips of the base before each, by rising _j.
+
+    An associative scan: every range of a base's bars is one step, whatever comes before it;
+    the steps of a base are applied in turn; and each range, told where it starts, goes
+    through its own bars.  Three jobs, whatever the names are.
+    """
+    held = scratch.table(bars.repartitionByRange("_base", "_j").withColumn("_range", F.spark_partition_id()), "bars")
+    steps = _ranges(held).groupBy("_base").agg(F.array_sort(F.collect_list(F.struct("_range", "_breaks"))).alias("steps"))  # a row for each range of the base
+    after = lambda s, z: s + F.size(z["_breaks"]) - F.size(F.filter(z["_breaks"], lambda b: b <= s))
+    entry = lambda out, z: F.concat(out, F.array(after(F.element_at(out, -1), z)))
+    starts = steps.select("_base", "steps", F.aggregate("steps", F.array(F.lit(0)), entry).alias("at"))
+    starts = starts.select("_base", F.explode(F.arrays_zip(F.col("steps._range").alias("_range"), "at")).alias("z")).where("z._range IS NOT NULL")
+    joined = held.join(starts.select("_base", F.col("z._range").alias("_range"), F.col("z.at").alias("_start")), ["_base", "_range"])
+    schema = T_.StructType([*held.schema.fields, T_.StructField("_skips", T_.LongType())])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_j")
+        s, out = int(part["_start"].iloc[0]), []
+        for bar in part["_bar"]:
+            out.append(s)
+            s += s < bar
+        return part.drop(columns="_start").assign(_skips=out)[schema.names]
+
+    return scratch.table(joined.select(*held.columns, "_start").groupBy("_base", "_range").applyInPandas(run, schema).drop("_range"), "skips")
+
+
 def unique_slugs(df: DataFrame, base: str, seq: str = "seq", out: str = "slug") -> DataFrame:
     """Every row its own slug; clashes get _2, _3 and so on in order, past values in use.
 
@@ -75,7 +134,12 @@ def unique_slugs(df: DataFrame, base: str, seq: str = "seq", out: str = "slug")
     stands in the input by itself may be in the way: a row that comes to a number whose name
     an earlier row holds goes on to the next one, and a name whose number was given out before
     its own first row numbers all its rows.  So bases without such children are done after
-    counting; the others are settled from short names to long ones.  ``seq`` has no ties.
+    counting; the others are settled from short names to long ones, each length of number
+    endings by a fixed number of jobs.  ``seq`` has no ties.
+
+    Number j of a base with s skips before it comes to row j - s; the name that stands there
+    is skipped if fewer rows than that come before the name's own first row, that is, if s is
+    below a bar: j less those rows.
     """
     columns = [F.col(c) for c in df.columns]
     rows = df.select(F.struct(*columns).alias("_row"), F.col(base).alias("_base"), F.col(seq).alias("_seq"), F.lit(1).alias("_one"))
@@ -95,20 +159,18 @@ def unique_slugs(df: DataFrame, base: str, seq: str = "seq", out: str = "slug")
     names = kids.select("_base").unionByName(kids.select(F.col("_kid").alias("_base"))).distinct()
     placed = scratch.table(rows.join(names, "_base", "left_semi").select("_row", "_base", "_seq", "_n"), "placed")
     for level in [r["_depth"] for r in kids.select("_depth").distinct().orderBy("_depth").collect()]:  # lengths of number endings: a few
-        here = kids.where(F.col("_depth") == level).select("_base", "_j", "_kid", "_first", F.lit(0).alias("_skip"))
-        at = placed.select("_base", F.col("_n").alias("_at"), F.col("_seq").alias("_turn"))
-        while True:
-            passed = running_sum(here, "_base", "_j", "_skip", "_upto").withColumn("_at", F.col("_j") - F.col("_upto") + F.col("_skip"))
-            met = passed.join(at, ["_base", "_at"], "left")
-            now = met.withColumn("_now", F.coalesce((F.col("_first") < F.col("_turn")).cast("int"), F.lit(0)))
-            now = scratch.table(now, "skips")
-            if not now.where("_now <> _skip").take(1):
-                break
-            here = now.select("_base", "_j", "_kid", "_first", F.col("_now").alias("_skip"))
+        here = kids.where(F.col("_depth") == level).select("_base", "_j", "_kid", F.col("_first").alias("_seq"), F.lit(0).alias("_one"))
+        # rows of the base before the name's own first row
+        both = here.unionByName(placed.select("_base", "_seq", F.lit(1).alias("_one")), allowMissingColumns=True)
+        counted = running_sum(both, "_base", "_seq", "_one", "_earlier").where("_kid IS NOT NULL")
+        of_base = placed.groupBy("_base").agg((F.min("_n") - 1).alias("_push"), F.count(F.lit(1)).alias("_rows"))
+        bars = counted.join(of_base, "_base").select("_base", "_j", "_kid", "_push", "_rows", (F.col("_j") - F.col("_push") - F.col("_earlier")).alias("_bar"))
+        now = skips_before(bars).withColumn("_at", F.col("_j") - F.col("_skips"))
+        met = now.where("_at - _push <= _rows")  # a row comes there at all
         # numbers given out before the name's own first row push all rows of that name on by one
-        pushed = now.where("_turn IS NOT NULL AND _skip = 0").select(F.col("_kid").alias("_base"), F.lit(1).alias("_push"))
+        pushed = met.where("_skips >= _bar").select(F.col("_kid").alias("_base"), F.lit(1).alias("_push"))
         # rows from a skipped number's turn on are one further
-        marks = now.where("_skip = 1").select("_base", F.col("_at").alias("_n"), F.lit(0).alias("_order"), F.lit(1).alias("_skip"))
+        marks = met.where("_skips < _bar").select("_base", F.col("_at").alias("_n"), F.lit(0).alias("_order"), F.lit(1).alias("_skip"))
         own = placed.select("*", F.lit(1).alias("_order"), F.lit(0).alias("_skip")).unionByName(marks, allowMissingColumns=True)
         own = own.withColumn("_place", F.struct("_n", "_order"))
         moved = running_sum(own, "_base", "_place", "_skip", "_shift").where("_order = 1")

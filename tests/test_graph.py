@@ -112,3 +112,33 @@ def test_graph_end_to_end(spark, tmp_path):
     text = "\n".join(p.read_text() for p in sorted((tmp_path / "ttl").glob("part-*")))
     assert text.startswith("@prefix : <") and text.index(":abc rdf:type") < text.index(":abc_3 rdf:type") < text.index(":pain_ache rdf:type") < text.index(":occ_1_")
     assert '    :activeIngredient "inn" .' in text
+
+
+def test_steps_of_ranges_compose():
+    pick = random.Random(3)
+    for _ in range(500):
+        bars = [pick.randint(-3, 14) for _ in range(pick.randint(0, 12))]
+        breaks = graph.skipped(bars)
+        for before in range(20):
+            after = before
+            for bar in bars:
+                after += after < bar
+            assert after == before + len(breaks) - sum(x <= before for x in breaks)
+
+
+def test_slugs_of_many_numbered_names_take_a_fixed_number_of_jobs(spark):
+    """A hot base whose numbers are mostly taken, in an order that lets each skip decide the next."""
+    pick = random.Random(8)
+    names = ["product"] * 1500 + [f"product_{k}" for k in range(2, 1500) if k % 5] + [f"product_{k}_2" for k in range(2, 60)]
+    pick.shuffle(names)
+    df = spark.createDataFrame(list(enumerate(names)), "seq long, base string")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("slugs", "slugs")
+    got = [r["slug"] for r in graph.unique_slugs(df, "base").orderBy("seq").collect()]
+    many = len(jobs.getJobIdsForGroup("slugs"))
+    assert got == plain_slugs(names)
+    few = spark.createDataFrame(list(enumerate(["product", "product_2", "product", "product_2_2", "product_2"])), "seq long, base string")
+    spark.sparkContext.setJobGroup("few", "few")
+    assert [r["slug"] for r in graph.unique_slugs(few, "base").orderBy("seq").collect()] == plain_slugs(["product", "product_2", "product", "product_2_2", "product_2"])
+    assert many <= len(jobs.getJobIdsForGroup("few")) + 40
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
