@@ -1,8 +1,8 @@
 """Vocabulary lookups as joins, and what is done with their results.
 
 Vocabulary rows: sab, code, name, cui.  A term is looked up once, whatever its number of
-rows.  Word lookups block by token: the term's rarest word finds the names that hold it, and
-all of the term's words must be among the name's.  Rough lookups look for the closest names:
+rows.  Word lookups go by sets of words: a set's rarest word, or its two rarest where all are
+frequent, finds the names that may hold it.  Rough lookups look for the closest names:
 first at one edit, by what is left of a string without one of its characters; terms that have
 nothing there block by pieces, since a name cut into one piece more than the edits it may
 have keeps one piece whole in every term near it.
@@ -37,17 +37,60 @@ def _usable(vocab: DataFrame, sabs: list[str]) -> DataFrame:
     return vocab.where(F.col("sab").isin(*sabs) & (T.or_empty(F.col("code")) != "") & (F.col("code") != "NONE")).withColumn("sab_rank", rank)
 
 
-def _by_token(terms: DataFrame, names: DataFrame) -> DataFrame:
-    """(term, name columns) pairs that share the term's rarest word."""
-    tokens = names.withColumn("token", F.explode(words_of(F.col("name"))))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("names"))
-    asked = terms.withColumn("token", F.explode(words_of(F.col("term")))).join(often, "token", "left").na.fill({"names": 0})
-    rarest = asked.groupBy("term").agg(F.min_by("token", F.struct("names", "token")).alias("token"))
-    return rarest.join(tokens, "token")
+#: Lists that a key has on both sides are dealt in blocks of about this many rows a side.
+BLOCK = 2000
 
 
-#: Pieces that more terms and names share are dealt in blocks of about this many rows a side.
-BLOCK = 2000
+def _in_blocks(left: DataFrame, right: DataFrame, key: list[str], own: tuple[str, str], block: int) -> DataFrame:
+    """The equi-join of two tables on ``key`` without a key's pairs in one task.
+
+    Of a key with more than ``block`` rows on a side, every block of one side meets every
+    block of the other; ``own`` names the columns by which rows are dealt.
+    """
+    often = lambda side, c: side.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(c))
+    hot = scratch.table(often(left, "_lb").join(often(right, "_rb"), key).where("_lb > 1 OR _rb > 1"), "hot_keys")
+    spread = lambda side, by, a, b: (
+        side.join(hot, key, "left")
+        .na.fill(1, ["_lb", "_rb"])
+        .withColumns({f"{a}_at": F.expr(f"pmod(xxhash64({by}), {a})"), f"{b}_at": F.explode(F.expr(f"sequence(0L, {b} - 1L)"))})
+        .drop("_lb", "_rb")
+    )
+    return spread(left, own[0], "_lb", "_rb").join(spread(right, own[1], "_rb", "_lb"), [*key, "_lb_at", "_rb_at"]).drop("_lb_at", "_rb_at")
+
+
+def _best_holding(terms: DataFrame, names: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(term, b): of every term with words the best name (by BEST) that holds all of them.
+
+    Terms are their sets of words, and a set of names' words keeps its best name.  A set is
+    found by its rarest word; where that one is frequent, so are all of the set's: then a set
+    of one word takes the word's best name, which needs no pairs, and a larger one is found by
+    its two rarest words.  Lists that stay long are dealt in blocks.
+    """
+    order = F.struct("sab_rank", F.length("name").alias("size"), "code", "name")
+    sets = lambda df, c: df.withColumn("words", F.array_sort(words_of(F.col(c))))
+    held = sets(names, "name").where(F.size("words") > 0).groupBy("words").agg(F.min(F.struct(order.alias("by"), "sab", "cui")).alias("b"))
+    held = scratch.table(held.withColumn("own", F.xxhash64("words")), "name_sets")
+    asked = scratch.table(sets(terms.select("term"), "term").where(F.size("words") > 0), "term_sets")
+    tokens = held.select(F.explode("words").alias("word"), "b")
+    often = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("names"), F.min("b").alias("b"))
+    often = scratch.table(often, "words")
+    parts = asked.select("words").distinct().select("words", F.explode("words").alias("word")).join(often.select("word", "names"), "word", "left")
+    # a word that no name has rules its set out
+    ranked = parts.groupBy("words").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "word"))).alias("r")).where("r[0].names > 0")
+    ranked = scratch.table(ranked.select("words", F.xxhash64("words").alias("own"), F.col("r")[0]["names"].alias("names"), F.col("r")[0]["word"].alias("word"), F.get("r", F.lit(1))["word"].alias("other")), "asked_sets")
+    single = ranked.where("other IS NULL").select("words", "word").join(often.select("word", "b"), "word").select("words", "b")
+    rare = ranked.where((F.col("names") <= block) & F.col("other").isNotNull()).select("words", "own", "word")
+    listed = held.select(F.col("words").alias("all"), F.col("own").alias("set"), "b", F.explode("words").alias("word"))
+    holds = F.size(F.array_except("words", "all")) == 0
+    by_word = _in_blocks(rare, listed, ["word"], ("own", "set"), block).where(holds).select("words", "b")
+    pairs = ranked.where((F.col("names") > block) & F.col("other").isNotNull()).select("words", "own", F.least("word", "other").alias("word"), F.greatest("word", "other").alias("other"))
+    frequent = often.where(F.col("names") > block).select("word")
+    hot = listed.join(frequent, "word", "left_semi").groupBy("set", "all").agg(F.min("b").alias("b"), F.array_sort(F.collect_list("word")).alias("w"))
+    twos = F.expr("flatten(transform(w, (x, i) -> transform(slice(w, i + 2, size(w)), y -> struct(x AS word, y AS other))))")
+    both = hot.select("all", "set", "b", F.explode(twos).alias("z")).select("all", "set", "b", "z.*")
+    by_two = _in_blocks(pairs, both, ["word", "other"], ("own", "set"), block).where(holds).select("words", "b")
+    best = single.unionByName(by_word).unionByName(by_two).groupBy("words").agg(F.min("b").alias("b"))
+    return asked.join(best, "words").select("term", "b.by.sab_rank", "b.by.code", "b.by.name", "b.sab", "b.cui")
 
 
 def _by_pieces(terms: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
@@ -73,16 +116,7 @@ def _by_pieces(terms: DataFrame, names: DataFrame, threshold: float) -> DataFram
     t = t.select("_t", "_len", "i", "_size", F.explode(F.expr("sequence(_from, _to)")).alias("_at"))
     t = t.selectExpr("_t", "_len", "i", "substring(_t, _at + 1, _size) AS piece").distinct()
     n, t = scratch.table(n, "name_pieces"), scratch.table(t, "term_pieces")
-    # frequent pieces: both sides in blocks, every block of one side meets every block of the other
-    often = lambda side, c: side.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(c))
-    hot = often(n, "_nb").join(often(t, "_tb"), key).where("_nb > 1 OR _tb > 1")
-    hot = scratch.table(hot, "hot_pieces")
-    spread = lambda side, own, a, b: (
-        side.join(hot, key, "left")
-        .na.fill(1, ["_nb", "_tb"])
-        .select(own, *key, F.expr(f"pmod(xxhash64({own}), {a})").alias(f"{a}_at"), F.explode(F.expr(f"sequence(0L, {b} - 1L)")).alias(f"{b}_at"))
-    )
-    both = spread(t, "_t", "_tb", "_nb").join(spread(n, "_n", "_nb", "_tb"), [*key, "_tb_at", "_nb_at"])
+    both = _in_blocks(t, n, key, ("_t", "_n"), BLOCK)
     longest = F.greatest(F.length("_t"), F.length("_n"))
     return both.where(1 - F.levenshtein("_t", "_n") / longest >= threshold).select("_t", "_n").distinct()
 
@@ -116,8 +150,8 @@ def _closest(terms: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
 def hits(terms: DataFrame, vocab: DataFrame, sabs: list[str], modes: list[str], threshold: float = 0.8) -> DataFrame:
     """Hits of distinct terms: term, mode_rank, edits, and the vocabulary's columns.
 
-    exact: equal names; normalized: equal normal forms; words: all words of the term in the
-    name; approximate: of terms that no mode before has found, the closest names of a
+    exact: equal names; normalized: equal normal forms; words: the best of the names that hold
+    all words of the term; approximate: of terms that no mode before has found, the closest names of a
     similarity of ``threshold`` or more.
     """
     names = _usable(vocab, sabs)
@@ -127,7 +161,7 @@ def hits(terms: DataFrame, vocab: DataFrame, sabs: list[str], modes: list[str],
             form = (lambda c: F.lower(T.strip(c))) if mode == "exact" else normal_form
             hit = terms.withColumn("_k", form(F.col("term"))).join(names.withColumn("_k", form(F.col("name"))), "_k").where("_k <> ''").drop("_k")
         elif mode == "words":
-            hit = _by_token(terms, names).where(F.size(F.array_except(words_of(F.col("term")), words_of(F.col("name")))) == 0)
+            hit = _best_holding(terms, names)
         else:
             left = terms
             for before in found:

@@ -1,7 +1,9 @@
 """Vocabulary lookups and back-fills on a small vocabulary."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from phialo.operators import lookup, sampling
@@ -100,3 +102,32 @@ def test_samples(spark):
     assert a == b and len(set(a)) == 50 and a == sorted(a, key=int)
     picks = sampling.pick_candidates(spark.range(5).selectExpr("id AS product_id", "5 - id AS n"), [("big", F.col("n") > 3), ("any", F.lit(True)), ("none", F.lit(False))], ["n"])
     assert [(r["product_id"], r["reason"]) for r in picks.orderBy("pick").collect()] == [(1, "big"), (4, "any")]
+
+
+def held_by(term, names):
+    """The best name that holds all words of a term, by comparing it with all."""
+    words = set(re.findall(r"\w+", term.lower()))
+    fits = [(len(n), c, n) for c, n in names if words and words <= set(re.findall(r"\w+", n.lower()))]
+    return min(fits, default=None)
+
+
+@pytest.mark.parametrize("block", [2, 2000])
+def test_words_like_all_pairs(spark, block):
+    pick = random.Random(block)
+    words = ["pain", "acute", "of", "back", "severe"] + [f"w{i}" for i in range(12)]
+    say = lambda: " ".join(pick.choices(words, weights=[9, 7, 7, 3, 3] + [1] * 12, k=pick.randint(1, 5)))
+    names = [(str(i), say().title()) for i in range(250)]
+    asked = sorted({say() for _ in range(250)} | {"pain", "PAIN of", "nowhere pain", "#"})
+    book = spark.createDataFrame([("MDR", c, n, "C" + c, 1) for c, n in names], "sab string, code string, name string, cui string, sab_rank int")
+    got = {r["term"]: (len(r["name"]), r["code"], r["name"]) for r in lookup._best_holding(terms(spark, *asked), book, block).collect()}
+    want = {t: held_by(t, names) for t in asked}
+    assert got == {t: w for t, w in want.items() if w}
+
+
+def test_a_word_in_most_names_is_no_single_task(spark):
+    """One word in 100,000 names and 10,000 terms: rare second words, and second words that are frequent too."""
+    names = spark.range(100_000).selectExpr("'MDR' AS sab", "cast(id AS string) AS code", "concat('pain ', if(id % 2 = 0, 'acute ', ''), 'x', id % 9000, ' y', id) AS name", "'' AS cui", "1 AS sab_rank")
+    asked = spark.range(10_000).selectExpr("CASE WHEN id < 2 THEN if(id = 0, 'pain', 'acute pain') WHEN id % 6 = 0 THEN concat('pain acute x', id) ELSE concat('pain x', id) END AS term")
+    got = {r["term"]: r["code"] for r in lookup._best_holding(asked, names).collect()}
+    assert (got["pain"], got["acute pain"], got["pain x7"], got["pain acute x6"]) == ("1", "0", "7", "6")
+    assert len(got) == 9000  # no name has a word from x9000 on
