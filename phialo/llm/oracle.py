@@ -2,7 +2,7 @@
 
 from phialo.llm import secrets
 
-#: The rules of op9 as SQL states them: rates, least reach of a limit, counts that are free.
+#: The rules of op9 as SQL states them: rates, counts that are free.
 RATES = {
     "symbols": ("n_symbols", "n_words", 1000),
     "dup_lines": ("n_dup_lines", "n_lines", 1000),
@@ -10,7 +10,6 @@ RATES = {
     "upper": ("n_upper", "word_chars", 1000),
     "word_length": ("word_chars", "n_words", 100),
 }
-LEAST = {"symbols": 5, "dup_lines": 5, "repeats": 5, "upper": 5, "word_length": 10}
 FREE = {"symbols": "n_symbols <= 2", "dup_lines": "n_dup_lines <= 1"}
 
 
@@ -24,10 +23,10 @@ def _quantiles(name: str, sketch: str, by: str) -> str:
     reached = ", ".join(f"min(bucket) FILTER ({b} * u >= {a} * a) AS {q}" for q, a, b in (("q1", 1, 4), ("q2", 1, 2), ("q3", 3, 4), ("q9", 9, 10)))
     return f"""
 {name} AS (
-  SELECT *, greatest(3 * greatest(q3 - q1, q9 - q3), margin) AS reach
-  FROM (SELECT {by}, metric, max(a) AS n_rows, {reached}
-        FROM (SELECT *, sum(n) OVER (PARTITION BY {by}, metric ORDER BY bucket) AS u, sum(n) OVER (PARTITION BY {by}, metric) AS a FROM {sketch}) GROUP BY {by}, metric)
-  JOIN least_reach USING (metric)),"""
+  SELECT *, greatest(3 * greatest(q3 - q1, q9 - q3), CASE WHEN q9 = q3 THEN tail / 2 ELSE 0 END) AS reach
+  FROM (SELECT {by}, metric, max(a) AS n_rows, {reached}, coalesce(min(bucket) FILTER (bucket > 0 AND 10 * (u - z) >= a - z), 0) AS tail
+        FROM (SELECT *, sum(n) OVER (PARTITION BY {by}, metric ORDER BY bucket) AS u, sum(n) OVER (PARTITION BY {by}, metric) AS a,
+                     coalesce(sum(n) FILTER (bucket = 0) OVER (PARTITION BY {by}, metric), 0) AS z FROM {sketch}) GROUP BY {by}, metric)),"""
 
 
 QUALITY_CTES = (
@@ -60,9 +59,7 @@ rates AS (
     + """ UNION ALL SELECT lang, source, 'words', n_words FROM counts WHERE NOT base_failed),
 sketch AS (
   SELECT lang, source, metric, (((v >> d) + 1) << d) - 1 AS bucket, count(*) AS n
-  FROM (SELECT *, greatest(length(bin(v)) - 6, 0) AS d FROM rates) GROUP BY ALL),
-least_reach AS (SELECT unnest("""
-    + f"{[*LEAST, 'words']}) AS metric, unnest({[*LEAST.values(), 0]}) AS margin),"
+  FROM (SELECT *, greatest(length(bin(v)) - 6, 0) AS d FROM rates) GROUP BY ALL),"""
     + _quantiles("own", "sketch", "lang, source")
     + _quantiles("whole", "(SELECT lang, metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL)", "lang")
     + """

@@ -6,13 +6,15 @@ adding them up).  Quantiles read from the sketches give each group its own limit
 are joined back to the documents.
 
 The limit of a rate is ``q3 + reach * w``.  ``reach`` is ``SPREAD`` times the wider of two
-distances, first to third quartile and third quartile to ninth decile; where both are nothing
-(a rate that nearly nobody has), the small ``MARGINS`` stand in.  A group of n rows counts n
-parts of its own q3 and reach and ``PRIOR`` parts of its language's (all sources merged), so
-that few rows say little, without a step at any size; and where the language's limit is the
-lower one it holds, so that a junk source cannot excuse itself.  A rate over few words
-scatters more: ``w`` is the root of the language's median length over the document's, 1 at
-least.  Counts in ``FREE`` (two symbols, one repeated line) are never held against a text.
+distances, first to third quartile and third quartile to ninth decile.  Where the ninth decile
+is the third quartile (a rate that nearly nobody has), those that have it are a tail of their
+own, and the limit lies halfway to where that tail begins: the lower decile of the sketch
+above zero.  So every limit comes from the sketches.  A group of n rows counts n parts of its
+own q3 and reach and ``PRIOR`` parts of its language's (all sources merged), so that few rows
+say little, without a step at any size; and where the language's limit is the lower one it
+holds, so that a junk source cannot excuse itself.  A rate over few words scatters more: ``w``
+is the root of the language's median length over the document's, 1 at least.  Counts in
+``FREE`` (two symbols, one repeated line) are never held against a text.
 
 Defined results: a null text counts as empty (no words, so it fails the base rule); null
 ``lang`` or ``source`` form groups of their own; repeated rows are judged one by one; an
@@ -31,8 +33,7 @@ from phialo import scratch
 SPACE = r"[\x20\x09-\x0D]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RESULTS = (*BASE, "n_lines", "n_upper", "base_failed")
-#: What a limit is above the third quartile at least (per 1000; mean word length in hundredths of a character).
-MARGINS = {"symbols": 5, "dup_lines": 5, "repeats": 5, "upper": 5, "word_length": 10}
+RULES = ("symbols", "dup_lines", "repeats", "upper", "word_length")
 FREE = {"symbols": ("n_symbols", 2), "dup_lines": ("n_dup_lines", 1)}
 SPREAD, PRIOR = 3, 100
 #: Limits of so many groups are broadcast (some 200 bytes each); more are joined by salted keys.
@@ -137,19 +138,21 @@ def merge(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Rows, q1, q2, q3 and q9 (ninth decile), as buckets, of every group; a sketch has few buckets."""
+    """Rows, q1, q2, q3, q9 (ninth decile) and tail (lower decile above zero), as buckets, of every group; a sketch has few buckets."""
     w = Window.partitionBy(*by, "metric")
     ranked = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
+    ranked = ranked.withColumn("none", F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(w))
+    tail = F.min(F.when((F.col("bucket") > 0) & (10 * (F.col("upto") - F.col("none")) >= F.col("all") - F.col("none")), F.col("bucket")))
     reached = lambda a, b: F.min(F.when(b * F.col("upto") >= a * F.col("all"), F.col("bucket")))
     return ranked.groupBy(*by, "metric").agg(
-        F.max("all").alias("rows"), reached(1, 4).alias("q1"), reached(1, 2).alias("q2"), reached(3, 4).alias("q3"), reached(9, 10).alias("q9")
+        F.max("all").alias("rows"), reached(1, 4).alias("q1"), reached(1, 2).alias("q2"), reached(3, 4).alias("q3"), reached(9, 10).alias("q9"), F.coalesce(tail, F.lit(0)).alias("tail")
     )
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row for each (lang, source): typical words, and from and reach of every rate's limit."""
-    margin = F.create_map(*[F.lit(x) for pair in {**MARGINS, "words": 0}.items() for x in pair])[F.col("metric")]
-    reach = F.greatest(SPREAD * F.greatest(F.col("q3") - F.col("q1"), F.col("q9") - F.col("q3")), margin)
+    spread = SPREAD * F.greatest(F.col("q3") - F.col("q1"), F.col("q9") - F.col("q3"))
+    reach = F.greatest(spread, F.when(F.col("q9") == F.col("q3"), F.col("tail") / 2).otherwise(0))
     own = quantiles(sketch, ["lang", "source"]).select("lang", "source", "metric", "rows", F.col("q3").alias("own_from"), reach.alias("own_reach"))
     whole = quantiles(merge(sketch, ["lang"]), ["lang"])
     whole = whole.select(F.col("lang").alias("_l"), F.col("metric").alias("_m"), F.col("q2").alias("half"), F.col("q3").alias("from"), reach.alias("reach"))
@@ -158,13 +161,13 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     limit = lambda a, b: F.struct((a + b).alias("sum"), a.cast("double").alias("from"), b.cast("double").alias("reach"))
     lower = F.least(limit(mixed("own_from", "from"), mixed("own_reach", "reach")), limit(F.col("from"), F.col("reach")))
     return both.groupBy("lang", "source").agg(
-        F.max(F.when(F.col("metric") == "words", F.col("half"))).alias("typical"), *[F.max(F.when(F.col("metric") == k, lower)).alias(k) for k in MARGINS]
+        F.max(F.when(F.col("metric") == "words", F.col("half"))).alias("typical"), *[F.max(F.when(F.col("metric") == k, lower)).alias(k) for k in RULES]
     )
 
 
 def with_limits(counted: DataFrame, limits: DataFrame, lang: str, source: str) -> DataFrame:
     """(row, counts, limits) for every row: broadcast up to MOST_GROUPS groups, else salted."""
-    groups = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct("typical", *MARGINS).alias("limits"))
+    groups = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct("typical", *RULES).alias("limits"))
     same = F.col("row")[lang].eqNullSafe(F.col("_lang")) & F.col("row")[source].eqNullSafe(F.col("_source"))
     if limits.count() <= MOST_GROUPS:
         return counted.join(F.broadcast(groups), same, "left")
