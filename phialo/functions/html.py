@@ -26,6 +26,7 @@ CLIMBED = frozenset(("details", "section", "article", "div", "p"))
 SECTION_START = (r"\b4\.?\s*8\b", r"\b(?:undesirable\s+effects|adverse\s+reactions)\b")
 SECTION_END = (r"\b4\.?\s*9\b",)
 NAME_START = (r"\b1\b", r"\bname of the medicinal product\b")
+SECTION_COLUMNS = ("found", "method", "end_found", "content_html", "has_table", "has_list")
 NAME_END = (r"\b2\b", r"\bqualitative", r"quantitative\b")
 
 
