@@ -276,11 +276,13 @@ def atc_lookup(inn: DataFrame, rx_name: DataFrame, rx_prop: DataFrame, rx_rel: D
     have a code itself or by one of its first three ingredients.
     """
     asked = inn.select("inn", T.strip(F.get(F.split("inn", ","), F.lit(0))).alias("term")).distinct()
-    ranked = rx_name.withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy("rank", "rxcui"))).where("n <= 10")
+    # only what is asked for is ranked
+    entries = rx_name.join(asked.select("term").distinct(), "term", "left_semi")
+    ranked = entries.withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy("rank", "rxcui"))).where("n <= 10")
     distinct = ranked.groupBy("term", "rxcui").agg(F.min("rank").alias("rank"))
     five = distinct.withColumn("cand", F.row_number().over(Window.partitionBy("term").orderBy("rank", "rxcui"))).where("cand <= 5").select("term", "rxcui", "cand")
     atc = rx_prop.where("prop = 'ATC' AND coalesce(value, '') <> ''").groupBy("rxcui").agg(F.min("value").alias("value"))
-    three = rx_rel.withColumn("ing", F.row_number().over(Window.partitionBy("rxcui").orderBy("rank", "ing_rxcui"))).where("ing <= 3")
+    three = rx_rel.join(five.select("rxcui").distinct(), "rxcui", "left_semi").withColumn("ing", F.row_number().over(Window.partitionBy("rxcui").orderBy("rank", "ing_rxcui"))).where("ing <= 3")
     direct = five.join(atc, "rxcui").select("term", "cand", F.lit(0).alias("ing"), "value")
     by_ing = five.join(three.drop("rank"), "rxcui").drop("rxcui").join(atc.withColumnRenamed("rxcui", "ing_rxcui"), "ing_rxcui").select("term", "cand", "ing", "value")
     best = direct.unionByName(by_ing).groupBy("term").agg(F.min_by(F.struct("value", "ing"), F.struct("cand", "ing")).alias("b"))

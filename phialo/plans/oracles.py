@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from phialo.plans.registry import LEAFLETS
+
 SEQ = f"""concat(lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), lpad(CAST(l_linenumber AS VARCHAR), 2, '0'), lpad(CAST(l_partkey AS VARCHAR), 12, '0'), lpad(CAST(l_suppkey AS VARCHAR), 12, '0'),
  CAST(CAST(l_shipdate AS DATE) AS VARCHAR), l_returnflag, l_linestatus{"".join(f", lpad(CAST(CAST(round(100 * {c}) AS BIGINT) AS VARCHAR), 12, '0')" for c in ("l_extendedprice", "l_quantity", "l_discount", "l_tax"))})"""
 
@@ -115,6 +119,81 @@ matches AS (
          CASE WHEN status = 'TP' THEN CAST(gs = ps AS INTEGER) END AS soc_ok, '' AS error_category FROM matched)"""
 
 
+#: Sections of pages as SQL reads them: tags and texts by a pattern, open tags by recursion, markers by searching each tag's text.
+SECTIONS = r"""
+WITH RECURSIVE leaflets AS (SELECT page_id AS product_id, CASE page_id % 6 """ + " ".join(
+    f"WHEN {form} THEN " + reduce(lambda sql, change: f"replace({sql}, '{change[0]}', '{change[1]}')", changes.items(), "html") for form, changes in LEAFLETS.items()
+) + r""" ELSE html END AS html FROM pages),
+tokens AS (
+  SELECT product_id, unnest(range(1, len(ts) + 1)) AS i, unnest(ts) AS t
+  FROM (SELECT product_id, regexp_extract_all(html, '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>|</?[a-z][^>]*>|[^<]+') AS ts FROM leaflets)),
+kinds AS (
+  SELECT *, CASE WHEN t LIKE '</%' THEN 'end' WHEN t LIKE '<!--%' THEN 'comment' WHEN t LIKE '<!%' THEN 'none' WHEN t LIKE '<script%' OR t LIKE '<style%' THEN 'raw'
+                 WHEN name IN ('br', 'meta') THEN 'void' WHEN t LIKE '<%' THEN 'start' ELSE 'text' END AS kind
+  FROM (SELECT *, regexp_extract(t, '^</?([a-z0-9]+)', 1) AS name FROM tokens)),
+walk AS (
+  SELECT product_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(i BIGINT, name VARCHAR)[]) AS open_ FROM leaflets
+  UNION ALL
+  SELECT w.product_id, k.i, CASE WHEN kind = 'start' THEN list_append(open_, {'i': k.i, 'name': k.name})
+    WHEN kind = 'end' AND list_contains(list_transform(open_, lambda x: x.name), k.name)
+    THEN open_[1:len(open_) - list_position(list_reverse(list_transform(open_, lambda x: x.name)), k.name)] ELSE open_ END
+  FROM walk w JOIN kinds k ON k.product_id = w.product_id AND k.i = w.i + 1),
+steps AS (
+  SELECT k.*, w.open_, b.open_ AS before, list_reverse(b.open_[len(w.open_) + 1:]) AS popped,
+         regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS said
+  FROM kinds k JOIN walk w USING (product_id, i) JOIN walk b ON b.product_id = k.product_id AND b.i = k.i - 1),
+written AS (
+  SELECT *, CASE kind WHEN 'end' THEN array_to_string(list_transform(popped, lambda x: '</' || x.name || '>'), '') WHEN 'none' THEN '' WHEN 'text' THEN replace(said, '&', '&amp;')
+                      WHEN 'void' THEN t[:-2] || '/>' WHEN 'start' THEN regexp_replace(replace(said, '&', '&amp;'), ' +', ' ', 'g') ELSE t END AS o FROM steps),
+ends AS (SELECT product_id, max(i) AS n, arg_max(open_, i) AS open_ FROM walk GROUP BY product_id),
+nodes AS (
+  SELECT s.product_id, s.i, s.name, s.before[len(s.before)].i AS parent, t LIKE '%spcWrapper%' AS spc,
+         CASE WHEN kind = 'start' THEN coalesce((SELECT min(z.i) FROM steps z WHERE z.product_id = s.product_id AND z.i > s.i AND list_contains(list_transform(z.popped, lambda x: x.i), s.i)), n + 1) ELSE s.i + 1 END AS last
+  FROM steps s JOIN ends e USING (product_id) WHERE kind IN ('start', 'void', 'raw')),
+texts AS (
+  SELECT n.product_id, n.i, coalesce((SELECT string_agg(x, ' ' ORDER BY j) FROM (
+    SELECT k.i AS j, trim(regexp_replace(said, '\s+', ' ', 'g')) AS x FROM steps k WHERE k.product_id = n.product_id AND k.kind = 'text' AND k.i > n.i AND k.i < n.last) WHERE x <> ''), '') AS line,
+    (SELECT string_agg(o, '' ORDER BY k.i) FROM written k WHERE k.product_id = n.product_id AND k.i >= n.i AND k.i < n.last)
+    || coalesce((SELECT array_to_string(list_transform(list_filter(CASE WHEN n.last > e.n THEN list_reverse(e.open_) ELSE (SELECT popped FROM steps z WHERE z.product_id = n.product_id AND z.i = n.last) END, lambda x: x.i >= n.i), lambda x: '</' || x.name || '>'), '') WHERE n.i IN (SELECT s.i FROM steps s WHERE s.product_id = n.product_id AND s.kind = 'start')), '') AS markup
+  FROM nodes n JOIN ends e USING (product_id)),
+roots AS (SELECT product_id, arg_min({'i': i, 'last': last}, (CASE WHEN name = 'div' AND spc THEN 0 WHEN name = 'body' THEN 1 ELSE 2 END, i)) AS r FROM nodes GROUP BY product_id),
+marks AS (
+  SELECT n.*, regexp_matches(line, '(?i)\b4\.?\s*8\b.*\b(?:undesirable\s+effects|adverse\s+reactions)\b') AS a, regexp_matches(line, '(?i)\b4\.?\s*9\b(?:\s+overdose)?\b') AS z
+  FROM nodes n JOIN texts USING (product_id, i) JOIN roots USING (product_id)
+  WHERE n.i > r.i AND n.i < r.last AND line <> '' AND name IN ('summary', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'strong', 'b', 'div', 'span') AND (name NOT IN ('div', 'span', 'p') OR length(line) <= 220)),
+firsts AS (SELECT product_id, min(i) AS first_ FROM marks WHERE a GROUP BY product_id),
+both_ AS (SELECT product_id, first_, (SELECT min(i) FROM marks m WHERE m.product_id = f.product_id AND z AND i > first_) AS final_ FROM firsts f),
+asked AS (SELECT product_id, 'first' AS what, first_ AS i FROM both_ UNION ALL SELECT product_id, 'final', final_ FROM both_ WHERE final_ IS NOT NULL),
+climb AS (
+  SELECT a.product_id, what, i AS tag, i AS box FROM asked a
+  UNION ALL
+  SELECT c.product_id, what, tag, n.parent FROM climb c JOIN nodes n ON n.product_id = c.product_id AND n.i = c.box JOIN nodes p ON p.product_id = c.product_id AND p.i = n.parent JOIN roots r ON r.product_id = c.product_id
+  WHERE n.parent <> r.r.i AND p.name IN ('details', 'section', 'article', 'div', 'p')),
+boxes AS (SELECT product_id, what, min(box) AS box FROM climb GROUP BY product_id, what),
+sides AS (
+  SELECT a.product_id, a.what, b.box, t.parent AS fold, t.name = 'summary' AND coalesce(p.name = 'details', false) AS folded
+  FROM asked a JOIN boxes b USING (product_id, what) JOIN nodes t ON t.product_id = a.product_id AND t.i = a.i LEFT JOIN nodes p ON p.product_id = a.product_id AND p.i = t.parent),
+pairs_ AS (SELECT x.product_id, x.box, x.fold, x.folded, y.box AS z_box, y.fold AS z_fold, coalesce(y.folded, false) AS z_folded, y.box IS NOT NULL AS end_found FROM sides x LEFT JOIN sides y ON y.product_id = x.product_id AND y.what = 'final' WHERE x.what = 'first'),
+kin AS (SELECT n.product_id, n.i, n.last, coalesce(n.parent, 0) AS parent, markup FROM nodes n JOIN texts USING (product_id, i)),
+spots AS (
+  SELECT p.*, (SELECT min(s.i) FROM kin s JOIN kin o ON o.product_id = s.product_id AND o.i = p.fold WHERE s.product_id = p.product_id AND s.parent = o.parent AND s.markup = o.markup) AS fa,
+         (SELECT min(s.i) FROM kin s JOIN kin o ON o.product_id = s.product_id AND o.i = p.fold JOIN kin e ON e.product_id = s.product_id AND e.i = p.z_fold WHERE p.z_folded AND s.product_id = p.product_id AND s.parent = o.parent AND s.markup = e.markup) AS fz,
+         (SELECT min(s.i) FROM kin s JOIN kin o ON o.product_id = s.product_id AND o.i = p.box WHERE s.product_id = p.product_id AND s.parent = o.parent AND s.markup = o.markup) AS ba,
+         (SELECT min(s.i) FROM kin s JOIN kin o ON o.product_id = s.product_id AND o.i = p.box JOIN kin e ON e.product_id = s.product_id AND e.i = p.z_box WHERE s.product_id = p.product_id AND s.parent = o.parent AND s.markup = e.markup) AS bz
+  FROM pairs_ p),
+picks AS (
+  SELECT *, folded AND (fz IS NULL OR fz > fa) AS by_fold, CASE WHEN folded AND (fz IS NULL OR fz > fa) THEN fold ELSE box END AS own,
+         CASE WHEN folded AND (fz IS NULL OR fz > fa) THEN fa WHEN bz <= ba THEN box ELSE ba END AS lo, CASE WHEN folded AND (fz IS NULL OR fz > fa) THEN fz WHEN bz <= ba THEN box + 1 ELSE bz END AS hi
+  FROM spots),
+chosen AS (SELECT p.product_id, s.i, s.last, s.markup FROM picks p JOIN kin o ON o.product_id = p.product_id AND o.i = p.own JOIN kin s ON s.product_id = p.product_id AND s.parent = o.parent AND s.i >= lo AND (hi IS NULL OR s.i < hi)),
+inside AS (SELECT c.product_id, bool_or(n.name = 'table') AS tables_, bool_or(n.name IN ('ul', 'ol')) AS lists_ FROM chosen c JOIN nodes n ON n.product_id = c.product_id AND n.i >= c.i AND n.i < c.last GROUP BY c.product_id),
+contents AS (SELECT product_id, trim(string_agg(markup, chr(10) ORDER BY i)) AS content FROM chosen GROUP BY product_id),
+sections_ AS (
+  SELECT l.product_id, p.product_id IS NOT NULL AS found, CASE WHEN p.product_id IS NULL THEN 'not_found' WHEN by_fold THEN 'details_summary' ELSE 'generic_fallback' END AS method, coalesce(end_found, false) AS end_found,
+         coalesce(content, '') AS content, coalesce(tables_, false) AS has_table, coalesce(lists_, false) AS has_list
+  FROM leaflets l LEFT JOIN picks p USING (product_id) LEFT JOIN contents USING (product_id) LEFT JOIN inside USING (product_id))"""
+
+
 MANUAL = """
 manual AS (
   SELECT l_partkey AS move, CAST(l_partkey AS VARCHAR) AS product_id, replace(lower(min(s_name)), '#', ' ') AS gk, replace(lower(max(s_name)), '#', ' ') AS pk
@@ -179,6 +258,16 @@ ORACLES = {
         UNION ALL SELECT 2, adr_term, chr(10) || ':' || slug || ' rdf:type owl:NamedIndividual ,' || chr(10) || '    :AdverseDrugReaction ;' || chr(10) || '    :adrLabel "' || adr_term || '" ;' || chr(10) || '    :meddraPreferredTerm "' || meddra_preferred_term || '" ;' || chr(10) || '    :meddraCode "' || meddra_code || '" ;' || chr(10) || '    :icdCode "' || icd_code || '" .' FROM adr
         UNION ALL SELECT 3, product_id, chr(10) || ':' || slug || ' rdf:type owl:NamedIndividual ,' || chr(10) || '    :SmPCDocument ;' || chr(10) || '    :productId "' || product_id || '" ;' || chr(10) || '    :sourceUrl "' || source_url || '" .' FROM smpc
         UNION ALL SELECT 4, product_id || '|' || adr_term, chr(10) || ':' || occ_id || ' rdf:type owl:NamedIndividual ,' || chr(10) || '    :DrugAdrOccurrence ;' || chr(10) || '    :occurrenceOfAdr :' || adr_id || ' ;' || chr(10) || '    :refersToSmPC :' || smpc_id || ' ;' || chr(10) || '    :productId "' || product_id || '" ;' || chr(10) || '    :frequency "' || frequency || '" ;' || chr(10) || '    :soc "' || soc || '" .' || chr(10) || ':' || drug_id || ' :hasOccurrence :' || occ_id || ' .' FROM fact""",
+    "w1_slugs": """WITH RECURSIVE rows_ AS (
+          SELECT p_partkey AS seq, p_name, CASE WHEN p_partkey % 3 = 0 THEN concat(replace(lower(p_name), ' ', '_'), '_', 2 + p_size % 12) ELSE replace(lower(p_name), ' ', '_') END AS base,
+                 row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part),
+        taken AS (
+          SELECT p_name, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used FROM (SELECT DISTINCT p_name FROM rows_)
+          UNION ALL
+          SELECT t.p_name, r.n, list_append(used, CASE WHEN NOT list_contains(used, base) THEN base
+            ELSE concat(base, '_', list_min(list_filter(range(2, len(used) + 3), lambda k: NOT list_contains(used, concat(base, '_', k))))) END)
+          FROM taken t JOIN rows_ r ON r.p_name = t.p_name AND r.n = t.n + 1)
+        SELECT seq, base, used[len(used)] AS slug FROM rows_ JOIN taken USING (p_name, n)""",
     "a7_coverage": f"WITH {ROWS}, {ADR} SELECT count(*) FILTER (meddra_code <> '0') AS filled, count(*) AS total, 100 * count(*) FILTER (meddra_code <> '0') // count(*) AS percent FROM adr",
     "a9_adr_counts": "SELECT CAST(p_partkey AS VARCHAR) AS product_id, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY p_partkey",
     "a1_log_summary": f"""WITH {LOG} SELECT count(*) AS total, count(*) FILTER (status <> 'SKIPPED_EXISTS') AS attempted, count(*) FILTER (status = 'SUCCESS') AS success,
@@ -193,7 +282,7 @@ ORACLES = {
     "io10_failed_ids": f"WITH {LOG} SELECT DISTINCT product_id FROM log WHERE status = 'HTTP_ERROR'",
     "io10_missing_ids": f"WITH {LOG} SELECT DISTINCT product_id FROM log WHERE status = 'HTTP_404'",
     "status_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "j1_pending": f"WITH {LOG} SELECT CAST(c_custkey AS VARCHAR) AS product_id FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT product_id FROM log WHERE status = 'SUCCESS' AND attempt_count = '1')",
+    "j1_pending": f"WITH {LOG} SELECT CAST(c_custkey AS VARCHAR) AS product_id FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT product_id FROM log WHERE status = 'SUCCESS')",
     "u5_product_ids": "SELECT DISTINCT page_id AS product_id FROM pages WHERE page_id % 3 < 2",
     "s2_sitemaps": "SELECT replace(url, '&', '') AS url, false AS is_sitemap FROM pages UNION ALL SELECT concat('http://a.b/', page_id, '.xml'), true FROM pages",
     "u1_run_membership": f"WITH {RUNS} SELECT runs, count(*) AS keys FROM (SELECT count(DISTINCT run) AS runs FROM runs GROUP BY product_id, term) GROUP BY runs",
@@ -221,8 +310,15 @@ ORACLES = {
         SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM e UNION ALL SELECT * FROM f""",
     "a8_length_stats": """SELECT count(*) AS n, count(*) FILTER (length(text) > 8000) AS over, 100.0 * count(*) FILTER (length(text) > 8000) / count(*) AS over_percent,
         quantile_cont(length(text), 0.5) AS median, quantile_cont(length(text), 0.9) AS p90, CAST(max(length(text)) AS BIGINT) AS longest FROM documents""",
-    "x8_drug_names": """SELECT CAST(page_id AS VARCHAR) AS product_id, CASE WHEN page_id % 4 > 1 THEN substr(replace(url || ' | b | c', '&', '&'), 1, 300) ELSE '' END AS brand_name,
-        CASE page_id % 4 WHEN 0 THEN 'Failed' WHEN 1 THEN 'EmptyExtraction' ELSE 'Success' END AS status FROM pages""",
+    "x3_sections": f"{SECTIONS} SELECT product_id, found, method, end_found, has_table, has_list, md5(content) AS content_md5 FROM sections_",
+    "x4_section_blocks": f"""{SECTIONS}, good AS (SELECT *, found AND content <> '' AND product_id % 9 > 0 AS ok FROM sections_)
+        SELECT product_id, CASE WHEN ok THEN 'Success' ELSE 'Failed' END AS status, ok AS found_4_8, ok AND has_table AS has_table, ok AND has_list AS has_list FROM good""",
+    "a4_audit_summary": f"""{SECTIONS}, tallied AS (
+          SELECT 'method' AS kind, method AS value FROM sections_ UNION ALL SELECT 'end_found', CAST(end_found AS VARCHAR) FROM sections_ UNION ALL SELECT 'small', CAST(length(content) < 500 AS VARCHAR) FROM sections_)
+        SELECT kind, value, count(*) AS n, 100 * count(*) / (SELECT count(*) FROM pages) AS percent FROM tallied GROUP BY kind, value""",
+    "x8_drug_names": """WITH t AS (SELECT page_id, regexp_replace(replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;?', '&', 'g') AS name, html LIKE '%</body>%' AS there FROM pages)
+        SELECT CAST(page_id AS VARCHAR) AS product_id, CASE WHEN there AND page_id % 6 IN (1, 2) THEN substr(trim(name), 1, 300) ELSE '' END AS brand_name,
+        CASE WHEN NOT there THEN 'Failed' WHEN page_id % 6 IN (1, 2) AND trim(name) <> '' THEN 'Success' ELSE 'EmptyExtraction' END AS status FROM t""",
     "x9_prompts": "SELECT doc_id, md5('List all reactions.' || chr(10) || coalesce(text, '') || chr(10) || 'End.') AS prompt_md5 FROM documents",
     "x10_adr_rows": """SELECT event_id AS product_id, 0 AS pos, concat('T', event_id) AS adr_term, 'common' AS frequency, '' AS soc FROM events WHERE event_id % 5 > 0
         UNION ALL SELECT event_id, 1, event_type, '', '' FROM events WHERE event_id % 5 > 0""",
@@ -247,10 +343,10 @@ ORACLES = {
         adr_term AS meddra_preferred_term FROM terms""",
     "j10_icd_provenance": """SELECT CASE c_custkey % 3 WHEN 1 THEN 'pass1:ICD10CM' WHEN 2 THEN 'pass1:ambiguous' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'pass2:source_not_logged' ELSE 'unattributed' END END AS origin, count(*) AS count
         FROM customer WHERE c_custkey % 5 > 0 GROUP BY 1""",
-    "v7_atc_lookup": """WITH inn AS (SELECT DISTINCT o_custkey % 200 AS t FROM orders), c AS (SELECT *, row_number() OVER (PARTITION BY c_custkey % 200 ORDER BY c_custkey) AS n FROM customer),
-        b AS (SELECT t, arg_min(CASE WHEN c_custkey % 7 = 0 THEN c_custkey ELSE -c_custkey - 1 END, n) FILTER (c_custkey % 7 = 0 OR (c_custkey % 7 = 6 AND c_custkey + 1 < (SELECT count(*) FROM customer))) AS k
-              FROM inn LEFT JOIN c ON c_custkey % 200 = t AND n <= 5 GROUP BY t)
-        SELECT concat('s', t, ', other') AS inn, CASE WHEN k IS NULL THEN 'UNKNOWN' ELSE concat('A', abs(k)) END AS atc_code, CASE WHEN k IS NULL THEN 'not found in RxNorm' WHEN k >= 0 THEN 'rxnorm_direct' ELSE 'rxnorm_via_ingredient' END AS atc_source FROM b""",
+    "v7_atc_lookup": """WITH c AS (SELECT o_custkey AS t, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+        b AS (SELECT t, arg_min(CASE WHEN k % 17 = 0 THEN k ELSE -k - 1 END, n) FILTER (k % 17 = 0 OR (k % 17 = 16 AND k + 1 IN (SELECT o_orderkey FROM orders))) AS k FROM c WHERE n <= 5 GROUP BY t)
+        SELECT concat('s', c_custkey, ', other') AS inn, CASE WHEN k IS NULL THEN 'UNKNOWN' ELSE concat('A', abs(k)) END AS atc_code, CASE WHEN k IS NULL THEN 'not found in RxNorm' WHEN k >= 0 THEN 'rxnorm_direct' ELSE 'rxnorm_via_ingredient' END AS atc_source
+        FROM customer LEFT JOIN b ON c_custkey = t""",
     "v8_atc_by_brand": """SELECT o_orderkey AS product_id, translate(concat('Brand', o_custkey), '0123456789', 'abcdefghij') AS query, CASE WHEN o_custkey % 2 = 0 THEN concat('A', o_custkey) ELSE 'UNKNOWN' END AS atc_code,
         CASE WHEN o_custkey % 2 = 0 THEN 'matched_exact' ELSE 'not_found' END AS status FROM orders""",
     "v9_lookup_log": f"""WITH {TERMS} SELECT 'drug' AS entity_type, p_name AS entity_value, p_name AS query_used, 'atc_code' AS target_field, 'ATC' AS source_vocab, 'UNKNOWN' AS matched_code, '' AS matched_name, 'not_found' AS status FROM part

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from phialo import scratch
 from phialo.functions import text as T
-from phialo.operators import fetchlog, graph, lookup, reports, sampling, sections
+from phialo.operators import fetchlog, graph, lookup, reports, sampling, sections, structure
 from phialo.plans import compare, evaluation, graph_queries
 from phialo.sources import tables
 from phialo.streaming import fetchlog as stream
@@ -25,6 +25,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEQ = f"""concat(lpad(cast(l_orderkey AS string), 12, '0'), lpad(cast(l_linenumber AS string), 2, '0'), lpad(cast(l_partkey AS string), 12, '0'), lpad(cast(l_suppkey AS string), 12, '0'),
  cast(cast(l_shipdate AS date) AS string), l_returnflag, l_linestatus{"".join(f", lpad(cast(cast(round(100 * {c}) AS bigint) AS string), 12, '0')" for c in ("l_extendedprice", "l_quantity", "l_discount", "l_tax"))})"""
 
+#: Where a page's markup gets headings, by form; form 0 has none.
+LEAFLETS = {
+    1: {
+        "<article><h1>": "<h2>1. Name of the medicinal product</h2><article><h1>",
+        "</h1>": "</h1></article><h2>2. Qualitative and quantitative composition</h2><h2>4.8 Undesirable effects</h2><div>",
+        "</article><footer>": "</div><h2>4.9 Overdose</h2><footer>",
+    },
+    2: {
+        "<article><h1>": "<article><details><summary>1. Name of the medicinal product</summary><div><h1>",
+        "</h1>": "</h1></div></details><details><summary>4.8 Undesirable effects</summary><ul><li>one</li></ul>",
+        "</article><footer>": "</details><details><summary>4.9 Overdose</summary></details></article><footer>",
+    },
+    3: {"</h1>": "</h1></article><h2>4.8 Undesirable effects</h2><div>", "</article><footer>": "</div><footer>"},
+    4: {"</h1>": "</h1><p><strong>4.8</strong> Adverse <i>reactions</i></p><table><tr><td>x</td></tr></table>", "</article><footer>": "<p>4.9</p></article><footer>"},
+    5: {"<body>": '<body><div class="a  spcWrapper">', "<article><h1>": "<h3>4. 8 adverse reactions</h3><table><tr><td>1</td></tr></table><article><h1>", "</article><footer>": "</article><h3>4 9</h3><footer>"},
+}
+
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
@@ -97,6 +114,16 @@ class Tables:
         ends = terms.groupBy("l_partkey").agg(F.min("s_name").alias("gold_term"), F.max("s_name").alias("pred_term"))
         return ends.selectExpr("cast(l_partkey AS long) AS seq", "cast(l_partkey AS string) AS product_id", "gold_term", "pred_term")
 
+    def leaflets(self) -> DataFrame:
+        """The stored pages with a leaflet's headings set into their markup, in the forms that leaflets have (``LEAFLETS``)."""
+        html = F.col("html")
+        for form, changes in LEAFLETS.items():
+            changed = F.col("html")
+            for old, new in changes.items():
+                changed = F.replace(changed, F.lit(old), F.lit(new))
+            html = F.when(F.col("page_id") % 6 == form, changed).otherwise(html)
+        return self.pages.select(F.col("page_id").alias("product_id"), "url", html.alias("html"))
+
     def vocab(self) -> DataFrame:
         base = "CASE WHEN c_custkey % 3 = 1 THEN concat(c_name, ' ', c_mktsegment) ELSE upper(c_name) END AS name"
         mdr = self.customer.where("c_custkey % 3 > 0").selectExpr("'MDR' AS sab", "cast(10000000 + c_custkey AS string) AS code", base, "concat('C', c_custkey) AS cui")
@@ -224,6 +251,14 @@ def a9_adr_counts(spark, d):
     return reports.adr_counts(t.rows(), t.part.selectExpr("cast(p_partkey AS string) AS product_id"))
 
 
+@query
+def w1_slugs(spark, d):
+    """Names of parts, a third of which end in a number that others of the name may come to."""
+    slug = "replace(lower(p_name), ' ', '_')"
+    names = Tables(spark, d).part.selectExpr("p_partkey AS seq", f"CASE WHEN p_partkey % 3 = 0 THEN concat({slug}, '_', 2 + p_size % 12) ELSE {slug} END AS base")
+    return graph.unique_slugs(names, "base")
+
+
 # --- fetch log --------------------------------------------------------------------------
 
 
@@ -245,7 +280,8 @@ def a3_run_summary(spark, d):
 
 @query
 def f2_log_since(spark, d):
-    return fetchlog.log_distributions(fetchlog.log_since(Tables(spark, d).log(), "2024-01-15 00:00:00"))
+    log = scratch.table(fetchlog.by_day(Tables(spark, d).log()), "log", ["day"])
+    return fetchlog.log_distributions(fetchlog.log_since(log, "2024-01-15 00:00:00"))
 
 
 @query
@@ -273,7 +309,7 @@ def status_windows(spark, d):
 @query
 def j1_pending(spark, d):
     t = Tables(spark, d)
-    done = t.log().where("status = 'SUCCESS' AND attempt_count = '1'")
+    done = t.log().where("status = 'SUCCESS'")
     return sections.pending(t.customer.selectExpr("cast(c_custkey AS string) AS product_id"), done)
 
 
@@ -379,17 +415,22 @@ def x1_page_text(spark, d):
     return sections.page_text(Tables(spark, d).pages.select("page_id", "html"))
 
 
+@query
+def x3_sections(spark, d):
+    out = structure.sections(Tables(spark, d).leaflets().select("product_id", "html"))
+    return out.select("product_id", "found", "method", "end_found", "has_table", "has_list", F.md5("content_html").alias("content_md5"))
+
+
 @query
 def x4_section_blocks(spark, d):
-    pages = Tables(spark, d).pages.selectExpr("page_id AS product_id", "html", "url")
+    pages = Tables(spark, d).leaflets()
     manifest = pages.selectExpr("product_id", "CASE WHEN product_id % 9 = 0 THEN '' ELSE url END AS file_name")
-    return sections.section_blocks(manifest, pages, start=r"[a-z]{4}", end=r"[%&]{2}")[1]
+    return sections.section_blocks(manifest, pages)[1]
 
 
 @query
 def a4_audit_summary(spark, d):
-    pages = Tables(spark, d).pages.selectExpr("page_id AS product_id", "html")
-    return sections.audit_summary(sections.audit_sections(pages, start=r"[a-z]{4}", end=r"[%&]{2}"))
+    return sections.audit_summary(sections.audit_sections(Tables(spark, d).leaflets()))
 
 
 @query
@@ -400,9 +441,8 @@ def x6_clean_text(spark, d):
 @query
 def x8_drug_names(spark, d):
     t = Tables(spark, d)
-    head, tail = "<body><h2>1. Name of the medicinal product</h2><p>", "</p><h2>2. Qualitative and quantitative composition</h2><p>x</p></body>"
-    docs = t.pages.where("page_id % 4 > 0").select(F.col("page_id").alias("product_id"), F.concat(F.lit(head), F.when(F.col("page_id") % 4 > 1, F.concat("url", F.lit("\n \nb\nc\nd"))).otherwise(""), F.lit(tail)).alias("html"))
-    return sections.drug_names(t.pages.selectExpr("page_id AS product_id"), docs)
+    # a page that was cut off counts as not there
+    return sections.drug_names(t.pages.selectExpr("page_id AS product_id"), t.leaflets().where("html LIKE '%</body>%'"))
 
 
 @query
@@ -483,10 +523,10 @@ def j10_icd_provenance(spark, d):
 @query
 def v7_atc_lookup(spark, d):
     t = Tables(spark, d)
-    inn = t.orders.selectExpr("concat('s', o_custkey % 200, ', other') AS inn").distinct()
-    names = t.customer.selectExpr("concat('s', c_custkey % 200) AS term", "cast(c_custkey AS string) AS rxcui", "c_custkey AS rank")
-    props = t.customer.where("c_custkey % 7 = 0").selectExpr("cast(c_custkey AS string) AS rxcui", "'ATC' AS prop", "concat('A', c_custkey) AS value")
-    rels = t.customer.selectExpr("cast(c_custkey AS string) AS rxcui", "cast(c_custkey + 1 AS string) AS ing_rxcui", "1 AS rank")
+    inn = t.customer.selectExpr("concat('s', c_custkey, ', other') AS inn")
+    names = t.orders.selectExpr("concat('s', o_custkey) AS term", "cast(o_orderkey AS string) AS rxcui", "o_orderkey AS rank")
+    props = t.orders.where("o_orderkey % 17 = 0").selectExpr("cast(o_orderkey AS string) AS rxcui", "'ATC' AS prop", "concat('A', o_orderkey) AS value")
+    rels = t.orders.selectExpr("cast(o_orderkey AS string) AS rxcui", "cast(o_orderkey + 1 AS string) AS ing_rxcui", "1 AS rank")
     return lookup.atc_lookup(inn, names, props, rels)
 
 
