@@ -179,8 +179,8 @@ def unique_slugs(df: DataFrame, base: str, seq: str = "seq", out: str = "slug")
     return result(rows.join(names, "_base", "left_anti")).unionByName(result(placed))
 
 
-def adr_dim(rows: DataFrame) -> DataFrame:
-    """A5: one row for each lower-cased term, with the first row's names and the first codes."""
+def adr_dim(rows: DataFrame, slugs: bool = True) -> DataFrame:
+    """A5: one row for each lower-cased term, with the first row's names and the first codes; without ``slugs`` the terms name them."""
     term = T.strip(T.or_empty(F.col("adr_term")))
     named = rows.select("*", F.lower(term).alias("_term")).where("_term <> ''")
     preferred = F.lower(T.strip(F.when(T.or_empty(F.col("meddra_preferred_term")) == "", F.col("_term")).otherwise(F.col("meddra_preferred_term"))))
@@ -192,11 +192,11 @@ def adr_dim(rows: DataFrame) -> DataFrame:
         F.coalesce(first_value(other_than(meddra, "0")), F.lit("0")).alias("meddra_code"),
         F.coalesce(first_value(other_than(icd, "UNKNOWN")), F.lit("UNKNOWN")).alias("icd_code"),
     )
-    return unique_slugs(merged.withColumn("base", T.slug(F.col("adr_term"))), "base").drop("base")
+    return unique_slugs(merged.withColumn("base", T.slug(F.col("adr_term"))), "base").drop("base") if slugs else merged
 
 
-def drug_dim(drugs: DataFrame, inn: DataFrame | None = None) -> DataFrame:
-    """One row for each product (the last one's values), label before the first bar.
+def drug_dim(drugs: DataFrame, inn: DataFrame | None = None, slugs: bool = True) -> DataFrame:
+    """One row for each product (the last one's values), label before the first bar; without ``slugs`` the products name them.
 
     An earlier row of the same product still uses up its slug.  Of several ingredients of a
     product the one with the largest ``seq`` counts, or the largest where there is no ``seq``.
@@ -206,8 +206,9 @@ def drug_dim(drugs: DataFrame, inn: DataFrame | None = None) -> DataFrame:
     named = drugs.withColumn("product_id", pid).where("product_id <> ''")
     named = named.withColumn("label", F.when(label == "", F.concat(F.lit("product_"), "product_id")).otherwise(label))
     named = named.select("seq", "product_id", "label", T.or_default(F.col("atc_code"), "UNKNOWN").alias("atc_code"))
-    slugged = unique_slugs(named.withColumn("base", T.slug(F.col("label"))), "base").drop("base")
-    last = slugged.groupBy("product_id").agg(F.max_by(F.struct("seq", "label", "atc_code", "slug"), "seq").alias("r")).select("product_id", "r.*")
+    named = unique_slugs(named.withColumn("base", T.slug(F.col("label"))), "base").drop("base") if slugs else named
+    own = [c for c in named.columns if c != "product_id"]
+    last = named.groupBy("product_id").agg(F.max_by(F.struct(*own), "seq").alias("r")).select("product_id", "r.*")
     if inn is None:
         return last.withColumn("active_ingredient", F.lit(""))
     known = inn.select(
@@ -234,6 +235,15 @@ def occurrence_fact(occ: DataFrame, drugs: DataFrame, adrs: DataFrame, smpcs: Da
     return full.withColumn("occ_id", T.occurrence_id(F.col("product_id"), F.col("adr_term")))
 
 
+def known_occurrences(occ: DataFrame, drugs: DataFrame) -> DataFrame:
+    """J4 for questions that name products and terms: occurrences of known products, without the names of their sides.
+
+    Every term of an occurrence is a reaction of the same rows, and every product has a
+    document, so products are all that can be missing.
+    """
+    return occ.join(drugs.select("product_id"), "product_id", "left_semi")
+
+
 def schema_triples(spark: SparkSession) -> DataFrame:
     """The graph's constant triples."""
     rows = [(fixed.NAMESPACE, "rdf:type", "owl:Ontology", "iri"), (fixed.NAMESPACE, "rdfs:label", fixed.GRAPH_LABEL, "literal")]

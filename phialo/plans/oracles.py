@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from phialo.functions import fixed
 from phialo.plans.registry import LEAFLETS
 
 SEQ = f"""concat(lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), lpad(CAST(l_linenumber AS VARCHAR), 2, '0'), lpad(CAST(l_partkey AS VARCHAR), 12, '0'), lpad(CAST(l_suppkey AS VARCHAR), 12, '0'),
@@ -194,6 +195,21 @@ sections_ AS (
   FROM leaflets l LEFT JOIN picks p USING (product_id) LEFT JOIN contents USING (product_id) LEFT JOIN inside USING (product_id))"""
 
 
+#: Strings of pages in order: what stands between tags, without scripts and styles.
+STRINGS = r"""
+WITH tokens AS (
+  SELECT page_id, unnest(range(1, len(ts) + 1)) AS i, unnest(ts) AS t
+  FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>|</?[a-z][^>]*>|[^<]+') AS ts FROM pages)),
+strings AS (
+  SELECT page_id, i, CASE WHEN t = '<br>' THEN chr(10) ELSE regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') END AS s, t = '<br>' AS br
+  FROM tokens WHERE t = '<br>' OR t NOT LIKE '<%')"""
+
+
+def _values(table: dict[str, str]) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in table.items())
+
+
 MANUAL = """
 manual AS (
   SELECT l_partkey AS move, CAST(l_partkey AS VARCHAR) AS product_id, replace(lower(min(s_name)), '#', ' ') AS gk, replace(lower(max(s_name)), '#', ' ') AS pk
@@ -293,6 +309,9 @@ ORACLES = {
         SELECT concat('rows_', r.run) AS metric, p.product_id, count(e.run) AS value FROM (SELECT DISTINCT run FROM e) r CROSS JOIN (SELECT DISTINCT product_id FROM e) p LEFT JOIN e ON e.run = r.run AND e.product_id = p.product_id GROUP BY ALL""",
     "w4_match_table": f"WITH {SIDES}, {_pairs()} SELECT * REPLACE (coalesce(freq_ok, -1) AS freq_ok, coalesce(soc_ok, -1) AS soc_ok) FROM matches",
     "w3_manual_matches": f"WITH {SIDES}, {MANUAL}, {_pairs('left_', 'move')} SELECT product_id, count(*) FILTER (status = 'TP') AS TP, count(*) FILTER (status = 'FP') AS FP, count(*) FILTER (status = 'FN') AS FN FROM matches GROUP BY product_id",
+    "s11_soc_map": f"""WITH {SIDES}, {_pairs()} SELECT status, count(*) AS n, count(*) FILTER (status = 'TP' AND replace(gold_soc, 'F', 'O') = replace(pred_soc, 'F', 'O')) AS soc,
+        printf('%.1f%%', 100.0 * count(*) FILTER (status = 'TP' AND replace(gold_soc, 'F', 'O') = replace(pred_soc, 'F', 'O')) / count(*)) AS share FROM matches GROUP BY status""",
+    "l1_first_n": "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 25",
     "a10_eval_summary": f"""WITH {SIDES}, {_pairs()}, t AS (SELECT CAST(count(*) FILTER (status = 'TP') AS DOUBLE) AS TP, count(*) FILTER (status = 'FP') AS FP, count(*) FILTER (status = 'FN') AS FN,
         count(*) FILTER (freq_ok = 1) AS freq, count(*) FILTER (soc_ok = 1) AS soc, count(*) FILTER (freq_ok = 1 AND soc_ok = 1) AS b FROM matches) {RATES} FROM t""",
     "a10_eval_per_product": f"""WITH {SIDES}, {_pairs()}, t AS (SELECT product_id, count(*) FILTER (status = 'TP') AS TP, count(*) FILTER (status = 'FP') AS FP, count(*) FILTER (status = 'FN') AS FN FROM matches GROUP BY product_id)
@@ -310,6 +329,15 @@ ORACLES = {
         SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM e UNION ALL SELECT * FROM f""",
     "a8_length_stats": """SELECT count(*) AS n, count(*) FILTER (length(text) > 8000) AS over, 100.0 * count(*) FILTER (length(text) > 8000) / count(*) AS over_percent,
         quantile_cont(length(text), 0.5) AS median, quantile_cont(length(text), 0.9) AS p90, CAST(max(length(text)) AS BIGINT) AS longest FROM documents""",
+    "x1_page_text": rf"""{STRINGS} SELECT page_id, coalesce(x, '') AS text FROM pages LEFT JOIN (
+          SELECT page_id, string_agg(y, chr(10) ORDER BY i) AS x FROM (SELECT page_id, i, regexp_replace(s, '^\s+|\s+$', '', 'g') AS y FROM strings WHERE NOT br) WHERE y <> '' GROUP BY page_id) USING (page_id)""",
+    "x6_clean_text": rf"""{STRINGS} SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(x, ''), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text
+        FROM pages LEFT JOIN (SELECT page_id, string_agg(s, ' ' ORDER BY i) AS x FROM strings GROUP BY page_id) USING (page_id)""",
+    "j2_overrides": f"""WITH named(product_id, inn) AS (VALUES {_values(fixed.INGREDIENTS)}), wins(product_id, code) AS (VALUES {_values(fixed.ATC_OVERRIDES)}),
+        found(inn, code) AS (VALUES ('ibuprofen', 'C01EB16'), ('sotalol', 'C07AA07'))
+        SELECT CAST(p_partkey AS VARCHAR) AS product_id, coalesce(n.inn, '') AS active_ingredient, coalesce(w.code, f.code, 'UNKNOWN') AS atc_code,
+               CASE WHEN w.code IS NOT NULL THEN 'manual_who_atc' WHEN n.inn IS NULL THEN 'inn not in map' WHEN f.code IS NOT NULL THEN 'rxnorm_direct' ELSE 'not found in RxNorm' END AS atc_source
+        FROM part LEFT JOIN named n ON n.product_id = CAST(p_partkey AS VARCHAR) LEFT JOIN wins w ON w.product_id = CAST(p_partkey AS VARCHAR) LEFT JOIN found f ON f.inn = n.inn""",
     "x3_sections": f"{SECTIONS} SELECT product_id, found, method, end_found, has_table, has_list, md5(content) AS content_md5 FROM sections_",
     "x4_section_blocks": f"""{SECTIONS}, good AS (SELECT *, found AND content <> '' AND product_id % 9 > 0 AS ok FROM sections_)
         SELECT product_id, CASE WHEN ok THEN 'Success' ELSE 'Failed' END AS status, ok AS found_4_8, ok AND has_table AS has_table, ok AND has_list AS has_list FROM good""",

@@ -71,17 +71,22 @@ class Tables:
             "'' AS meddra_preferred_term",
         )
 
-    def drugs(self) -> DataFrame:
+    def drugs(self, slugs: bool = True) -> DataFrame:
         named = self.part.selectExpr(
             "p_partkey AS seq", "cast(p_partkey AS string) AS product_id", "concat(p_name, ' | ', p_brand) AS brand_name",
             "CASE p_type WHEN 'STANDARD' THEN 'A10BA02' WHEN 'MEDIUM' THEN 'C09' WHEN 'PROMO' THEN 'N05AH03' WHEN 'LARGE' THEN 'bad' ELSE '' END AS atc_code",
             "CASE WHEN p_size > 45 THEN 'Failed' ELSE 'Success' END AS status",
         )
-        return graph.drug_dim(graph.successful(named))
+        return graph.drug_dim(graph.successful(named), slugs=slugs)
+
+    def known(self) -> tuple[DataFrame, DataFrame]:
+        """(drugs, facts) for questions that need no slugs; nothing is stored."""
+        drugs = self.drugs(slugs=False)
+        return drugs, graph.known_occurrences(graph.occurrences(self.rows()), drugs)
 
     def entities(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """(drugs, reactions, documents, facts): reaction rows and drugs are made once and stored."""
-        rows, drugs = scratch.table(self.rows(), "rows"), scratch.table(self.drugs(), "drugs")
+        """(drugs, reactions, documents, facts); rows are read again rather than stored."""
+        rows, drugs = self.rows(), scratch.table(self.drugs(), "drugs")
         adrs, smpcs = scratch.table(graph.adr_dim(rows), "adrs"), graph.smpc_dim(drugs)
         return drugs, adrs, smpcs, graph.occurrence_fact(graph.occurrences(rows), drugs, adrs, smpcs)
 
@@ -145,42 +150,42 @@ class Tables:
 
 @query
 def g1_adr_per_drug(spark, d):
-    drugs, _, _, facts = Tables(spark, d).entities()
+    drugs, facts = Tables(spark, d).known()
     return graph_queries.adr_per_drug(facts, drugs)
 
 
 @query
 def g2_top_adrs(spark, d):
-    drugs, adrs, _, facts = Tables(spark, d).entities()
-    return graph_queries.top_adrs(facts, drugs, adrs)
+    return graph_queries.top_adrs(Tables(spark, d).known()[1])
 
 
 @query
 def g3_atc_categories(spark, d):
-    return graph_queries.atc_categories(Tables(spark, d).drugs())
+    return graph_queries.atc_categories(Tables(spark, d).drugs(slugs=False))
 
 
 @query
 def g4_by_frequency(spark, d):
-    drugs, _, _, facts = Tables(spark, d).entities()
+    drugs, facts = Tables(spark, d).known()
     return graph_queries.by_frequency(facts, drugs)
 
 
 @query
 def g5_soc_distribution(spark, d):
-    return graph_queries.soc_distribution(Tables(spark, d).entities()[3])
+    return graph_queries.soc_distribution(Tables(spark, d).known()[1])
 
 
 @query
 def g6_drug_atc_summary(spark, d):
-    drugs, _, _, facts = Tables(spark, d).entities()
+    drugs, facts = Tables(spark, d).known()
     return graph_queries.drug_atc_summary(facts, drugs)
 
 
 @query
 def g7_patient_scenario(spark, d):
-    drugs, adrs, _, facts = Tables(spark, d).entities()
-    return graph_queries.patient_scenario(facts, drugs, adrs, ["1", "2", "3", "7"], "10000001").na.fill("")
+    t = Tables(spark, d)
+    drugs, facts = t.known()
+    return graph_queries.patient_scenario(facts, drugs, graph.adr_dim(t.rows(), slugs=False), ["1", "2", "3", "7"], "10000001").na.fill("")
 
 
 @query
@@ -200,7 +205,7 @@ def j3_drug_dim(spark, d):
 
 @query
 def t1_smpc_dim(spark, d):
-    return graph.smpc_dim(Tables(spark, d).drugs())
+    return graph.smpc_dim(Tables(spark, d).drugs(slugs=False))
 
 
 @query
@@ -242,7 +247,7 @@ def io9_turtle(spark, d):
 
 @query
 def a7_coverage(spark, d):
-    return reports.coverage(graph.adr_dim(Tables(spark, d).rows()), "meddra_code", "0")
+    return reports.coverage(graph.adr_dim(Tables(spark, d).rows(), slugs=False), "meddra_code", "0")
 
 
 @query
@@ -380,6 +385,15 @@ def a11_error_tally(spark, d):
     return evaluation.error_tally(matches.withColumn("error_category", named))
 
 
+@query
+def s11_soc_map(spark, d):
+    """Pairs with a hand-made map of class names: counts, equal classes and their share as text (S18) by status."""
+    names = spark.createDataFrame([("F", "O")], "raw string, canonical string")
+    matches = evaluation.match_table(*Tables(spark, d).sides(), soc_map=names)
+    counts = matches.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("soc_ok") == 1).alias("soc"))
+    return counts.withColumn("share", T.percent_text(T.ratio(F.col("soc"), F.col("n"))))
+
+
 # --- samples and lengths ----------------------------------------------------------------
 
 
@@ -388,6 +402,11 @@ def w5_sample(spark, d):
     return sampling.sample_n(Tables(spark, d).documents.select("doc_id", "lang"), 50, 42, "doc_id")
 
 
+@query
+def l1_first_n(spark, d):
+    return sampling.first_n(Tables(spark, d).documents.select("doc_id", "lang", "n_chars"), 25, "doc_id")
+
+
 @query
 def w6_second_sample(spark, d):
     t = Tables(spark, d)
