@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phialo.functions import text as T
+from phialo.operators.graph import running_sum
 
 
 def eval_rows(df: DataFrame) -> DataFrame:
@@ -61,18 +62,27 @@ def apply_manual(pred: DataFrame, gold: DataFrame, manual: DataFrame, lenient: b
     return every.join(pairs.select("product_id", F.col("pk").alias("key")).distinct(), ["product_id", "key"], "left_anti")
 
 
+#: Rows of one product and term that a task numbers by itself; beyond it all are numbered in ranges.
+HOT = 1_000_000
+
+
 def pair_rows(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(g, p) structs of paired and single rows of keyed tables.
 
     Equal frequencies pair first: the n-th gold row of a frequency with the n-th prediction
-    of it.  What is left pairs by order.
+    of it.  What is left pairs by order.  Rows are numbered by windows, or, where a product
+    and term have more than ``HOT`` rows, in ranges, so that no task holds a hot pair.
     """
     order = ["move", "seq"]
     g, p = gold.withColumn("move", F.lit(-1).cast("long")), pred
     keys = ["product_id", "key"]
+    hot = any(side.groupBy(*keys).count().where(F.col("count") > HOT).take(1) for side in (g, p))
 
     def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        if not hot:
+            return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        rows = df.withColumns({"_by": F.struct(*by), "_order": F.struct(*order), "_one": F.lit(1)})
+        return running_sum(rows, "_by", "_order", "_one", name).drop("_by", "_order", "_one")
 
     def sides(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
         a = a.select(*on, F.struct(*[c for c in a.columns if c not in on or c in ("product_id", "key", "freq")]).alias("g"))

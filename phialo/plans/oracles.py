@@ -299,6 +299,8 @@ ORACLES = {
     "io10_missing_ids": f"WITH {LOG} SELECT DISTINCT product_id FROM log WHERE status = 'HTTP_404'",
     "status_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "j1_pending": f"WITH {LOG} SELECT CAST(c_custkey AS VARCHAR) AS product_id FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT product_id FROM log WHERE status = 'SUCCESS')",
+    "j1_resumed": """SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS brand_name, upper(p_name) AS active_substance,
+        CASE WHEN p_name LIKE '%ring' THEN 'Failed' WHEN p_size <= 25 THEN 'Skipped' ELSE 'Success' END AS status FROM part""",
     "u5_product_ids": "SELECT DISTINCT page_id AS product_id FROM pages WHERE page_id % 3 < 2",
     "s2_sitemaps": "SELECT replace(url, '&', '') AS url, false AS is_sitemap FROM pages UNION ALL SELECT concat('http://a.b/', page_id, '.xml'), true FROM pages",
     "u1_run_membership": f"WITH {RUNS} SELECT runs, count(*) AS keys FROM (SELECT count(DISTINCT run) AS runs FROM runs GROUP BY product_id, term) GROUP BY runs",

@@ -50,6 +50,14 @@ def _hadoop(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def place(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes with the session."""
+    path = f"{folder(spark)}/phialo-{uuid.uuid4().hex}"
+    at, files = _hadoop(spark, path)
+    files.deleteOnExit(at)
+    return path
+
+
 def table(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and return the stored rows."""
     spark = df.sparkSession

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from phialo.functions import text as T
 from phialo.plans import compare, evaluation
 
@@ -25,7 +27,9 @@ def greedy(gold, pred):
     return tp + more, len(free) - more, len(rest) - more, fq
 
 
-def test_pairing_like_a_loop(spark):
+@pytest.mark.parametrize("hot", [1_000_000, 3])
+def test_pairing_like_a_loop(spark, monkeypatch, hot):
+    monkeypatch.setattr(evaluation, "HOT", hot)
     rng = random.Random(9)
     side = lambda n: [(str(rng.randrange(3)), rng.choice(["A & b", "a and B", "c"]), rng.choice(["rare", "Very-common", "very common"]), "x") for _ in range(n)]
     gold, pred = side(60), side(70)
