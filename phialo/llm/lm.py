@@ -1,25 +1,35 @@
-"""A bigram model of the corpus in Elias-Fano tries, and the scores of all texts.
+"""A trigram model of the corpus in stored Elias-Fano tries, and the scores of all texts.
 
 Texts become blocks: a sorted vocabulary of word hashes, and tokens as numbers in it.  Words
 are dealt into shards by their hash; a shard adds up the blocks' counts and answers each
-block.  Bigrams are dealt by a hash of the context (contexts that would take a ``HOT_SHARE`` of
-a shard or more, by context and word, so that none fills one).  The counts of all shards are
-added up twice: first for how many bigrams of the corpus occur once, twice and so on, then for
-the model itself.  A shard builds its trie and answers every bigram that a block asks for by
-one byte.  Nothing of the model's size is sent to the driver or broadcast: it exists in shards
-only, whose number grows with the corpus.
-
-A trie holds, over one memory-mapped file: the shard's words and contexts (sorted hashes),
-for each context where its successors begin (monotone pointers), the successors' numbers
-made monotone by adding a base for each context, all as Elias-Fano lists, and one byte for
-each smoothed probability and each context's weight.  A context's successors are searched
-relative to the context's base.
-
-Probability: P(w | v) = a(v, w) + g(v) * base(w), a(v, w) = (c(v, w) - D) / c(v), D by the
-count (1, 2, 3 and more), estimated from how many bigrams of the whole corpus occur once to four
-times, g(v) = what is taken off at v / c(v); a and g are stored as 8-bit codes of their
-logarithms, from one over the corpus's tokens to 1.  So scores don't depend on the number of
-shards or blocks.  A context that was not learnt has g = 1.
+block.  Then each level, bigrams and trigrams, takes two passes: one deals what blocks learn
+by a hash of the context, and stores each shard's counts and then its trie; the other deals
+what blocks ask and answers it from the stored trie by one byte for each n-gram.  Nothing of
+the model's size is sent to the driver or broadcast: it is a table of shards in the shared
+folder, whose number grows with the corpus.
+
+Hot contexts: a block knows how often the whole corpus has each of its words (and then
+bigrams), so it knows by itself which contexts would take a ``HOT_SHARE`` of a shard or more.
+These are dealt by the next word too, into as many places as they have such shares; what
+their places keep is added up by Spark and joined back.  No list of them exists anywhere.
+
+Trigrams: those that occur at least twice (``LEAST``) are kept, and all of them are.  Both
+bigrams of such a trigram occur twice too, so blocks deal and ask only trigrams of which that
+holds; the others can't be in the model.
+
+A trie holds, in one run of bytes that is read in place: the shard's words and contexts
+(sorted hashes), for each context where its successors begin (monotone pointers), the
+successors' numbers made monotone by adding a base for each context, all as Elias-Fano lists,
+and one byte for each smoothed probability and each context's weight.  A context's successors
+are searched relative to the context's base.
+
+Probability, with v the word before w, and u the one before v:
+P(w | u v) = a(uv, w) + g(uv) * P(w | v), P(w | v) = a(v, w) + g(v) * base(w),
+a(x, w) = (c(x, w) - D) / c(x), D by the count (1, 2, 3 and more), estimated for each level
+from how many n-grams of the whole corpus occur once to four times, g(x) = what a leaves of
+one; a and g are stored as 8-bit codes of their logarithms, from one over the corpus's tokens
+to 1.  So scores don't depend on the number of shards or blocks.  A context that isn't in the
+model has g = 1.
 
 Defined results: a null or empty text is the end token alone; repeated rows are learnt and
 scored one by one; a null id counts as the empty text for the fold; an empty table gives an
@@ -28,8 +38,6 @@ empty table; further columns are not carried.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -44,14 +52,16 @@ from phialo import scratch
 from phialo.llm import batches, wordhash
 from phialo.llm.elias_fano import EliasFano, encode
 
-BLOCK_TOKENS = 1_250_000
-#: Tokens of all texts for each shard of bigrams; a shard of words has five times as many.
+BLOCK_TOKENS = 800_000
+#: Tokens of all texts for each shard of bigrams or trigrams; a shard of words has five times as many.
 SHARD_TOKENS = 1_000_000
-#: A word with this share of a shard's tokens is dealt by its successors too; a shard has at most as many as fit.
+#: A context with this share of a shard's tokens is dealt by its successors too.
 HOT_SHARE = 0.1
+#: Times that an n-gram must occur to be kept, by its length.
+LEAST = {2: 1, 3: 2}
 END = np.uint64(0x454E44)
 START = np.uint64(0x53544152)
-#: Five bytes of a hash tell contexts, and a context's successors, apart.
+#: Five bytes of a hash tell a shard's contexts, and a context's successors, apart; other bits choose the shard.
 SHORT = 5
 SHORT_BITS = np.uint64((1 << 8 * SHORT) - 1)
 
@@ -72,14 +82,14 @@ class Codes:
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**32 as compressed byte planes."""
-    planes = np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    """Numbers from 0 as compressed byte planes."""
+    planes = np.ascontiguousarray(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(np.uint32)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.int64)
 
 
 def shortened(hashes: np.ndarray) -> bytes:
@@ -135,36 +145,6 @@ def blocks_of(docs: DataFrame, kind: str, folds: int, left_out: int, most: int =
     return scratch.table(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
-class Bigrams:
-    """Distinct bigrams of a block in a fixed order: by shard, context, word."""
-
-    def __init__(self, vocabulary: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, hot: np.ndarray, shards: int):
-        size = np.uint64(len(vocabulary) + 1)
-        names = np.concatenate([vocabulary.view(np.uint64), [START]]).astype(np.uint64) & SHORT_BITS
-        before = np.empty(len(tokens), np.uint64)
-        before[1:] = tokens[:-1]
-        before[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = size - np.uint64(1)
-        pairs, of_token = np.unique(before * size + tokens.astype(np.uint64), return_inverse=True)
-        context, word = names[(pairs // size).astype(np.int64)], names[(pairs % size).astype(np.int64)]
-        where = wordhash.mix(context)
-        self.spread = np.isin(context, hot)
-        where[self.spread] ^= wordhash.mix(word[self.spread] + np.uint64(1))
-        shard = (wordhash.mix(where) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((word, context, shard))
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.of_token = place[of_token]
-        self.shard, self.context, self.word, self.spread = shard[order], context[order], word[order], self.spread[order]
-
-
-def _block(batch: pa.RecordBatch, row: int, hot: np.ndarray, shards: int):
-    of = lambda name: batch.column(batch.schema.get_field_index(name))[row]
-    lengths = of("lengths").values.to_numpy()
-    vocabulary = of("vocabulary").values.to_numpy()
-    tokens = unpacked(of("tokens").as_buffer())
-    return lengths, Bigrams(vocabulary, lengths, tokens, hot, shards), tokens
-
-
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Where the runs of equal keys start, and the length at the end."""
     n = len(keys[0])
@@ -174,30 +154,108 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change) + 1, [n]]).astype(np.int64) if n else np.zeros(1, np.int64)
 
 
-def _ask(hot: np.ndarray, shards: int):
-    """For each block and shard: contexts, numbers of their words, words, training counts."""
+class Grams:
+    """Distinct n-grams of a block in a fixed order: by shard and context.
+
+    ``before`` numbers each token's context, ``names`` and ``totals`` are hashes and counts in
+    the corpus by that number; ``asked`` tells the tokens whose n-gram can be in the model.
+    ``of_token`` is the place of each asked token's n-gram.
+    """
+
+    def __init__(self, before: np.ndarray, names: np.ndarray, totals: np.ndarray, tokens: np.ndarray, words: np.ndarray, asked: np.ndarray | None, shards: int, hot: float):
+        size = max(len(words), 1)
+        keys = before.astype(np.int64) * size + tokens
+        pairs, of_token = np.unique(keys if asked is None else keys[asked], return_inverse=True)
+        number, word = pairs // size, words[pairs % size]
+        name, total = names[number], totals[number]
+        where = wordhash.mix(name ^ np.uint64(0x5EED))
+        spread = total >= hot
+        places = (total[spread] // max(hot, 1) + 1).astype(np.uint64)
+        where[spread] ^= wordhash.mix(wordhash.mix(word[spread]) % places + np.uint64(1))
+        shard = wordhash.mix(where) % np.uint64(shards)
+        short = name & SHORT_BITS
+        order = np.argsort((shard << np.uint64(8 * SHORT)) | short, kind="stable") if shards < 1 << 24 else np.lexsort((short, shard))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.of_token = place[of_token.reshape(-1)]
+        self.shard, self.context, self.word = shard[order].astype(np.int64), short[order], word[order]
+        self.name, self.total, self.spread = name[order], total[order], spread[order]
+
+    def runs(self) -> np.ndarray:
+        return _runs(self.shard, self.context)
+
+
+class Block:
+    """One row of blocks: numbers of tokens, and what the answers so far tell of them."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int, shards: int, hot: float, learnt: int):
+        of = lambda name: batch.column(batch.schema.get_field_index(name))[row]
+        self.name, self.shards, self.hot, self.texts_learnt = of("block").as_py(), shards, hot, learnt
+        self.ids, self.held = of("ids").values, of("held").values
+        self.lengths = of("lengths").values.to_numpy().astype(np.int64)
+        self.words = of("vocabulary").values.to_numpy().view(np.uint64)
+        self.tokens = unpacked(of("tokens").as_buffer())
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
+        self.learnt = np.repeat(~self.held.to_numpy(zero_copy_only=False), self.lengths)
+        self.counts = unpacked(of("counts").as_buffer())
+        before = np.empty(len(self.tokens), np.int64)
+        before[1:] = self.tokens[:-1]
+        before[self.starts] = len(self.words)
+        self.two = Grams(before, np.append(self.words, START), np.append(self.counts, learnt), self.tokens, self.words, None, shards, hot)
+        self.answers: dict[int, list] = {
+            n: sorted(of(f"answers{n}").as_py() or [], key=lambda x: x["shard"]) for n in (2, 3) if batch.schema.get_field_index(f"answers{n}") >= 0
+        }
+
+    def three(self) -> tuple[Grams, np.ndarray]:
+        """Trigrams that can be in the model, and the tokens that have one."""
+        two, end = self.two, len(self.two.word)
+        times = np.concatenate([unpacked(x["times"]) for x in self.answers[2]] + [np.zeros(0, np.int64)])
+        of_pair = np.append(times, self.texts_learnt)
+        before = np.empty(len(self.tokens), np.int64)
+        before[1:] = two.of_token[:-1]
+        before[self.starts] = end
+        asked = (of_pair[before] >= LEAST[3]) & (times[two.of_token] >= LEAST[3])
+        names = wordhash.mix(two.name * np.uint64(3) + wordhash.mix(two.word ^ np.uint64(0x3BD)))
+        return Grams(before, np.append(names, START), of_pair, self.tokens, self.words, asked, self.shards, self.hot), asked
+
+    def level(self, n: int) -> tuple[Grams, np.ndarray]:
+        return (self.two, np.ones(len(self.tokens), bool)) if n == 2 else self.three()
+
+    def read(self, n: int, grams: Grams, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+        """a and g of each distinct n-gram."""
+        a = codes.read(np.frombuffer(b"".join(x["codes"] for x in self.answers[n]), np.uint8))
+        weight = np.frombuffer(b"".join(x["weights"] for x in self.answers[n]), np.uint8)
+        return a, np.repeat(np.where(weight > 0, codes.read(weight), 1.0), np.diff(grams.runs()))
+
+
+def _deal(n: int, learn: bool, shards: int, hot: float, texts: int):
+    """For each block and shard, what it learns (n-grams with counts) or asks."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
             for row in range(batch.num_rows):
-                lengths, bigrams, _ = _block(batch, row, hot, shards)
-                held = batch.column(batch.schema.get_field_index("held"))[row].values.to_numpy(zero_copy_only=False)
-                learnt = np.repeat(~held, lengths)
-                counts = np.bincount(bigrams.of_token[learnt], minlength=len(bigrams.word)).astype(np.uint32)
-                starts = _runs(bigrams.shard)
-                out: dict[str, list] = {k: [] for k in ("shard", "contexts", "successors", "words", "times")}
-                for a, b in zip(starts[:-1], starts[1:], strict=True):
-                    own = _runs(bigrams.context[a:b])
-                    out["shard"].append(int(bigrams.shard[a]))
-                    out["contexts"].append(shortened(bigrams.context[a:b][own[:-1]]))
-                    out["successors"].append(np.diff(own).astype(np.uint32).tobytes())
-                    out["words"].append(shortened(bigrams.word[a:b]))
-                    out["times"].append(counts[a:b].tobytes())
-                n = len(out["shard"])
-                block = batch.column(batch.schema.get_field_index("block"))[row].as_py()
-                columns = [pa.array(out["shard"], pa.int32()), pa.array([block] * n, pa.int64())]
-                columns += [pa.array(out[k], pa.binary()) for k in ("contexts", "successors", "words", "times")]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "block", "contexts", "successors", "words", "times"])
+                block = Block(batch, row, shards, hot, texts)
+                grams, asked = block.level(n)
+                counts = np.bincount(grams.of_token[block.learnt[asked]], minlength=len(grams.word)) if learn else np.ones(len(grams.word), np.int64)
+                some = counts > 0
+                shard, context, word, counts = grams.shard[some], grams.context[some], grams.word[some], counts[some]
+                name, total, spread = grams.name[some], grams.total[some], grams.spread[some]
+                columns: dict[str, list] = {k: [] for k in ("shard", "contexts", "successors", "words", *(("times", "totals", "hot") if learn else ()))}
+                for a, b in zip((starts := _runs(shard))[:-1], starts[1:], strict=True):
+                    own = _runs(context[a:b])
+                    first = a + own[:-1]
+                    columns["shard"].append(int(shard[a]))
+                    columns["contexts"].append(shortened(context[first]))
+                    columns["successors"].append(packed(np.diff(own)))
+                    columns["words"].append(shortened(word[a:b]))
+                    if learn:
+                        columns["times"].append(packed(counts[a:b]))
+                        columns["totals"].append(packed(total[first]))
+                        # names of hot contexts, whose places are added up; 0 for the others
+                        columns["hot"].append(packed(np.where(spread[first], name[first], np.uint64(0))))
+                arrays = [pa.array(columns.pop("shard"), pa.int32()), *(pa.array(x, pa.binary()) for x in columns.values())]
+                arrays.append(pa.array([block.name] * len(arrays[0]), pa.int64()))
+                yield pa.RecordBatch.from_arrays(arrays, names=["shard", *columns, "block"])
 
     return run
 
@@ -232,20 +290,30 @@ def _ask_words(shards: int):
     return run
 
 
-def _answer_words(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Total counts of the words that blocks ask for; the last row names frequent words."""
+def _answer_words(rows: pd.DataFrame) -> pd.DataFrame:
+    """Total counts of the words that blocks ask for; the last row counts distinct learnt words."""
+    words = np.frombuffer(b"".join(rows["words"]), np.uint64)
+    times = np.frombuffer(b"".join(rows["times"]), np.uint32)
+    known, number = np.unique(words, return_inverse=True)
+    total = np.bincount(number, weights=times, minlength=len(known)).astype(np.int64)
+    ends = np.cumsum([0] + [len(x) // 8 for x in rows["words"]])
+    shard = int(rows["shard"].iloc[0])
+    out = [(int(b), shard, packed(total[number[a:z]]), 0) for b, a, z in zip(rows["block"], ends[:-1], ends[1:], strict=True)]
+    out.append((-1, shard, b"", int((total > 0).sum())))
+    return pd.DataFrame(out, columns=["block", "shard", "counts", "known"])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        words = np.frombuffer(b"".join(rows["words"]), np.uint64)
-        times = np.frombuffer(b"".join(rows["times"]), np.uint32)
-        known, number = np.unique(words, return_inverse=True)
-        total = np.bincount(number, weights=times, minlength=len(known)).astype(np.int64)
-        ends = np.cumsum([0] + [len(x) // 8 for x in rows["words"]])
-        shard = int(rows["shard"].iloc[0])
-        out = [(int(b), shard, packed(total[number[a:z]]), 0, [], []) for b, a, z in zip(rows["block"], ends[:-1], ends[1:], strict=True)]
-        hot = (total >= least) & (total > 0) & (known != END)
-        out.append((-1, shard, b"", int((total > 0).sum()), known[hot].view(np.int64).tolist(), total[hot].tolist()))
-        return pd.DataFrame(out, columns=["block", "shard", "counts", "known", "hot", "times"])
+
+def _place_counts(shards: int):
+    """A block's counts in the order of its vocabulary, from its shards' answers."""
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            for row in range(batch.num_rows):
+                block, vocabulary, answers = (batch.column(c)[row] for c in range(3))
+                order, _ = _word_shards(vocabulary.values.to_numpy().view(np.uint64), shards)
+                counts = np.zeros(len(order), np.int64)
+                counts[order] = np.concatenate([unpacked(x["counts"]) for x in sorted(answers.as_py(), key=lambda x: x["shard"])])
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([packed(counts)], pa.binary())], names=["block", "counts"])
 
     return run
 
@@ -254,7 +322,7 @@ def _answer_words(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 class Trie:
-    """Levels over the bytes of one file."""
+    """Levels over one run of bytes, such as a stored row or a memory-mapped file."""
 
     def __init__(self, data: np.ndarray):
         self.lists, at = [], 0
@@ -268,7 +336,7 @@ class Trie:
 
     @staticmethod
     def build(context: np.ndarray, word: np.ndarray, code: np.ndarray, weights: np.ndarray) -> bytes:
-        """Of distinct bigrams by context and word; ``weights`` are codes by context."""
+        """Of distinct n-grams by context and word; ``weights`` are codes by context."""
         names, numbers = np.unique(word, return_inverse=True)
         starts = _runs(context)
         base = np.repeat(np.arange(len(starts) - 1), np.diff(starts)).astype(np.uint64) * np.uint64(len(names))
@@ -278,9 +346,9 @@ class Trie:
             out += part + bytes(-len(part) % 8)
         return out + weights.tobytes() + code.tobytes()
 
-    def find(self, context: np.ndarray, word: np.ndarray, at_once: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of bigrams (0: absent) and of their contexts' weights; contexts ascend."""
-        codes, weights = np.zeros(len(word), np.uint8), np.zeros(len(word), np.uint8)
+    def places(self, context: np.ndarray, word: np.ndarray, at_once: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+        """Places of n-grams and of their contexts (-1: absent); contexts ascend."""
+        found, of_context = np.full(len(word), -1, np.int64), np.full(len(word), -1, np.int64)
         number = np.searchsorted(self.names, word)
         known = number < len(self.names)
         known[known] = self.names[number[known]] == word[known]
@@ -296,15 +364,21 @@ class Trie:
             k = np.minimum(np.searchsorted(some, context[mine]), len(some) - 1)
             there = some[k] == context[mine]
             mine, k = mine[there], k[there]
-            weights[mine] = self.weights[start + k]
+            of_context[mine] = start + k
             # successors of these contexts only; each is searched from its context's base
             first, last = (int(self.pointers.range(x, x + 1)[0]) for x in (start, stop))
             values = self.successors.range(first, last)
             target = (start + k).astype(np.uint64) * np.uint64(len(self.names)) + number[mine].astype(np.uint64)
             place = np.minimum(np.searchsorted(values, target), max(len(values) - 1, 0))
             hit = known[mine] & (values[place] == target)
-            codes[mine[hit]] = self.codes[first + place[hit]]
-        return codes, weights
+            found[mine[hit]] = first + place[hit]
+        return found, of_context
+
+    def find(self, context: np.ndarray, word: np.ndarray, at_once: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of n-grams (0: absent) and of their contexts' weights; contexts ascend."""
+        found, of_context = self.places(context, word, at_once)
+        read = lambda codes, at: np.where(at >= 0, codes[at], 0).astype(np.uint8) if len(codes) else np.zeros(len(at), np.uint8)
+        return read(self.codes, found), read(self.weights, of_context)
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -316,98 +390,140 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), k - 0.02) for k, x in zip((1, 2, 3), d, strict=True))])
 
 
-def _added(rows: pd.DataFrame):
-    """A shard's learnt bigrams (context, word, count), and what was asked: contexts, words, order, ends by row."""
-    context, word, times, ends = [], [], [], [0]
-    for r in rows.itertuples():
-        many = np.frombuffer(r.successors, np.uint32)
-        context.append(np.repeat(lengthened(r.contexts), many))
-        word.append(lengthened(r.words))
-        times.append(np.frombuffer(r.times, np.uint32).astype(np.int64))
-        ends.append(ends[-1] + len(word[-1]))
-    asked_context, asked_word, times = np.concatenate(context), np.concatenate(word), np.concatenate(times)
-    order = np.lexsort((asked_word, asked_context))
-    c, w = asked_context[order], asked_word[order]
-    new = np.ones(len(c), dtype=bool)
-    new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-    total = np.add.reduceat(times[order], np.flatnonzero(new))
-    learnt = total > 0
-    return (c[new][learnt], w[new][learnt], total[learnt]), (asked_context, asked_word, order, ends)
-
+def _gathered(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[int], list[np.ndarray]]:
+    """Contexts and words of a shard's packets, where each packet ends, successors of each context by packet."""
+    many = [unpacked(x) for x in rows["successors"]]
+    contexts = [np.repeat(lengthened(c), m) for c, m in zip(rows["contexts"], many, strict=True)]
+    ends = np.cumsum([0] + [len(c) for c in contexts]).tolist()
+    return np.concatenate(contexts), lengthened(b"".join(rows["words"])), ends, many
 
-def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
-    """How many of a shard's learnt bigrams occur once, twice, three and four times."""
-    total = _added(rows)[0][2]
-    return pd.DataFrame({f"n{k}": [int((total == k).sum())] for k in range(1, 5)})
 
-
-def _answer(hot: np.ndarray, hot_counts: np.ndarray, off_by_count: np.ndarray, codes_: Codes) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A shard's trie from all its rows; its answers to each of them."""
+def _sum_up(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A shard's kept n-grams with their counts, what its hot contexts hold, and counts of counts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        (c, w, total), (asked_context, asked_word, order, ends) = _added(rows)
-        takes = off_by_count[np.minimum(total, 3)]
+        context, word, _, many = _gathered(rows)
+        times = np.concatenate([unpacked(x) for x in rows["times"]])
+        wide = lambda name: np.concatenate([np.repeat(unpacked(x), m) for x, m in zip(rows[name], many, strict=True)])
+        total, hot = wide("totals"), wide("hot")
+        order = np.lexsort((word, context))
+        new = _runs(context[order], word[order])[:-1]
+        count = np.add.reduceat(times[order], new)
+        keep = count >= least
+        at = order[new][keep]
+        c, w, count, total, hot = context[at], word[at], count[keep], total[at], hot[at]
         starts = _runs(c)
-        at = starts[:-1]
-        of_context = c[at]
-        seen = np.add.reduceat(total, at).astype(float) if len(at) else np.zeros(0)
-        off = np.add.reduceat(takes, at) if len(at) else np.zeros(0)
-        spread = np.isin(of_context, hot)
-        if spread.any():  # its total is known from the words; its weight is summed over shards later
-            seen[spread] = hot_counts[np.searchsorted(hot, of_context[spread])]
-        code = codes_.of((total - takes) / np.repeat(seen, np.diff(starts)))
-        trie_bytes = Trie.build(c, w, code, codes_.of(np.minimum(off / np.maximum(seen, 1), 1.0)))
-        codes, weights = np.zeros(len(asked_word), np.uint8), np.zeros(len(asked_word), np.uint8)
-        with tempfile.TemporaryDirectory() as folder:
-            path = os.path.join(folder, "trie")
-            with open(path, "wb") as file:
-                file.write(trie_bytes)
-            size = len(trie_bytes)
-            del trie_bytes
-            trie = Trie(np.memmap(path, np.uint8, "r", shape=(size,)))
-            codes[order], weights[order] = trie.find(asked_context[order], asked_word[order])
-            del trie
-        out = [
-            (int(b), int(s), codes[a:z].tobytes(), weights[a:z][_runs(asked_context[a:z])[:-1]].tobytes(), [], [])
-            for b, s, a, z in zip(rows["block"], rows["shard"], ends[:-1], ends[1:], strict=True)
-        ]
-        out.append((-1, int(rows["shard"].iloc[0]), b"", b"", of_context[spread].view(np.int64).tolist(), off[spread].tolist()))
-        return pd.DataFrame(out, columns=["block", "shard", "codes", "weights", "hot", "off"])
+        first = starts[:-1]
+        sums = [np.add.reduceat(x.astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for x in (count, count == 1, count == 2, count > 2)]
+        of = hot[first]
+        # a context's sums: tokens kept, and how many successors have each discount
+        held = [{"context": int(of[i]), "tokens": int(sums[0][i]), "n1": int(sums[1][i]), "n2": int(sums[2][i]), "n3": int(sums[3][i])} for i in np.flatnonzero(of)]
+        numbers = [shortened(c[first]), packed(np.diff(starts)), shortened(w), packed(count), packed(total[first]), packed(of.view(np.uint64))]
+        tail = [int(count[count > 1].sum()), *(int((count == k).sum()) for k in (2, 3, 4))]
+        names = ["shard", "contexts", "successors", "words", "times", "totals", "hot", "held", "repeated", "n2", "n3", "n4"]
+        return pd.DataFrame([(int(rows["shard"].iloc[0]), *numbers, held, *tail)], columns=names)
 
     return run
 
 
-# --- scores -----------------------------------------------------------------------------
+SUMS = "array<struct<context:long,tokens:long,n1:long,n2:long,n3:long>>"
+
+
+def _build(take: np.ndarray, codes: Codes) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A shard's trie from its counts and the sums of its hot contexts over all shards."""
+
+    def one(r) -> bytes:
+        context = lengthened(r.contexts)
+        many, count, total, hot = (unpacked(x) for x in (r.successors, r.times, r.totals, r.hot))
+        first = np.cumsum(np.append(0, many))[:-1]
+        off = take[np.minimum(count, 3)]
+        kept = np.add.reduceat(count - off, first) if len(first) else np.zeros(0)
+        if r.everywhere is not None and len(r.everywhere):
+            of = {x["context"]: x["tokens"] - take[1] * x["n1"] - take[2] * x["n2"] - take[3] * x["n3"] for x in r.everywhere}
+            at = np.flatnonzero(hot)
+            kept[at] = [of[x] for x in hot[at].tolist()]
+        total = np.maximum(total, 1)
+        weights = codes.of(np.clip(1 - kept / total, 0.0, 1.0))
+        # what is left is never nothing
+        weights = np.maximum(weights, 1).astype(np.uint8)
+        return Trie.build(np.repeat(context, many), lengthened(r.words), codes.of((count - off) / np.repeat(total, many)), weights)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            for r in rows.itertuples():
+                yield pd.DataFrame([(r.shard, one(r), r.times)], columns=["shard", "trie", "times"])
+
+    return run
 
 
-def _score(hot: np.ndarray, hot_weights: np.ndarray, codes: Codes, shards: int, word_shards: int, n: int, v: int):
+def _answer(asks: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """A shard's stored trie answers every packet: codes, the contexts' weights, counts."""
+    if not len(asks):
+        return pd.DataFrame(columns=["block", "shard", "codes", "weights", "times"])
+    context, word, ends, many = _gathered(asks)
+    codes, weights, times = np.zeros(len(word), np.uint8), np.zeros(len(word), np.uint8), np.zeros(len(word), np.int64)
+    if len(model):
+        trie = Trie(np.frombuffer(model["trie"].iloc[0], np.uint8))
+        order = np.lexsort((word, context))
+        found, of_context = trie.places(context[order], word[order])
+        hit, there = found >= 0, of_context >= 0
+        codes[order[hit]] = trie.codes[found[hit]]
+        weights[order[there]] = trie.weights[of_context[there]]
+        times[order[hit]] = unpacked(model["times"].iloc[0])[found[hit]]
+    out = [
+        (int(b), int(s), codes[a:z].tobytes(), weights[a:z][np.cumsum(np.append(0, m))[:-1]].tobytes(), packed(times[a:z]))
+        for b, s, a, z, m in zip(asks["block"], asks["shard"], ends[:-1], ends[1:], many, strict=True)
+    ]
+    return pd.DataFrame(out, columns=["block", "shard", "codes", "weights", "times"])
+
+
+# --- model and scores -------------------------------------------------------------------
+
+
+def learn(blocks: DataFrame, n: int, sizes: tuple[int, float, int], tokens: int, codes: Codes) -> DataFrame:
+    """Stored tries of one level: (shard, trie, times)."""
+    dealt = blocks.mapInArrow(_deal(n, True, *sizes), "shard int, contexts binary, successors binary, words binary, times binary, totals binary, hot binary, block long")
+    schema = f"shard int, contexts binary, successors binary, words binary, times binary, totals binary, hot binary, held {SUMS}, repeated long, n2 long, n3 long, n4 long"
+    counted = scratch.table(dealt.groupBy("shard").applyInPandas(_sum_up(LEAST[n]), schema), f"counts{n}")
+    repeated, *some = counted.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("repeated", "n2", "n3", "n4")]).first()
+    # every token ends one n-gram, so those that don't repeat are the rest
+    take = discounts([0, tokens - repeated, *some])
+    held = counted.select("shard", F.explode("held").alias("x")).select("shard", "x.*")
+    parts = ["tokens", "n1", "n2", "n3"]
+    sums = held.groupBy("context").agg(*[F.sum(x).alias(x) for x in parts])
+    back = held.select("shard", "context").join(sums, "context").groupBy("shard").agg(F.collect_list(F.struct("context", *parts)).alias("everywhere"))
+    ready = counted.drop("held", "repeated", "n2", "n3", "n4").join(back, "shard", "left")
+    model = scratch.table(ready.mapInPandas(_build(take, codes), "shard int, trie binary, times binary"), f"model{n}")
+    scratch.drop(counted)
+    return model
+
+
+def ask(blocks: DataFrame, model: DataFrame, n: int, sizes: tuple[int, float, int]) -> DataFrame:
+    """(block, answers) of every block from one level's stored tries."""
+    asks = blocks.mapInArrow(_deal(n, False, *sizes), "shard int, contexts binary, successors binary, words binary, block long")
+    answered = asks.groupBy("shard").cogroup(model.groupBy("shard")).applyInPandas(_answer, "block long, shard int, codes binary, weights binary, times binary")
+    kept = F.struct("shard", "codes", "weights", *(["times"] if n == 2 else []))
+    return answered.groupBy("block").agg(F.collect_list(kept).alias(f"answers{n}"))
+
+
+def _score(codes: Codes, sizes: tuple[int, float, int], n: int, v: int):
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            get = lambda name: batch.column(batch.schema.get_field_index(name))
             for row in range(batch.num_rows):
-                lengths, bigrams, tokens = _block(batch, row, hot, shards)
-                words = get("vocabulary")[row].values.to_numpy().view(np.uint64)
-                counts = np.zeros(len(words), np.int64)
-                order, _ = _word_shards(words, word_shards)
-                counts[order] = np.concatenate([unpacked(x["counts"]) for x in sorted(get("word_answers")[row].as_py(), key=lambda x: x["shard"])])
-                base = (counts + 1) / (n + v + 1)
-                answers = sorted(get("answers")[row].as_py(), key=lambda a: a["shard"])
-                a = codes.read(np.frombuffer(b"".join(x["codes"] for x in answers), np.uint8))
-                runs = _runs(bigrams.shard, bigrams.context)
-                weight = np.frombuffer(b"".join(x["weights"] for x in answers), np.uint8)
-                g = np.where(weight > 0, codes.read(weight), 1.0)
-                first = runs[:-1]
-                if (spread := bigrams.spread[first]).any():
-                    g[spread] = hot_weights[np.searchsorted(hot, bigrams.context[first][spread])]
-                g = np.repeat(g, np.diff(runs))
-                p = a[bigrams.of_token] + g[bigrams.of_token] * base[tokens]
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+                block = Block(batch, row, *sizes)
+                tokens, starts = block.tokens, block.starts
+                base = (block.counts + 1) / (n + v + 1)
+                a, g = block.read(2, block.two, codes)
+                p = a[block.two.of_token] + g[block.two.of_token] * base[tokens]
+                three, asked = block.three()
+                a, g = block.read(3, three, codes)
+                p[asked] = a[three.of_token] + g[three.of_token] * p[asked]
                 columns = [
-                    get("ids")[row].values,
-                    get("held")[row].values,
-                    pa.array(lengths.astype(np.int64)),
-                    pa.array(np.add.reduceat((counts[tokens] > 0).astype(np.int64), starts)),
-                    pa.array(np.full(len(lengths), n, np.int64)),
+                    block.ids,
+                    block.held,
+                    pa.array(block.lengths),
+                    pa.array(np.add.reduceat((block.counts[tokens] > 0).astype(np.int64), starts)),
+                    pa.array(np.full(len(starts), n, np.int64)),
                     pa.array(np.add.reduceat(np.log10(base)[tokens], starts)),
                     pa.array(np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)),
                 ]
@@ -423,41 +539,25 @@ def score_texts(
 
     Fold: crc32 of the id as text, modulo ``folds``.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id].dataType.simpleString()
-    blocks = blocks_of(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), kind, folds, left_out, block_tokens)
+    plain = blocks_of(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), kind, folds, left_out, block_tokens)
     lengths = F.zip_with("lengths", "held", lambda n, held: F.when(held, 0).otherwise(n))
     total = lambda x: F.coalesce(F.sum(F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)), F.lit(0))
-    learnt = F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))
-    everything, n, learnt = blocks.agg(total("lengths"), total(lengths), learnt).first()
+    texts = F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))
+    everything, n, texts = plain.agg(total("lengths"), total(lengths), texts).first()
     shards, word_shards = max(1, -(-everything // shard_tokens)), max(1, -(-everything // (5 * shard_tokens)))
-    asked = blocks.select("block", "held", "lengths", "vocabulary", "tokens").mapInArrow(_ask_words(word_shards), "shard int, block long, words binary, times binary")
-    counted = asked.groupBy("shard").applyInPandas(_answer_words(HOT_SHARE * shard_tokens), "block long, shard int, counts binary, known long, hot array<long>, times array<long>")
-    counted = scratch.table(counted, "counts")
+    asked = plain.select("block", "held", "lengths", "vocabulary", "tokens").mapInArrow(_ask_words(word_shards), "shard int, block long, words binary, times binary")
+    counted = scratch.table(asked.groupBy("shard").applyInPandas(_answer_words, "block long, shard int, counts binary, known long"), "counts")
     v = counted.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-    # few words have a share of a shard: at most 1 / HOT_SHARE for each shard, in practice far fewer
-    found = counted.where("block < 0").select(F.explode(F.arrays_zip("hot", "times")).alias("z")).select("z.*").collect()
-    often = {(r["hot"] % 2**64) & int(SHORT_BITS): r["times"] for r in found}
-    often[int(START) & int(SHORT_BITS)] = max(learnt, 1)
-    hot = np.array(sorted(often), np.uint64)
-    hot_counts = np.array([often[int(x)] for x in hot], float)
-    asks = blocks.select("block", "held", "lengths", "vocabulary", "tokens").mapInArrow(
-        _ask(hot, shards), "shard int, block long, contexts binary, successors binary, words binary, times binary"
-    )
-    # counts of counts of the whole corpus: four numbers of each shard
-    repeats = scratch.table(asks.groupBy("shard").applyInPandas(_repeats, "n1 long, n2 long, n3 long, n4 long"), "repeats")
-    some = repeats.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(1, 5)]).first()
-    codes = Codes(n)
-    answered = asks.groupBy("shard").applyInPandas(
-        _answer(hot, hot_counts, discounts([0, *some]), codes), "block long, shard int, codes binary, weights binary, hot array<long>, off array<double>"
-    )
-    answered = scratch.table(answered, "answers")
-    # one sum for each hot context: as few rows as there are hot contexts
-    taken = answered.where("block < 0").select(F.explode(F.arrays_zip("hot", "off")).alias("z")).groupBy("z.hot").agg(F.sum("z.off").alias("off"))
-    off = {r["hot"] % 2**64: r["off"] for r in taken.collect()}
-    hot_weights = np.array([min(1.0, off[int(x)] / c) if int(x) in off else 1.0 for x, c in zip(hot, hot_counts, strict=True)])
-    answers = answered.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "codes", "weights")).alias("answers"))
-    word_answers = counted.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("word_answers"))
-    ready = blocks.join(word_answers, "block").join(answers, "block")
+    answers = counted.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("answers"))
+    placed = plain.select("block", "vocabulary").join(answers, "block").mapInArrow(_place_counts(word_shards), "block long, counts binary")
+    blocks = scratch.table(plain.join(placed, "block"), "words")
+    scratch.drop(plain, counted)
+    sizes, codes = (shards, HOT_SHARE * shard_tokens, texts), Codes(n)
+    for level in (2, 3):
+        model = learn(blocks, level, sizes, n, codes)
+        more = scratch.table(blocks.join(ask(blocks, model, level, sizes), "block", "left"), f"answered{level}")
+        scratch.drop(blocks, model)
+        blocks = more
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return ready.mapInArrow(_score(hot, hot_weights, codes, shards, word_shards, n, v), schema).withColumnRenamed("id", id)
+    return blocks.mapInArrow(_score(codes, sizes, n, v), schema).withColumnRenamed("id", id)

@@ -41,26 +41,34 @@ def test_trie():
 
 
 def plain(rows):
+    """Counts in dictionaries: bigrams, and trigrams that occur twice or more."""
     tokens = [(i, zlib.crc32(str(i).encode()) % 7 == 2, [*(t or "").encode().lower().split(), None]) for i, t in rows]
-    one, two, after = Counter(), Counter(), Counter()
+    grams = lambda ts, n: list(zip(*[([b"<s>"] * (n - 1) + ts)[k:] for k in range(n)], strict=False))
+    one, many = Counter(), {2: Counter(), 3: Counter()}
     for _, held, ts in tokens:
         if not held:
             one.update(ts)
-            two.update(zip([b"<s>", *ts], ts, strict=False))
-    after.update({})
+            for k in many:
+                many[k].update(grams(ts, k))
     n, v = sum(one.values()), len(one)
-    d = lm.discounts([sum(c == k for c in two.values()) for k in range(5)])
-    total, off = Counter(), Counter()
-    for (a, _), c in two.items():
-        total[a] += c
-        off[a] += d[min(c, 3)]
+    d = {k: lm.discounts([sum(c == m for c in many[k].values()) for m in range(5)]) for k in many}
+    total, kept = {2: Counter(), 3: Counter()}, {2: Counter(), 3: Counter()}
+    for k in many:
+        for gram, c in many[k].items():
+            total[k][gram[:-1]] += c
+            if c >= lm.LEAST[k]:
+                kept[k][gram[:-1]] += c - d[k][min(c, 3)]
     out = {}
     for i, held, ts in tokens:
         base = [(one[t] + 1) / (n + v + 1) for t in ts]
-        p = []
-        for a, b, q in zip([b"<s>", *ts], ts, base, strict=False):
-            c = two.get((a, b), 0)
-            p.append(((c - d[min(c, 3)]) / total[a] if c else 0) + (off[a] / total[a] if a in total else 1) * q)
+        p = base
+        for k in (2, 3):
+            step = []
+            for gram, q in zip(grams(ts, k), p, strict=True):
+                c, x = many[k].get(gram, 0), gram[:-1]
+                a = (c - d[k][min(c, 3)]) / total[k][x] if c >= lm.LEAST[k] else 0
+                step.append(a + (1 - kept[k][x] / total[k][x] if x in total[k] else 1) * q)
+            p = step
         out[i] = (held, len(ts), sum(one[t] > 0 for t in ts), n, sum(map(math.log10, base)), sum(map(math.log10, p)))
     return out
 
@@ -93,6 +101,45 @@ def test_order_is_learnt(spark):
     assert all(r["score"] > r["base_score"] + 0.3 * r["n_tokens"] for r in rows if r["held_out"])
 
 
+def test_three_words_are_learnt(spark):
+    """The word after two: b is followed by c after a, by d after x."""
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice(["a b c", "x b d"]) for _ in range(40))
+    docs = spark.createDataFrame([(i, text()) for i in range(200)], "doc_id long, text string")
+    rows = [r for r in lm.score_texts(docs).collect() if r["held_out"]]
+    # one choice of two for three words; bigrams alone have two
+    assert rows and all(r["score"] / r["n_tokens"] > -0.13 for r in rows)
+
+
+def test_stored_tries_are_mapped_and_hold_every_kept_trigram(spark, tmp_path):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefgh", k=30))) for i in range(100)], "doc_id long, text string")
+    seen = []
+    learn, lm.learn = lm.learn, lambda *a: seen.append(learn(*a)) or seen[-1]
+    drop, lm.scratch.drop = lm.scratch.drop, lambda *a: None
+    try:
+        lm.score_texts(docs, shard_tokens=500).count()
+    finally:
+        lm.learn, lm.scratch.drop = learn, drop
+    counts = {2: Counter(), 3: Counter()}
+    for r in docs.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2:
+            ts = [*r["text"].split(), None]
+            for k in counts:
+                counts[k].update(zip(*[(["<s>"] * (k - 1) + ts)[m:] for m in range(k)], strict=False))
+    for k, model in zip((2, 3), seen, strict=True):
+        stored = model.collect()
+        assert len(stored) > 3
+        sizes, times = 0, []
+        for r in stored:
+            path = tmp_path / f"{k}-{r['shard']}"
+            path.write_bytes(r["trie"])
+            sizes += lm.Trie(np.memmap(path, np.uint8, "r")).codes.size
+            times += lm.unpacked(r["times"]).tolist()
+        want = sorted(c for c in counts[k].values() if c >= lm.LEAST[k])
+        assert sizes == len(want) and sorted(times) == want
+
+
 def test_no_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (2, "a b c"), (2, "a b c")], "doc_id long, text string")
     assert lm.score_texts(docs).count() == 3 and lm.score_texts(docs.where("false")).count() == 0
