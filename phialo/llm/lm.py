@@ -11,11 +11,12 @@ folder, whose number grows with the corpus.
 Hot contexts: a block knows how often the whole corpus has each of its words (and then
 bigrams), so it knows by itself which contexts would take a ``HOT_SHARE`` of a shard or more.
 These are dealt by the next word too, into as many places as they have such shares; what
-their places keep is added up by Spark and joined back.  No list of them exists anywhere.
+their places keep is added up by Spark and sent to all of them, so that each place knows the
+context's weight.  No list of hot contexts exists on the driver or in a closure.
 
 Trigrams: those that occur at least twice (``LEAST``) are kept, and all of them are.  Both
 bigrams of such a trigram occur twice too, so blocks deal and ask only trigrams of which that
-holds; the others can't be in the model.
+holds; of the others they ask the context's weight at most.
 
 A trie holds, in one run of bytes that is read in place: the shard's words and contexts
 (sorted hashes), for each context where its successors begin (monotone pointers), the
@@ -61,6 +62,8 @@ HOT_SHARE = 0.1
 LEAST = {2: 1, 3: 2}
 END = np.uint64(0x454E44)
 START = np.uint64(0x53544152)
+#: Stands for all words whose n-gram can't be in the model: the context alone is asked.
+NONE = np.uint64(0)
 #: Five bytes of a hash tell a shard's contexts, and a context's successors, apart; other bits choose the shard.
 SHORT = 5
 SHORT_BITS = np.uint64((1 << 8 * SHORT) - 1)
@@ -154,6 +157,12 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change) + 1, [n]]).astype(np.int64) if n else np.zeros(1, np.int64)
 
 
+def _places(name: np.ndarray, place: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of contexts; ``place`` is from 1 for hot ones and 0 for the others."""
+    where = wordhash.mix(name ^ np.uint64(0x5EED))
+    return wordhash.mix(np.where(place > 0, where ^ wordhash.mix(place), where)) % np.uint64(shards)
+
+
 class Grams:
     """Distinct n-grams of a block in a fixed order: by shard and context.
 
@@ -168,11 +177,10 @@ class Grams:
         pairs, of_token = np.unique(keys if asked is None else keys[asked], return_inverse=True)
         number, word = pairs // size, words[pairs % size]
         name, total = names[number], totals[number]
-        where = wordhash.mix(name ^ np.uint64(0x5EED))
         spread = total >= hot
-        places = (total[spread] // max(hot, 1) + 1).astype(np.uint64)
-        where[spread] ^= wordhash.mix(wordhash.mix(word[spread]) % places + np.uint64(1))
-        shard = wordhash.mix(where) % np.uint64(shards)
+        place = np.zeros(len(name), np.uint64)
+        place[spread] = wordhash.mix(word[spread]) % (total[spread] // max(hot, 1) + 1).astype(np.uint64) + np.uint64(1)
+        shard = _places(name, place, shards)
         short = name & SHORT_BITS
         order = np.argsort((shard << np.uint64(8 * SHORT)) | short, kind="stable") if shards < 1 << 24 else np.lexsort((short, shard))
         place = np.empty_like(order)
@@ -207,16 +215,17 @@ class Block:
         }
 
     def three(self) -> tuple[Grams, np.ndarray]:
-        """Trigrams that can be in the model, and the tokens that have one."""
+        """Trigrams (NONE for words that can't be in the model), and the tokens whose context can be in it."""
         two, end = self.two, len(self.two.word)
         times = np.concatenate([unpacked(x["times"]) for x in self.answers[2]] + [np.zeros(0, np.int64)])
         of_pair = np.append(times, self.texts_learnt)
         before = np.empty(len(self.tokens), np.int64)
         before[1:] = two.of_token[:-1]
         before[self.starts] = end
-        asked = (of_pair[before] >= LEAST[3]) & (times[two.of_token] >= LEAST[3])
+        asked = of_pair[before] >= LEAST[3]
+        words = np.where(times[two.of_token] >= LEAST[3], self.tokens, len(self.words))
         names = wordhash.mix(two.name * np.uint64(3) + wordhash.mix(two.word ^ np.uint64(0x3BD)))
-        return Grams(before, np.append(names, START), of_pair, self.tokens, self.words, asked, self.shards, self.hot), asked
+        return Grams(before, np.append(names, START), of_pair, words, np.append(self.words, NONE), asked, self.shards, self.hot), asked
 
     def level(self, n: int) -> tuple[Grams, np.ndarray]:
         return (self.two, np.ones(len(self.tokens), bool)) if n == 2 else self.three()
@@ -237,7 +246,7 @@ def _deal(n: int, learn: bool, shards: int, hot: float, texts: int):
                 block = Block(batch, row, shards, hot, texts)
                 grams, asked = block.level(n)
                 counts = np.bincount(grams.of_token[block.learnt[asked]], minlength=len(grams.word)) if learn else np.ones(len(grams.word), np.int64)
-                some = counts > 0
+                some = (counts > 0) & ((grams.word != NONE) | (not learn))
                 shard, context, word, counts = grams.shard[some], grams.context[some], grams.word[some], counts[some]
                 name, total, spread = grams.name[some], grams.total[some], grams.spread[some]
                 columns: dict[str, list] = {k: [] for k in ("shard", "contexts", "successors", "words", *(("times", "totals", "hot") if learn else ()))}
@@ -335,13 +344,16 @@ class Trie:
         self.names = self.words.range(0, self.words.n)
 
     @staticmethod
-    def build(context: np.ndarray, word: np.ndarray, code: np.ndarray, weights: np.ndarray) -> bytes:
-        """Of distinct n-grams by context and word; ``weights`` are codes by context."""
+    def build(context: np.ndarray, word: np.ndarray, code: np.ndarray, weights: np.ndarray, contexts: np.ndarray | None = None) -> bytes:
+        """Of distinct n-grams by context and word; ``weights`` are codes by context.
+
+        ``contexts`` ascend, and may hold some without successors.
+        """
         names, numbers = np.unique(word, return_inverse=True)
-        starts = _runs(context)
-        base = np.repeat(np.arange(len(starts) - 1), np.diff(starts)).astype(np.uint64) * np.uint64(len(names))
+        contexts = context[_runs(context)[:-1]] if contexts is None else contexts
+        base = np.searchsorted(contexts, context).astype(np.uint64) * np.uint64(len(names))
         out = b""
-        for values in (names, context[starts[:-1]], starts, base + numbers.astype(np.uint64)):
+        for values in (names, contexts, np.append(np.searchsorted(context, contexts), len(context)), base + numbers.astype(np.uint64)):
             part = encode(values)
             out += part + bytes(-len(part) % 8)
         return out + weights.tobytes() + code.tobytes()
@@ -369,7 +381,9 @@ class Trie:
             first, last = (int(self.pointers.range(x, x + 1)[0]) for x in (start, stop))
             values = self.successors.range(first, last)
             target = (start + k).astype(np.uint64) * np.uint64(len(self.names)) + number[mine].astype(np.uint64)
-            place = np.minimum(np.searchsorted(values, target), max(len(values) - 1, 0))
+            if not len(values):
+                continue
+            place = np.minimum(np.searchsorted(values, target), len(values) - 1)
             hit = known[mine] & (values[place] == target)
             found[mine[hit]] = first + place[hit]
         return found, of_context
@@ -417,41 +431,61 @@ def _sum_up(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         sums = [np.add.reduceat(x.astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for x in (count, count == 1, count == 2, count > 2)]
         of = hot[first]
         # a context's sums: tokens kept, and how many successors have each discount
-        held = [{"context": int(of[i]), "tokens": int(sums[0][i]), "n1": int(sums[1][i]), "n2": int(sums[2][i]), "n3": int(sums[3][i])} for i in np.flatnonzero(of)]
-        numbers = [shortened(c[first]), packed(np.diff(starts)), shortened(w), packed(count), packed(total[first]), packed(of.view(np.uint64))]
+        held = [{"context": int(of[i]), "total": int(total[first[i]]), "tokens": int(sums[0][i]), "n1": int(sums[1][i]), "n2": int(sums[2][i]), "n3": int(sums[3][i])} for i in np.flatnonzero(of)]
+        numbers = [shortened(c[first]), packed(np.diff(starts)), shortened(w), packed(count), packed(total[first])]
         tail = [int(count[count > 1].sum()), *(int((count == k).sum()) for k in (2, 3, 4))]
-        names = ["shard", "contexts", "successors", "words", "times", "totals", "hot", "held", "repeated", "n2", "n3", "n4"]
+        names = ["shard", "contexts", "successors", "words", "times", "totals", "held", "repeated", "n2", "n3", "n4"]
         return pd.DataFrame([(int(rows["shard"].iloc[0]), *numbers, held, *tail)], columns=names)
 
     return run
 
 
-SUMS = "array<struct<context:long,tokens:long,n1:long,n2:long,n3:long>>"
+SUMS = "array<struct<context:long,total:long,tokens:long,n1:long,n2:long,n3:long>>"
 
 
 def _build(take: np.ndarray, codes: Codes) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """A shard's trie from its counts and the sums of its hot contexts over all shards."""
 
-    def one(r) -> bytes:
-        context = lengthened(r.contexts)
-        many, count, total, hot = (unpacked(x) for x in (r.successors, r.times, r.totals, r.hot))
-        first = np.cumsum(np.append(0, many))[:-1]
+    def one(r) -> tuple[bytes, bytes]:
+        context, word, many, count, total = np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+        if r.contexts is not None:
+            context, word = lengthened(r.contexts), lengthened(r.words)
+            many, count, total = (unpacked(x) for x in (r.successors, r.times, r.totals))
         off = take[np.minimum(count, 3)]
-        kept = np.add.reduceat(count - off, first) if len(first) else np.zeros(0)
+        kept = np.add.reduceat(count - off, np.cumsum(np.append(0, many))[:-1]) if len(many) else np.zeros(0)
+        known, all_kept, all_total = context, kept, total
         if r.everywhere is not None and len(r.everywhere):
-            of = {x["context"]: x["tokens"] - take[1] * x["n1"] - take[2] * x["n2"] - take[3] * x["n3"] for x in r.everywhere}
-            at = np.flatnonzero(hot)
-            kept[at] = [of[x] for x in hot[at].tolist()]
-        total = np.maximum(total, 1)
-        weights = codes.of(np.clip(1 - kept / total, 0.0, 1.0))
-        # what is left is never nothing
-        weights = np.maximum(weights, 1).astype(np.uint8)
-        return Trie.build(np.repeat(context, many), lengthened(r.words), codes.of((count - off) / np.repeat(total, many)), weights)
+            hot = np.array([x["context"] for x in r.everywhere], np.int64).view(np.uint64) & SHORT_BITS
+            known = np.union1d(context, hot)
+            all_kept, all_total = np.zeros(len(known)), np.ones(len(known), np.int64)
+            at = np.searchsorted(known, context)
+            all_kept[at], all_total[at] = kept, total
+            at = np.searchsorted(known, hot)
+            all_kept[at] = [x["tokens"] - take[1] * x["n1"] - take[2] * x["n2"] - take[3] * x["n3"] for x in r.everywhere]
+            all_total[at] = [x["total"] for x in r.everywhere]
+        # what is left to the shorter n-gram is never nothing
+        weights = np.maximum(codes.of(np.clip(1 - all_kept / all_total, 0.0, 1.0)), 1).astype(np.uint8)
+        code = codes.of((count - off) / np.repeat(total, many))
+        return Trie.build(np.repeat(context, many), word, code, weights, known), packed(count)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
             for r in rows.itertuples():
-                yield pd.DataFrame([(r.shard, one(r), r.times)], columns=["shard", "trie", "times"])
+                yield pd.DataFrame([(r.shard, *one(r))], columns=["shard", "trie", "times"])
+
+    return run
+
+
+def _all_places(shards: int, hot: float):
+    """The shards of all places of each hot context."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            for r in rows.to_dict("records"):
+                many = int(r["total"] // max(hot, 1)) + 1
+                name = np.array([r["context"]], np.int64).view(np.uint64)
+                shard = np.unique(_places(np.repeat(name, many), np.arange(1, many + 1, dtype=np.uint64), shards))
+                yield pd.DataFrame({"shard": shard.astype(np.int32), **r})
 
     return run
 
@@ -483,16 +517,18 @@ def _answer(asks: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
 def learn(blocks: DataFrame, n: int, sizes: tuple[int, float, int], tokens: int, codes: Codes) -> DataFrame:
     """Stored tries of one level: (shard, trie, times)."""
     dealt = blocks.mapInArrow(_deal(n, True, *sizes), "shard int, contexts binary, successors binary, words binary, times binary, totals binary, hot binary, block long")
-    schema = f"shard int, contexts binary, successors binary, words binary, times binary, totals binary, hot binary, held {SUMS}, repeated long, n2 long, n3 long, n4 long"
+    schema = f"shard int, contexts binary, successors binary, words binary, times binary, totals binary, held {SUMS}, repeated long, n2 long, n3 long, n4 long"
     counted = scratch.table(dealt.groupBy("shard").applyInPandas(_sum_up(LEAST[n]), schema), f"counts{n}")
     repeated, *some = counted.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("repeated", "n2", "n3", "n4")]).first()
     # every token ends one n-gram, so those that don't repeat are the rest
     take = discounts([0, tokens - repeated, *some])
-    held = counted.select("shard", F.explode("held").alias("x")).select("shard", "x.*")
     parts = ["tokens", "n1", "n2", "n3"]
-    sums = held.groupBy("context").agg(*[F.sum(x).alias(x) for x in parts])
-    back = held.select("shard", "context").join(sums, "context").groupBy("shard").agg(F.collect_list(F.struct("context", *parts)).alias("everywhere"))
-    ready = counted.drop("held", "repeated", "n2", "n3", "n4").join(back, "shard", "left")
+    held = counted.select(F.explode("held").alias("x")).select("x.*")
+    sums = held.groupBy("context").agg(F.max("total").alias("total"), *[F.sum(x).alias(x) for x in parts])
+    shards, hot, _ = sizes
+    places = sums.mapInPandas(_all_places(shards, hot), f"shard int, context long, total long, {', '.join(f'{x} long' for x in parts)}")
+    everywhere = places.groupBy("shard").agg(F.collect_list(F.struct("context", "total", *parts)).alias("everywhere"))
+    ready = counted.drop("held", "repeated", "n2", "n3", "n4").join(everywhere, "shard", "full")
     model = scratch.table(ready.mapInPandas(_build(take, codes), "shard int, trie binary, times binary"), f"model{n}")
     scratch.drop(counted)
     return model
