@@ -1,8 +1,8 @@
 """A trigram model of the corpus in stored Elias-Fano tries, and the scores of all texts.
 
 Texts become blocks: a sorted vocabulary of word hashes, and tokens as numbers in it.  Words
-are dealt into shards by their hash; a shard adds up the blocks' counts and answers each
-block.  Then each level, bigrams and trigrams, takes two passes: one deals what blocks learn
+are dealt into shards by their hash; a shard adds up the blocks' counts, numbers its words and
+answers each block: counts, and numbers that name words in all of the corpus.  Then each level, bigrams and trigrams, takes two passes: one deals what blocks learn
 by a hash of the context, and stores each shard's counts and then its trie; the other deals
 what blocks ask and answers it from the stored trie by one byte for each n-gram.  Nothing of
 the model's size is sent to the driver or broadcast: it is a table of shards in the shared
@@ -19,7 +19,7 @@ bigrams of such a trigram occur twice too, so blocks deal and ask only trigrams
 holds; of the others they ask the context's weight at most.
 
 A trie holds, in one run of bytes that is read in place: the shard's words and contexts
-(sorted hashes), for each context where its successors begin (monotone pointers), the
+(sorted numbers and hashes), for each context where its successors begin (monotone pointers), the
 successors' numbers made monotone by adding a base for each context, all as Elias-Fano lists,
 and one byte for each smoothed probability and each context's weight.  A context's successors
 are searched relative to the context's base.
@@ -53,7 +53,7 @@ from phialo import scratch
 from phialo.llm import batches, wordhash
 from phialo.llm.elias_fano import EliasFano, encode
 
-BLOCK_TOKENS = 800_000
+BLOCK_TOKENS = 1_250_000
 #: Tokens of all texts for each shard of bigrams or trigrams; a shard of words has five times as many.
 SHARD_TOKENS = 1_000_000
 #: A context with this share of a shard's tokens is dealt by its successors too.
@@ -64,7 +64,7 @@ END = np.uint64(0x454E44)
 START = np.uint64(0x53544152)
 #: Stands for all words whose n-gram can't be in the model: the context alone is asked.
 NONE = np.uint64(0)
-#: Five bytes of a hash tell a shard's contexts, and a context's successors, apart; other bits choose the shard.
+#: Five bytes of a hash tell a shard's contexts apart; other bits choose the shard.  Words have numbers.
 SHORT = 5
 SHORT_BITS = np.uint64((1 << 8 * SHORT) - 1)
 
@@ -206,10 +206,11 @@ class Block:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
         self.learnt = np.repeat(~self.held.to_numpy(zero_copy_only=False), self.lengths)
         self.counts = unpacked(of("counts").as_buffer())
+        self.numbers = unpacked(of("numbers").as_buffer()).view(np.uint64)
         before = np.empty(len(self.tokens), np.int64)
         before[1:] = self.tokens[:-1]
         before[self.starts] = len(self.words)
-        self.two = Grams(before, np.append(self.words, START), np.append(self.counts, learnt), self.tokens, self.words, None, shards, hot)
+        self.two = Grams(before, np.append(self.words, START), np.append(self.counts, learnt), self.tokens, self.numbers, None, shards, hot)
         self.answers: dict[int, list] = {
             n: sorted(of(f"answers{n}").as_py() or [], key=lambda x: x["shard"]) for n in (2, 3) if batch.schema.get_field_index(f"answers{n}") >= 0
         }
@@ -225,7 +226,7 @@ class Block:
         asked = of_pair[before] >= LEAST[3]
         words = np.where(times[two.of_token] >= LEAST[3], self.tokens, len(self.words))
         names = wordhash.mix(two.name * np.uint64(3) + wordhash.mix(two.word ^ np.uint64(0x3BD)))
-        return Grams(before, np.append(names, START), of_pair, words, np.append(self.words, NONE), asked, self.shards, self.hot), asked
+        return Grams(before, np.append(names, START), of_pair, words, np.append(self.numbers, NONE), asked, self.shards, self.hot), asked
 
     def level(self, n: int) -> tuple[Grams, np.ndarray]:
         return (self.two, np.ones(len(self.tokens), bool)) if n == 2 else self.three()
@@ -256,7 +257,7 @@ def _deal(n: int, learn: bool, shards: int, hot: float, texts: int):
                     columns["shard"].append(int(shard[a]))
                     columns["contexts"].append(shortened(context[first]))
                     columns["successors"].append(packed(np.diff(own)))
-                    columns["words"].append(shortened(word[a:b]))
+                    columns["words"].append(packed(word[a:b]))
                     if learn:
                         columns["times"].append(packed(counts[a:b]))
                         columns["totals"].append(packed(total[first]))
@@ -300,29 +301,35 @@ def _ask_words(shards: int):
 
 
 def _answer_words(rows: pd.DataFrame) -> pd.DataFrame:
-    """Total counts of the words that blocks ask for; the last row counts distinct learnt words."""
+    """Total counts and places in the shard of the words that blocks ask for; the last row counts distinct learnt words."""
     words = np.frombuffer(b"".join(rows["words"]), np.uint64)
     times = np.frombuffer(b"".join(rows["times"]), np.uint32)
     known, number = np.unique(words, return_inverse=True)
     total = np.bincount(number, weights=times, minlength=len(known)).astype(np.int64)
     ends = np.cumsum([0] + [len(x) // 8 for x in rows["words"]])
     shard = int(rows["shard"].iloc[0])
-    out = [(int(b), shard, packed(total[number[a:z]]), 0) for b, a, z in zip(rows["block"], ends[:-1], ends[1:], strict=True)]
-    out.append((-1, shard, b"", int((total > 0).sum())))
-    return pd.DataFrame(out, columns=["block", "shard", "counts", "known"])
+    out = [(int(b), shard, packed(total[number[a:z]]), packed(number[a:z]), 0) for b, a, z in zip(rows["block"], ends[:-1], ends[1:], strict=True)]
+    out.append((-1, shard, b"", b"", int((total > 0).sum())))
+    return pd.DataFrame(out, columns=["block", "shard", "counts", "places", "known"])
 
 
-def _place_counts(shards: int):
-    """A block's counts in the order of its vocabulary, from its shards' answers."""
+def _place_words(shards: int):
+    """Blocks with counts and numbers (from 1) of their words, in place of their shards' answers."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
+            *names, last = batch.schema.names
+            counts, numbers = [], []
             for row in range(batch.num_rows):
-                block, vocabulary, answers = (batch.column(c)[row] for c in range(3))
-                order, _ = _word_shards(vocabulary.values.to_numpy().view(np.uint64), shards)
-                counts = np.zeros(len(order), np.int64)
-                counts[order] = np.concatenate([unpacked(x["counts"]) for x in sorted(answers.as_py(), key=lambda x: x["shard"])])
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([packed(counts)], pa.binary())], names=["block", "counts"])
+                order, shard = _word_shards(batch.column("vocabulary")[row].values.to_numpy().view(np.uint64), shards)
+                answers = sorted(batch.column(last)[row].as_py(), key=lambda x: x["shard"])
+                for out, of in ((counts, "counts"), (numbers, "places")):
+                    values = np.zeros(len(order), np.int64)
+                    found = np.concatenate([unpacked(x[of]) for x in answers])
+                    values[order] = found if of == "counts" else found * shards + shard + 1
+                    out.append(packed(values))
+            columns = [batch.column(x) for x in names] + [pa.array(x, pa.binary()) for x in (counts, numbers)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "counts", "numbers"])
 
     return run
 
@@ -409,7 +416,7 @@ def _gathered(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[int], li
     many = [unpacked(x) for x in rows["successors"]]
     contexts = [np.repeat(lengthened(c), m) for c, m in zip(rows["contexts"], many, strict=True)]
     ends = np.cumsum([0] + [len(c) for c in contexts]).tolist()
-    return np.concatenate(contexts), lengthened(b"".join(rows["words"])), ends, many
+    return np.concatenate(contexts), np.concatenate([unpacked(x) for x in rows["words"]]).view(np.uint64), ends, many
 
 
 def _sum_up(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -432,7 +439,7 @@ def _sum_up(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         of = hot[first]
         # a context's sums: tokens kept, and how many successors have each discount
         held = [{"context": int(of[i]), "total": int(total[first[i]]), "tokens": int(sums[0][i]), "n1": int(sums[1][i]), "n2": int(sums[2][i]), "n3": int(sums[3][i])} for i in np.flatnonzero(of)]
-        numbers = [shortened(c[first]), packed(np.diff(starts)), shortened(w), packed(count), packed(total[first])]
+        numbers = [shortened(c[first]), packed(np.diff(starts)), packed(w), packed(count), packed(total[first])]
         tail = [int(count[count > 1].sum()), *(int((count == k).sum()) for k in (2, 3, 4))]
         names = ["shard", "contexts", "successors", "words", "times", "totals", "held", "repeated", "n2", "n3", "n4"]
         return pd.DataFrame([(int(rows["shard"].iloc[0]), *numbers, held, *tail)], columns=names)
@@ -449,7 +456,7 @@ def _build(take: np.ndarray, codes: Codes) -> Callable[[Iterator[pd.DataFrame]],
     def one(r) -> tuple[bytes, bytes]:
         context, word, many, count, total = np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
         if r.contexts is not None:
-            context, word = lengthened(r.contexts), lengthened(r.words)
+            context, word = lengthened(r.contexts), unpacked(r.words).view(np.uint64)
             many, count, total = (unpacked(x) for x in (r.successors, r.times, r.totals))
         off = take[np.minimum(count, 3)]
         kept = np.add.reduceat(count - off, np.cumsum(np.append(0, many))[:-1]) if len(many) else np.zeros(0)
@@ -535,11 +542,10 @@ def learn(blocks: DataFrame, n: int, sizes: tuple[int, float, int], tokens: int,
 
 
 def ask(blocks: DataFrame, model: DataFrame, n: int, sizes: tuple[int, float, int]) -> DataFrame:
-    """(block, answers) of every block from one level's stored tries."""
+    """Stored answers of one level's tries to every block's packets."""
     asks = blocks.mapInArrow(_deal(n, False, *sizes), "shard int, contexts binary, successors binary, words binary, block long")
     answered = asks.groupBy("shard").cogroup(model.groupBy("shard")).applyInPandas(_answer, "block long, shard int, codes binary, weights binary, times binary")
-    kept = F.struct("shard", "codes", "weights", *(["times"] if n == 2 else []))
-    return answered.groupBy("block").agg(F.collect_list(kept).alias(f"answers{n}"))
+    return scratch.table(answered, f"answers{n}")
 
 
 def _score(codes: Codes, sizes: tuple[int, float, int], n: int, v: int):
@@ -583,17 +589,23 @@ def score_texts(
     everything, n, texts = plain.agg(total("lengths"), total(lengths), texts).first()
     shards, word_shards = max(1, -(-everything // shard_tokens)), max(1, -(-everything // (5 * shard_tokens)))
     asked = plain.select("block", "held", "lengths", "vocabulary", "tokens").mapInArrow(_ask_words(word_shards), "shard int, block long, words binary, times binary")
-    counted = scratch.table(asked.groupBy("shard").applyInPandas(_answer_words, "block long, shard int, counts binary, known long"), "counts")
+    schema = "block long, shard int, counts binary, places binary, known long"
+    counted = scratch.table(asked.groupBy("shard").applyInPandas(_answer_words, schema), "counts")
     v = counted.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-    answers = counted.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("answers"))
-    placed = plain.select("block", "vocabulary").join(answers, "block").mapInArrow(_place_counts(word_shards), "block long, counts binary")
-    blocks = scratch.table(plain.join(placed, "block"), "words")
+    answers = counted.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "counts", "places")).alias("answers"))
+    both = plain.join(answers, "block").select(*plain.columns, "answers")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    blocks = scratch.table(both.mapInArrow(_place_words(word_shards), f"{fields}, counts binary, numbers binary"), "words")
     scratch.drop(plain, counted)
     sizes, codes = (shards, HOT_SHARE * shard_tokens, texts), Codes(n)
     for level in (2, 3):
         model = learn(blocks, level, sizes, n, codes)
-        more = scratch.table(blocks.join(ask(blocks, model, level, sizes), "block", "left"), f"answered{level}")
-        scratch.drop(blocks, model)
+        answered = ask(blocks, model, level, sizes)
+        scratch.drop(model)
+        kept = F.struct("shard", "codes", "weights", *(["times"] if level == 2 else []))
+        answers = answered.groupBy("block").agg(F.collect_list(kept).alias(f"answers{level}"))
+        more = scratch.table(blocks.join(answers, "block", "left"), f"answered{level}")
+        scratch.drop(blocks, answered)
         blocks = more
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.mapInArrow(_score(codes, sizes, n, v), schema).withColumnRenamed("id", id)
