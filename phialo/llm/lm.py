@@ -61,10 +61,11 @@ HOT_SHARE = 0.1
 #: Times that an n-gram must occur to be kept, by its length.
 LEAST = {2: 1, 3: 2}
 END = np.uint64(0x454E44)
-START = np.uint64(0x53544152)
+#: The context of a text's first word; words have numbers from 1.
+START = np.uint64(2**64 - 1)
 #: Stands for all words whose n-gram can't be in the model: the context alone is asked.
 NONE = np.uint64(0)
-#: Five bytes of a hash tell a shard's contexts apart; other bits choose the shard.  Words have numbers.
+#: Forty bits tell a shard's contexts apart: a word's number, or a hash of two, whose other bits help to choose the shard.
 SHORT = 5
 SHORT_BITS = np.uint64((1 << 8 * SHORT) - 1)
 
@@ -95,14 +96,6 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(np.int64)
 
 
-def shortened(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :SHORT]).tobytes()
-
-
-def lengthened(data: bytes) -> np.ndarray:
-    return np.pad(np.frombuffer(data, np.uint8).reshape(-1, SHORT), ((0, 0), (0, 8 - SHORT))).reshape(-1).view(np.uint64)
-
-
 # --- blocks -----------------------------------------------------------------------------
 
 
@@ -201,7 +194,6 @@ class Block:
         self.name, self.shards, self.hot, self.texts_learnt = of("block").as_py(), shards, hot, learnt
         self.ids, self.held = of("ids").values, of("held").values
         self.lengths = of("lengths").values.to_numpy().astype(np.int64)
-        self.words = of("vocabulary").values.to_numpy().view(np.uint64)
         self.tokens = unpacked(of("tokens").as_buffer())
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
         self.learnt = np.repeat(~self.held.to_numpy(zero_copy_only=False), self.lengths)
@@ -209,8 +201,8 @@ class Block:
         self.numbers = unpacked(of("numbers").as_buffer()).view(np.uint64)
         before = np.empty(len(self.tokens), np.int64)
         before[1:] = self.tokens[:-1]
-        before[self.starts] = len(self.words)
-        self.two = Grams(before, np.append(self.words, START), np.append(self.counts, learnt), self.tokens, self.numbers, None, shards, hot)
+        before[self.starts] = len(self.numbers)
+        self.two = Grams(before, np.append(self.numbers, START), np.append(self.counts, learnt), self.tokens, self.numbers, None, shards, hot)
         self.answers: dict[int, list] = {
             n: sorted(of(f"answers{n}").as_py() or [], key=lambda x: x["shard"]) for n in (2, 3) if batch.schema.get_field_index(f"answers{n}") >= 0
         }
@@ -224,7 +216,7 @@ class Block:
         before[1:] = two.of_token[:-1]
         before[self.starts] = end
         asked = of_pair[before] >= LEAST[3]
-        words = np.where(times[two.of_token] >= LEAST[3], self.tokens, len(self.words))
+        words = np.where(times[two.of_token] >= LEAST[3], self.tokens, len(self.numbers))
         names = wordhash.mix(two.name * np.uint64(3) + wordhash.mix(two.word ^ np.uint64(0x3BD)))
         return Grams(before, np.append(names, START), of_pair, words, np.append(self.numbers, NONE), asked, self.shards, self.hot), asked
 
@@ -255,7 +247,7 @@ def _deal(n: int, learn: bool, shards: int, hot: float, texts: int):
                     own = _runs(context[a:b])
                     first = a + own[:-1]
                     columns["shard"].append(int(shard[a]))
-                    columns["contexts"].append(shortened(context[first]))
+                    columns["contexts"].append(packed(context[first]))
                     columns["successors"].append(packed(np.diff(own)))
                     columns["words"].append(packed(word[a:b]))
                     if learn:
@@ -314,7 +306,7 @@ def _answer_words(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _place_words(shards: int):
-    """Blocks with counts and numbers (from 1) of their words, in place of their shards' answers."""
+    """Blocks with counts and numbers (from 1) of their words, in place of hashes and their shards' answers."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
@@ -328,6 +320,7 @@ def _place_words(shards: int):
                     found = np.concatenate([unpacked(x[of]) for x in answers])
                     values[order] = found if of == "counts" else found * shards + shard + 1
                     out.append(packed(values))
+            names = [x for x in names if x != "vocabulary"]
             columns = [batch.column(x) for x in names] + [pa.array(x, pa.binary()) for x in (counts, numbers)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "counts", "numbers"])
 
@@ -414,7 +407,7 @@ def discounts(n: list[int]) -> np.ndarray:
 def _gathered(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[int], list[np.ndarray]]:
     """Contexts and words of a shard's packets, where each packet ends, successors of each context by packet."""
     many = [unpacked(x) for x in rows["successors"]]
-    contexts = [np.repeat(lengthened(c), m) for c, m in zip(rows["contexts"], many, strict=True)]
+    contexts = [np.repeat(unpacked(c).view(np.uint64), m) for c, m in zip(rows["contexts"], many, strict=True)]
     ends = np.cumsum([0] + [len(c) for c in contexts]).tolist()
     return np.concatenate(contexts), np.concatenate([unpacked(x) for x in rows["words"]]).view(np.uint64), ends, many
 
@@ -439,7 +432,7 @@ def _sum_up(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         of = hot[first]
         # a context's sums: tokens kept, and how many successors have each discount
         held = [{"context": int(of[i]), "total": int(total[first[i]]), "tokens": int(sums[0][i]), "n1": int(sums[1][i]), "n2": int(sums[2][i]), "n3": int(sums[3][i])} for i in np.flatnonzero(of)]
-        numbers = [shortened(c[first]), packed(np.diff(starts)), packed(w), packed(count), packed(total[first])]
+        numbers = [packed(c[first]), packed(np.diff(starts)), packed(w), packed(count), packed(total[first])]
         tail = [int(count[count > 1].sum()), *(int((count == k).sum()) for k in (2, 3, 4))]
         names = ["shard", "contexts", "successors", "words", "times", "totals", "held", "repeated", "n2", "n3", "n4"]
         return pd.DataFrame([(int(rows["shard"].iloc[0]), *numbers, held, *tail)], columns=names)
@@ -456,7 +449,7 @@ def _build(take: np.ndarray, codes: Codes) -> Callable[[Iterator[pd.DataFrame]],
     def one(r) -> tuple[bytes, bytes]:
         context, word, many, count, total = np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
         if r.contexts is not None:
-            context, word = lengthened(r.contexts), unpacked(r.words).view(np.uint64)
+            context, word = unpacked(r.contexts).view(np.uint64), unpacked(r.words).view(np.uint64)
             many, count, total = (unpacked(x) for x in (r.successors, r.times, r.totals))
         off = take[np.minimum(count, 3)]
         kept = np.add.reduceat(count - off, np.cumsum(np.append(0, many))[:-1]) if len(many) else np.zeros(0)
@@ -594,7 +587,7 @@ def score_texts(
     v = counted.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     answers = counted.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "counts", "places")).alias("answers"))
     both = plain.join(answers, "block").select(*plain.columns, "answers")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema if f.name != "vocabulary")
     blocks = scratch.table(both.mapInArrow(_place_words(word_shards), f"{fields}, counts binary, numbers binary"), "words")
     scratch.drop(plain, counted)
     sizes, codes = (shards, HOT_SHARE * shard_tokens, texts), Codes(n)
