@@ -161,3 +161,12 @@ def test_codes_reach_down_to_one_in_all_tokens():
         p = 10.0 ** -np.linspace(0, np.log10(most), 1000)
         back = codes.read(codes.of(p))
         assert np.abs(np.log10(back / p)).max() <= np.log10(most) / 254 / 2 + 1e-9 and codes.of(np.zeros(1))[0] == 0
+
+
+def test_hot_contexts_with_few_successors(spark):
+    """Most places of a hot context hold no successor, and are asked for words that never followed it."""
+    rows = [(i, f"a b c a b w{i} a b d a") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(rows)
+    for r in lm.score_texts(docs, shard_tokens=200, block_tokens=150).collect():
+        assert abs(r["score"] - want[r["doc_id"]][-1]) < 0.02 * r["n_tokens"]
