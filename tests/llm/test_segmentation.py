@@ -74,6 +74,39 @@ def test_parts_of_documents_against_lists_of_n():
             assert [s for s, _ in found] == want and len({i for _, i in found}) == len(found) and found[0][1] == ids
 
 
+def test_parts_of_all_lengths_in_one_pass_and_after_trimming():
+    import random
+
+    rnd, pieces = random.Random(3), Pieces(MODEL)
+    names = [p for p in pieces.ids if len(p) > 1]
+    parts = list({"".join(rnd.choices(names, k=9))[: 2 + k % 39] for k in range(6000)})
+    lattice = segmentation.Lattice(pieces, 4)
+    ids, sizes, scores, losses = lattice.bests(parts)
+    wants, ends = [lattice.best(p) for p in parts], np.cumsum(sizes)
+    for k, (raw, score, loss) in enumerate(wants):
+        assert (ids[ends[k] - sizes[k] : ends[k]].tobytes(), scores[k], losses[k]) == (raw, score, loss)
+    assert sum(map(len, parts)) > segmentation.AT_ONCE
+    lattice.learn(parts)
+    lattice.trim(1000)
+    assert len(lattice.numbers) == 500 == lattice.losses.n and lattice.flat.n == int(lattice.sizes.values.sum())
+    again = segmentation.Lattice(pieces, 4)
+    assert [lattice[p] for p in parts] == [again[p] for p in parts]
+
+
+def test_words_of_texts_equal_the_pieces_own():
+    lattice = segmentation.Lattice(Pieces(MODEL), 4)
+    texts = ["", " ", "a  b ", "▁x▁ ▁", "", "日本🙂 \n\tq", "a" * 50 + " é", "  "]
+    whole, words, which, bounds = lattice.split(texts)
+    for k, t in enumerate(texts):
+        assert [words[i] for i in which[bounds[k] : bounds[k + 1]]] == lattice.pieces.words(t)
+    ids, ends, options = lattice.texts(words, which, bounds)
+    assert lattice.spells(whole, ids, ends).all() and len(options) == len(texts)
+    for k, t in enumerate(texts):
+        assert (ids[ends[k] : ends[k + 1]].tobytes(), options[k]) == lattice.text(lattice.pieces.words(t))
+    ids[ends[2]] += 1
+    assert lattice.spells(whole, ids, ends).tolist() == [k != 2 for k in range(len(texts))]
+
+
 @pytest.mark.parametrize("letter", ["a", "ab"])
 def test_long_runs_take_time_and_memory_in_proportion(letter):
     import time
