@@ -41,6 +41,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -85,15 +86,66 @@ class Codes:
         return np.concatenate([[0.0], 10.0 ** ((np.arange(255) / 254 - 1) * self.lowest)])[codes]
 
 
+@lru_cache(1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One pair for a Python worker."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def packed(numbers: np.ndarray) -> bytes:
-    """Numbers from 0 as compressed byte planes."""
-    planes = np.ascontiguousarray(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """Numbers from 0 as compressed byte planes, without those that hold zeros only; the first byte counts planes."""
+    numbers = numbers.astype(np.uint64)
+    width = -(-int(numbers.max()).bit_length() // 8) if len(numbers) else 0
+    # a number takes a byte at least, so that all zeros keep their length
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8)[:, : max(width, 1)].T)
+    return bytes([max(width, 1)]) + _zstd()[0].compress(planes.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(np.int64)
+    data = memoryview(data)
+    planes = np.frombuffer(_zstd()[1].decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    numbers = np.zeros((planes.shape[1], 8), np.uint8)
+    numbers[:, : data[0]] = planes.T
+    return numbers.reshape(-1).view(np.int64)
+
+
+def _with_places(keys: np.ndarray) -> tuple[np.ndarray | None, int]:
+    """Non-negative keys sorted with their places in the low bits, and how many bits these are; None if 64 bits don't hold both."""
+    bits = max(len(keys) - 1, 1).bit_length()
+    if len(keys) and int(keys.max()).bit_length() + bits > 64:
+        return None, bits
+    return np.sort(keys.astype(np.uint64) << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64)), bits
+
+
+def in_order(keys: np.ndarray) -> np.ndarray:
+    """``argsort`` of non-negative keys, stable."""
+    both, bits = _with_places(keys)
+    if both is None:
+        return np.argsort(keys, kind="stable")
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``unique`` of non-negative keys, and each key's number in it."""
+    both, bits = _with_places(keys)
+    if both is None:
+        numbers, values = pd.factorize(keys)
+        order = np.argsort(values)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        return values[order], rank[numbers]
+    place, both = (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+    new = np.ones(len(keys), bool)
+    new[1:] = both[1:] != both[:-1]
+    numbers = np.empty(len(keys), np.int64)
+    numbers[place] = np.cumsum(new) - 1
+    return both[new].astype(keys.dtype), numbers
+
+
+def by_context(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The order of n-grams by context, then word, stable."""
+    words, numbers = distinct(word)
+    return in_order(distinct(context)[1] * max(len(words), 1) + numbers)
 
 
 # --- blocks -----------------------------------------------------------------------------
@@ -105,7 +157,7 @@ def _encode(folds: int, left_out: int, most: int):
 
         def block() -> pa.RecordBatch:
             flat = np.concatenate(tokens)
-            vocabulary, numbers = np.unique(flat, return_inverse=True)
+            vocabulary, numbers = distinct(flat)
             columns = [
                 pa.array([ids], pa.list_(id_type)),
                 pa.array([held], pa.list_(pa.bool_())),
@@ -167,7 +219,7 @@ class Grams:
     def __init__(self, before: np.ndarray, names: np.ndarray, totals: np.ndarray, tokens: np.ndarray, words: np.ndarray, asked: np.ndarray | None, shards: int, hot: float):
         size = max(len(words), 1)
         keys = before.astype(np.int64) * size + tokens
-        pairs, of_token = np.unique(keys if asked is None else keys[asked], return_inverse=True)
+        pairs, of_token = distinct(keys if asked is None else keys[asked])
         number, word = pairs // size, words[pairs % size]
         name, total = names[number], totals[number]
         spread = total >= hot
@@ -175,10 +227,14 @@ class Grams:
         place[spread] = wordhash.mix(word[spread]) % (total[spread] // max(hot, 1) + 1).astype(np.uint64) + np.uint64(1)
         shard = _places(name, place, shards)
         short = name & SHORT_BITS
-        order = np.argsort((shard << np.uint64(8 * SHORT)) | short, kind="stable") if shards < 1 << 24 else np.lexsort((short, shard))
+        # n-grams of one context stand together, so contexts are ordered by themselves
+        starts = _runs(number)
+        rank = np.empty(len(starts) - 1, np.int64)
+        rank[in_order(short[starts[:-1]])] = np.arange(len(rank))
+        order = in_order(shard.astype(np.int64) * max(len(rank), 1) + np.repeat(rank, np.diff(starts)))
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        self.of_token = place[of_token.reshape(-1)]
+        self.of_token = place[of_token]
         self.shard, self.context, self.word = shard[order].astype(np.int64), short[order], word[order]
         self.name, self.total, self.spread = name[order], total[order], spread[order]
 
@@ -296,7 +352,7 @@ def _answer_words(rows: pd.DataFrame) -> pd.DataFrame:
     """Total counts and places in the shard of the words that blocks ask for; the last row counts distinct learnt words."""
     words = np.frombuffer(b"".join(rows["words"]), np.uint64)
     times = np.frombuffer(b"".join(rows["times"]), np.uint32)
-    known, number = np.unique(words, return_inverse=True)
+    known, number = distinct(words)
     total = np.bincount(number, weights=times, minlength=len(known)).astype(np.int64)
     ends = np.cumsum([0] + [len(x) // 8 for x in rows["words"]])
     shard = int(rows["shard"].iloc[0])
@@ -349,7 +405,7 @@ class Trie:
 
         ``contexts`` ascend, and may hold some without successors.
         """
-        names, numbers = np.unique(word, return_inverse=True)
+        names, numbers = distinct(word)
         contexts = context[_runs(context)[:-1]] if contexts is None else contexts
         base = np.searchsorted(contexts, context).astype(np.uint64) * np.uint64(len(names))
         out = b""
@@ -420,7 +476,7 @@ def _sum_up(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         times = np.concatenate([unpacked(x) for x in rows["times"]])
         wide = lambda name: np.concatenate([np.repeat(unpacked(x), m) for x, m in zip(rows[name], many, strict=True)])
         total, hot = wide("totals"), wide("hot")
-        order = np.lexsort((word, context))
+        order = by_context(context, word)
         new = _runs(context[order], word[order])[:-1]
         count = np.add.reduceat(times[order], new)
         keep = count >= least
@@ -498,7 +554,7 @@ def _answer(asks: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     codes, weights, times = np.zeros(len(word), np.uint8), np.zeros(len(word), np.uint8), np.zeros(len(word), np.int64)
     if len(model):
         trie = Trie(np.frombuffer(model["trie"].iloc[0], np.uint8))
-        order = np.lexsort((word, context))
+        order = by_context(context, word)
         found, of_context = trie.places(context[order], word[order])
         hit, there = found >= 0, of_context >= 0
         codes[order[hit]] = trie.codes[found[hit]]

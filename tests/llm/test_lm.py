@@ -170,3 +170,28 @@ def test_hot_contexts_with_few_successors(spark):
     want = plain(rows)
     for r in lm.score_texts(docs, shard_tokens=200, block_tokens=150).collect():
         assert abs(r["score"] - want[r["doc_id"]][-1]) < 0.02 * r["n_tokens"]
+
+
+def test_orders_and_packing_equal_numpys():
+    import time
+
+    rnd = np.random.default_rng(5)
+    for n, most in ((0, 9), (1, 1), (3000, 7), (200_000, 2**40), (50_000, 2**63)):
+        context, word = rnd.integers(0, most, n, dtype=np.uint64), rnd.integers(0, 1 + most // 3, n, dtype=np.uint64) % np.uint64(1 << 28)
+        context[n // 2 :] = context[: n - n // 2]
+        assert np.array_equal(lm.by_context(context, word), np.lexsort((word, context)))
+        assert np.array_equal(lm.in_order(context), np.argsort(context, kind="stable"))
+        for keys in (context, word.astype(np.int64)):
+            for have, want in zip(lm.distinct(keys), np.unique(keys, return_inverse=True), strict=True):
+                assert np.array_equal(have, want)
+            assert np.array_equal(lm.unpacked(lm.packed(keys)), keys.view(np.int64))
+    for numbers in ([0] * 9, [2**64 - 1, 0], [255, 256]):
+        assert lm.unpacked(lm.packed(np.array(numbers, np.uint64))).view(np.uint64).tolist() == numbers
+    # one sort of numbers with their places takes less than two sorts of places
+    context, word = rnd.integers(0, 2**40, 10**6, dtype=np.uint64), rnd.integers(0, 2**20, 10**6, dtype=np.uint64)
+    took = []
+    for f in (lambda: np.lexsort((word, context)), lambda: lm.by_context(context, word)):
+        began = time.process_time()
+        f()
+        took.append(time.process_time() - began)
+    assert took[1] < 0.8 * took[0], took
