@@ -131,3 +131,15 @@ def test_a_word_in_most_names_is_no_single_task(spark):
     got = {r["term"]: r["code"] for r in lookup._best_holding(asked, names).collect()}
     assert (got["pain"], got["acute pain"], got["pain x7"], got["pain acute x6"]) == ("1", "0", "7", "6")
     assert len(got) == 9000  # no name has a word from x9000 on
+
+
+def test_second_pass_sends_no_vocabulary_to_all(spark, tmp_path):
+    """Files of many names may look small enough to be broadcast; only keys of long lists may."""
+    spark.range(50).selectExpr("'MDR' AS sab", "cast(id AS string) AS code", "concat('Name#', id) AS name", "'' AS cui").write.parquet(f"{tmp_path}/vocab")
+    spark.range(60).selectExpr("id AS seq", "concat('name#', id) AS adr_term", "'0' AS meddra_code").write.parquet(f"{tmp_path}/rows")
+    out = lookup.meddra_second_pass(spark.read.parquet(f"{tmp_path}/rows"), spark.read.parquet(f"{tmp_path}/vocab"))
+    assert {r["original_term"]: r["meddra_code"] for r in out.collect()} == {f"name#{i}": str(i if i < 50 else min(i % 10, 5)) for i in range(60)}
+    joins = [line for line in out._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in line]
+    assert any("SortMergeJoin" in j for j in joins) and all("piece" in j for j in joins if "Broadcast" in j)
+    near = lookup._one_edit(out.selectExpr("original_term AS _t").distinct(), spark.read.parquet(f"{tmp_path}/vocab").selectExpr("name AS _n").distinct())
+    assert "Broadcast" not in near._jdf.queryExecution().sparkPlan().toString()
