@@ -155,7 +155,7 @@ def test_large_pages_come_in_bounded_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
 
 
-@pytest.mark.parametrize("name", ["x1_page_text", "x3_sections", "x6_clean_text"])
+@pytest.mark.parametrize("name", ["x1_page_text", "x3_sections", "x6_clean_text", "x8_drug_names", "x4_section_blocks", "a4_audit_summary"])
 def test_references_that_were_cut_off_are_text(spark, tmp_path, name):
     """A page's texts may end inside a reference; the queries read it as their SQL does."""
     import duckdb
