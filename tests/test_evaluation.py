@@ -52,6 +52,27 @@ def test_manual_strict_and_lenient(spark):
     assert count(False) == (1, 0, 1) and count(True) == (2, 0, 0)
 
 
+@pytest.mark.parametrize("hot", [1_000_000, 3])
+def test_rows_are_dealt_once(spark, monkeypatch, hot):
+    """Pairing, scope and manual rows: one shuffle by product, and the same results where products are hot."""
+    monkeypatch.setattr(evaluation, "HOT", hot)
+    gold = evaluation.eval_rows(frame(spark, [("1", "a", "rare", "x"), ("1", "b", "rare", "x"), ("1", "a", "common", "x"), ("3", "c", "", "y")]))
+    pred = evaluation.eval_rows(frame(spark, [("1", "A", "common", "z"), ("1", "q", "rare", "x"), ("2", "a", "rare", "x"), ("1", "r", "", "x"), ("1", "q", "", "x")]))
+    manual = spark.createDataFrame([(0, "1", "b", "q"), (1, "2", "a", "r"), (2, "1", "a", "q")], "seq long, product_id string, gold_term string, pred_term string")
+    rows = lambda df: sorted((r["product_id"], r["status"], r["gold_term"], r["pred_term"], r["freq_ok"]) for r in df.collect())
+    plain = evaluation.match_table(gold, pred, scope=True)
+    assert rows(plain) == sorted([("1", "TP", "a", "A", 1), ("1", "FN", "a", "", None), ("1", "FN", "b", "", None), ("3", "FN", "c", "", None), ("1", "FP", "", "q", None), ("1", "FP", "", "q", None), ("1", "FP", "", "r", None)], key=lambda r: r[:4])
+    moved = evaluation.match_table(gold, pred, manual, lenient=True, scope=True)
+    assert rows(moved) == sorted(
+        [("1", "TP", "a", "A", 1), ("1", "TP", "a", "q", 1), ("1", "TP", "b", "q", 1), ("3", "FN", "c", "", None), ("1", "FP", "", "q", None), ("1", "FP", "", "q", None), ("1", "FP", "", "r", None)], key=lambda r: r[:4]
+    )
+    if hot > 3:
+        for df in (plain, moved):
+            plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+            assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert ("2" in {r["product_id"] for r in evaluation.match_table(gold, pred).collect()}) and "2" not in {r["product_id"] for r in plain.collect()}
+
+
 def test_soc_map_and_empty(spark):
     gold, pred = evaluation.eval_rows(frame(spark, [("1", "x", "", "Skin")])), evaluation.eval_rows(frame(spark, [("1", "x", "", "skin disorders")]))
     names = spark.createDataFrame([(0, "skin", "Skin  disorders")], "seq long, raw string, canonical string")
